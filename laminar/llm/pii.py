@@ -6,7 +6,7 @@ marked text is split, which gives positions from the lengths of the parts.
 
 Bootstrapping: tokens with a digit are instances, the two words before one are its
 lexical pattern. Pattern-instance pairs are counted over the corpus. Seeds are the
-instances inside rule matches, with score 1. Each round a pattern's confidence becomes
+rule matches, with score 1. Each round a pattern's confidence becomes
 the share of its instances' score (smoothed by `DOUBT` unknown instances), and an
 instance's score becomes 1 - prod(1 - confidence) over its supported patterns. After
 `ROUNDS` rounds the patterns with confidence `CONFIDENT` and `SUPPORT` different seeds
@@ -90,8 +90,8 @@ def rule_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """Tokens with a digit as (start, end, instance, pattern); marks around a token are not part of it."""
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,instance:string,pattern:string>>)")
+    """Tokens with a digit as (token, start, end, instance, pattern); marks around it belong to the token, but not to the instance."""
+    empty = F.expr("cast(array() as array<struct<token:bigint,start:bigint,end:bigint,instance:string,pattern:string>>)")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.lit("").alias("before"), empty.alias("got"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -100,7 +100,7 @@ def instances(text: Column) -> Column:
         lead = F.char_length(F.regexp_extract(part, r"^[^\p{L}0-9]*+", 0))
         words = F.filter(F.split(F.lower(acc["before"]), r"\s+"), lambda w: w != "")
         pattern = F.array_join(F.slice(words, -2, 2), " ")
-        one = F.struct((acc["at"] + lead).alias("start"), (acc["at"] + lead + F.char_length(core)).alias("end"), core.alias("instance"), pattern.alias("pattern"))
+        one = F.struct(acc["at"].alias("token"), (acc["at"] + lead).alias("start"), (acc["at"] + lead + F.char_length(core)).alias("end"), core.alias("instance"), pattern.alias("pattern"))
         got = F.when(acc["odd"] & (F.size(words) >= 2), F.array_append(acc["got"], one)).otherwise(acc["got"])
         before = F.right(F.concat(F.right(acc["before"], F.lit(CONTEXT)), part), F.lit(CONTEXT))
         return F.struct(to.alias("at"), (~acc["odd"]).alias("odd"), before.alias("before"), got.alias("got"))
@@ -108,11 +108,25 @@ def instances(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.aggregate(marked(text, INSTANCE), start, step, lambda acc: acc["got"])).otherwise(empty)
 
 
+def seeded(text: Column) -> Column:
+    """Instances with `seed`: at a rule match the match is the instance, and its later tokens are left out."""
+    hit = lambda i: F.get(F.filter("base", lambda b: (b["start"] < i["end"]) & (i["token"] < b["end"])), F.lit(0))
+
+    def named(i: Column) -> Column:
+        b = hit(i)
+        whole = F.substring(text, (b["start"] + 1).cast("int"), (b["end"] - b["start"]).cast("int"))
+        return i.withField("seed", b.isNotNull()).withField("instance", F.when(b.isNull(), i["instance"]).otherwise(whole))
+
+    first = F.filter("instances", lambda i: hit(i).isNull() | (hit(i)["start"] >= i["token"]))
+    return F.transform(first, named)
+
+
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, base spans, instances) of every row; the only pass over the texts."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, OTHER)
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), text.alias("__text"))
-    return materialise(rows.select("__row", id_col, rule_spans(F.col("__text")).alias("base"), instances(F.col("__text")).alias("instances")), "pii")
+    rows = rows.select("__row", id_col, "__text", rule_spans(F.col("__text")).alias("base"), instances(F.col("__text")).alias("instances"))
+    return materialise(rows.select("__row", id_col, "base", seeded(F.col("__text")).alias("instances")), "pii")
 
 
 def scored_patterns(pairs: DataFrame) -> DataFrame:
@@ -136,8 +150,7 @@ def scored_patterns(pairs: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, found (all spans) and spans (as text) of every row."""
     rows = found(docs, id_col, text_col)
-    inside = lambda i: F.exists("base", lambda b: (b["start"] < i["end"]) & (i["start"] < b["end"]))
-    seen = rows.select("__row", F.explode(F.transform("instances", lambda i: i.withField("seed", inside(i)))).alias("i")).select("__row", "i.*")
+    seen = rows.select("__row", F.explode("instances").alias("i")).select("__row", "i.*")
     seen = materialise(seen, "instances")
     pairs = materialise(seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pairs")
     trusted = scored_patterns(pairs).filter((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)).select("pattern")
