@@ -13,14 +13,18 @@ def nearest_known(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     Two passes, exact: along rows each cell learns the nearest known cell of its row
     (of equal ones the left); then each unknown cell looks up and down its column no
     further than the best distance it knows so far. Ties go to the smaller y, then x. A cell in
-    a group without any value stays null. Rows and columns of a group may have gaps.
+    a group without any value stays null. Groups may have any shape: the passes run over a group's
+    bounding box.
     """
+    box = cells.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    lattice = box.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select(*keys, "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    boxed = lattice.join(cells.select(*keys, "x", "y", value, F.lit(True).alias("inside")), [*keys, "x", "y"], "left")
     row, column = [*keys, "y"], [*keys, "x"]
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("x").alias("kx"), F.col(value).alias("v")))
     back = W.partitionBy(*row).orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy(*row).orderBy("x").rowsBetween(0, W.unboundedFollowing)
     left, right = F.last(here, True).over(back), F.first(here, True).over(ahead)
-    by_row = cells.withColumns({"l": left, "r": right})
+    by_row = boxed.withColumns({"l": left, "r": right})
     take_left = F.col("r").isNull() | (F.col("l").isNotNull() & (F.col("x") - F.col("l.kx") <= F.col("r.kx") - F.col("x")))
     by_row = by_row.withColumn("n", F.when(take_left, F.col("l")).otherwise(F.col("r"))).drop("l", "r")
     d = F.when(F.col("n").isNotNull(), F.abs(F.col("x") - F.col("n.kx")))
@@ -31,7 +35,7 @@ def nearest_known(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     known = known.withColumns({"u": F.last(near, True).over(up), "w": F.first(near, True).over(down)})
     far = lambda c: F.ceil(F.hypot(F.col("y") - F.col(f"{c}.ky"), F.col(f"{c}.kd"))).cast("int")
     bound = F.least(far("u"), far("w"))
-    open_ = known.filter(F.col(value).isNull()).select(*keys, "x", "y", bound.alias("bound"))
+    open_ = known.filter(F.col(value).isNull() & F.col("inside")).select(*keys, "x", "y", bound.alias("bound"))
     looked = open_.filter("bound is not null").withColumn("ly", F.explode(F.sequence(F.col("y") - F.col("bound"), F.col("y") + F.col("bound"))))
     seen = by_row.filter("n is not null").select(*keys, "x", F.col("y").alias("ly"), "n")
     met = looked.join(seen, [*keys, "x", "ly"])
