@@ -9,7 +9,8 @@ words and it passes the base rules (20 words; at most 30 % of words in repeated
 The field is trained here by gradient ascent on the likelihood of line sequences of
 labelled documents: lines of good documents count as content, lines of bad ones as
 boilerplate. The sample is at most `SAMPLE` documents of each label, of each the
-first `SAMPLE_LINES` lines; that bound holds for training only.
+first `SAMPLE_LINES` lines; that bound holds for training only. As the sample has
+both labels alike, a text's first line starts with the log odds of the labels.
 
 Contract: null and empty texts have no word, fail the base rules and aren't kept.
 Texts are read whole. Rows are independent: repeated rows get equal results. Extra
@@ -19,6 +20,8 @@ both kinds the start weights decide.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from .common import append_in_arrow, field
 SAMPLE, SAMPLE_LINES, SAMPLE_CHARS = 400, 48, 20_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+#: Largest transition weight: lines of a document may differ, though the sample's documents have one label each.
+MOST_MOVE = 0.5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 #: Byte classes: columns of the line make-up.
@@ -97,7 +102,7 @@ class Lines:
                     repeated[first + i] = met.get(x, 0) > 1
             first += len(lines)
         share_upper = by["upper"] / letters
-        self.features = np.stack([np.ones(len(ends)), np.log1p(by["words"]) / 8, np.where(by["upper"] > 3, share_upper, 0), by["symbol"] / chars, by["digit"] / chars, by["mark"] / chars, repeated, (by["words"] < 4).astype(float)], 1)
+        self.features = np.stack([np.ones(len(ends)), np.log1p(by["words"]) / 8, np.where(by["upper"] > 3, share_upper, 0), np.sqrt(by["symbol"] / chars), by["digit"] / chars, by["mark"] / chars, repeated, (by["words"] < 4).astype(float)], 1)
 
 
 def repeat_words(text: bytes, window: int = WINDOW) -> int:
@@ -143,7 +148,7 @@ def viterbi(scores: list[float], moves: np.ndarray) -> list[int]:
     return labels[::-1]
 
 
-def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions that make the labels of the sample's lines likely (forward-backward, gradient ascent)."""
     weights, moves = START.copy(), START_MOVES.copy()
     if not 0 < sum(bad) < len(bad):
@@ -180,7 +185,7 @@ def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 0.
                 slope_moves[a, b] = np.where(pairs, (want - p2) * weight, 0).sum() - decay * (moves[a, b] - START_MOVES[a, b])
         size, size_moves = size + slope**2, size_moves + slope_moves**2
         weights = weights + rate * slope / np.sqrt(size)
-        moves = np.clip(moves + rate * slope_moves / np.sqrt(size_moves), -2, 2)  # a document has one label, so unbounded moves would forbid every change
+        moves = np.clip(moves + rate * slope_moves / np.sqrt(size_moves), -MOST_MOVE, MOST_MOVE)  # a document has one label, so unbounded moves would forbid every change
     return weights, moves
 
 
@@ -198,27 +203,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [(r["__text"].encode(), r["__label"]) for r in got]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, transitions and the first line's start score."""
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, SAMPLE, SAMPLE_CHARS)
-    return train([t for t, _ in sample], [1 - y for _, y in sample])
+    weights, moves = train([t for t, _ in sample], [1 - y for _, y in sample])
+    counts = {r[label_col]: r["count"] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}  # two rows
+    return weights, moves, -math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
 
 
-def label_lines(texts: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
-    got = Lines(texts)
-    scores = (got.features @ model[0]).tolist()
-    return [viterbi(scores[end - n : end], model[1]) for end, n in zip(got.last.tolist(), got.lines_in.tolist(), strict=True)]
+def decode(got: Lines, model: tuple[np.ndarray, np.ndarray, float]) -> list[list[int]]:
+    """Labels of each text's lines, 1 for boilerplate."""
+    weights, moves, start = model
+    scores = got.features @ weights
+    scores[got.last - got.lines_in] += start
+    scores = scores.tolist()
+    return [viterbi(scores[end - n : end], moves) for end, n in zip(got.last.tolist(), got.lines_in.tolist(), strict=True)]
 
 
-def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least_share: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least_share: float = 0.5) -> DataFrame:
     """The kept columns (the id), counts, base_failed, content_share, n_content_lines and kept of every row."""
 
     def compute(texts: list[bytes]) -> list:
         got = Lines(texts)
-        scores = (got.features @ model[0]).tolist()
+        labels = decode(got, model)
         repeats = np.array([repeat_words(t) for t in texts], np.int64)
         share, lines = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for k, (end, n) in enumerate(zip(got.last.tolist(), got.lines_in.tolist(), strict=True)):
-            content = 1 - np.array(viterbi(scores[end - n : end], model[1]))
+            content = 1 - np.array(labels[k])
             share[k] = (content * got.words[end - n : end]).sum() / max(1, got.n_words[k])
             lines[k] = content.sum()
         failed = (got.n_words < 20) | (100 * repeats > 30 * got.n_words)
