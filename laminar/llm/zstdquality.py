@@ -4,20 +4,23 @@ Two zstandard dictionaries are built, one from good and one from bad labelled te
 text that compresses better with the good one is like the good texts: the difference
 of the two compressed sizes over the plain compressed size is the evidence. A logistic
 fit on labelled texts outside the dictionaries calibrates it to a probability, together
-with how well the text compresses by itself and the evidence's own spread over the text's blocks.
+with the single ratios, the evidence's spread over the text's blocks and the text's length; the
+share of good labels among all training labels then sets the probability's level.
 
 Labels come from the training rows only; language, source and id are never inputs. The
 sample for training is at most SAMPLE texts of each label, of each at most SAMPLE_CHARS
 characters; half of it builds the dictionaries, half fits the calibration. Scoring
 reads whole texts, in blocks of BLOCK bytes.
 
-Contract: null and empty texts get the score of no evidence. Without training rows of
+Contract: null and empty texts get the share of good labels, for want of evidence. Without training rows of
 both labels every score is 0.5. Rows are independent, repeated rows equal, extra
 columns ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,17 +53,17 @@ class Sizes:
             self.by.append(zstandard.ZstdCompressor(dict_data=d, **quiet))
 
     def evidence(self, text: bytes) -> list[float]:
-        """Normalised size difference, the plain ratio, and the least and greatest block's difference."""
+        """Normalised size difference; plain, good and bad ratios; the least and greatest block's difference; log length."""
         if not text:
-            return [0.0, 0.0, 0.0, 0.0]
-        gaps, plain, gain = [], 0, 0
+            return [0.0] * 7
+        gaps, plain, good, bad = [], 0, 0, 0
         for k in range(0, len(text), BLOCK):
             block = text[k : k + BLOCK]
             p = len(self.plain.compress(block))
             g, b = (len(c.compress(block)) for c in self.by)
-            plain, gain = plain + p, gain + b - g
+            plain, good, bad = plain + p, good + g, bad + b
             gaps.append((b - g) / p)
-        return [gain / plain, plain / len(text) - 0.4, min(gaps), max(gaps)]
+        return [(bad - good) / plain, plain / len(text), good / plain, bad / plain, min(gaps), max(gaps), math.log(len(text)) / 10]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +95,7 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """(good dictionary, bad dictionary, calibration), or None without rows of both labels."""
+    """(good dictionary, bad dictionary, calibration, share of good labels), or None without rows of both labels."""
     known = labels.select(id_col, label_col)
     sample = labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE, SAMPLE_CHARS, ~held_out(id_col))
     by = {y: [t for t, label in sample if label == y] for y in (0, 1)}
@@ -102,7 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = Sizes(good, bad)
     rest = [(t, y) for y in (0, 1) for t in by[y][1::2]]
     x = np.array([sizes.evidence(t) for t, _ in rest])
-    return good, bad, logistic(x, np.array([y for _, y in rest]))
+    mean, scale, w = logistic(x, np.array([y for _, y in rest]))
+    counts = {r[label_col]: r["count"] for r in known.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}  # two rows
+    w[0] += math.log(counts[1] / counts[0])  # the fit weighs both labels alike
+    level = 1 / (1 + math.exp(-math.log(counts[1] / counts[0])))
+    return good, bad, (mean, scale, w), level
 
 
 _sizes: dict[int, Sizes] = {}
@@ -115,13 +122,14 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     def compute(texts: list[bytes]) -> list:
         if sent.value is None:
             return [[0.5] * len(texts), [1] * len(texts)]
-        good, bad, (mean, scale, w) = sent.value
+        good, bad, (mean, scale, w), level = sent.value
         key = hash((good, bad))
         if key not in _sizes:
             _sizes.clear()
             _sizes[key] = Sizes(good, bad)
         x = np.array([_sizes[key].evidence(t) for t in texts])
         p = 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / scale) @ w[1:], -30, 30)))
+        p = np.where([len(t) > 0 for t in texts], p, level)
         return [p, (p >= 0.5).astype(np.int32)]
 
     fields = [field("score", T.DoubleType()), field("predicted", T.IntegerType())]
