@@ -640,3 +640,181 @@ def src_pending(spark, sf):
 def src_fresh_annotations(spark, sf):
     p = views.table(spark, sf, "pages").select(F.col("page_id").alias("image_id"), F.col("url").alias("path"))
     return files.fresh_annotations(p, p.filter("image_id % 3 = 0"))
+
+
+# ---- further operators ------------------------------------------------------
+
+
+@query(f"""WITH {views.TRACE}, s AS (SELECT * FROM trace WHERE layer = 'ILM' AND y IS NOT NULL), g AS (SELECT *, coalesce(lag(x, 15) OVER w, first(x) OVER q) AS bx, coalesce(lag(y, 15) OVER w, first(y) OVER q) AS by_, coalesce(lead(x, 15) OVER w, last(x) OVER q) AS ax, coalesce(lead(y, 15) OVER w, last(y) OVER q) AS ay
+ FROM s WINDOW w AS (PARTITION BY image_id, bscan ORDER BY x), q AS (PARTITION BY image_id, bscan ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT image_id, bscan, x, round((ay - by_) / (ax - bx), 6) AS slope, round(by_ - (ay - by_) / (ax - bx) * bx, 5) AS intercept FROM g""")
+def trc_tangents(spark, sf):
+    t = trace.tangent_points(views.trace(spark, sf).filter("layer = 'ILM' and y is not null"))
+    slope, intercept = trace.line(F.col("before.x"), F.col("before.y"), F.col("after.x"), F.col("after.y"))
+    return t.select("image_id", "bscan", "x", F.round(slope, 6).alias("slope"), F.round(intercept, 5).alias("intercept"))
+
+
+@query(f"""WITH RECURSIVE {LABELS}, s AS (SELECT image_id, root, count(*) AS n FROM roots GROUP BY 1, 2), b AS (SELECT image_id, root FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, root) AS r FROM s) WHERE r = 1)
+SELECT image_id, 'vessel' AS mask, CAST(id % 1000 AS INT) AS x, CAST(min(id // 1000) AS INT) AS y_top, CAST(max(id // 1000) AS INT) AS y_bot FROM roots JOIN b USING (image_id, root) GROUP BY image_id, id % 1000""")
+def trc_largest_region_bounds(spark, sf):
+    return trace.extract_bounds(trace.largest_component(views.mask_pixel(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {LABELS}, n AS (SELECT *, count(*) OVER (PARTITION BY image_id, root) AS n FROM roots)
+SELECT image_id, CAST(id % 1000 AS INT) AS x, CAST(id // 1000 AS INT) AS y, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INT) AS label FROM n WHERE n >= 4""")
+def msk_drop_short(spark, sf):
+    return mask.drop_short(views.mask_pixel(spark, sf), 4).select("image_id", "x", "y", "label")
+
+
+@query(f"""WITH RECURSIVE {LABELS}, f AS (SELECT image_id, min(root) AS root FROM roots GROUP BY 1), l AS (SELECT image_id, id % 1000 AS x, id // 1000 AS y FROM roots JOIN f USING (image_id, root)),
+m AS (SELECT image_id, var_pop(x) + CAST(1 AS DOUBLE)/12 AS vx, var_pop(y) + CAST(1 AS DOUBLE)/12 AS vy, covar_pop(x, y) AS vxy FROM l GROUP BY 1), e AS (SELECT *, sqrt((vx - vy)**2 + 4 * vxy**2) AS rt FROM m)
+SELECT image_id, CAST(trunc((4 * sqrt(greatest(0, (vx + vy - rt) / 2)) + 4 * sqrt((vx + vy + rt) / 2)) / 4) AS INT) AS radius FROM e""")
+def msk_disc_radius(spark, sf):
+    return mask.disc_radius(views.mask_pixel(spark, sf)).select("image_id", "radius")
+
+
+@query(f"""WITH {views.MASK}, {views.LABEL} SELECT image_id, x, y FROM mask_pixel SEMI JOIN (SELECT image_id, x, y FROM label_pixel WHERE gray = 191) USING (image_id, x, y)""")
+def msk_clip_to_region(spark, sf):
+    region = mask.decode_labels(views.label_pixel(spark, sf)).filter("mask = 'artery'")
+    return mask.clip_to_region(views.mask_pixel(spark, sf), region).select("image_id", "x", "y")
+
+
+@query(f"""WITH {views.MASK}, d AS (SELECT DISTINCT image_id, CAST(x + dx AS INT) AS x, CAST(y + dy AS INT) AS y FROM mask_pixel, {OFFS}) SELECT 'dilate' AS op, * FROM d
+UNION ALL SELECT 'erode', a.image_id, a.x, a.y FROM mask_pixel a JOIN mask_pixel b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 GROUP BY 2, 3, 4 HAVING count(*) = 5""")
+def msk_morphology(spark, sf):
+    m = views.mask_pixel(spark, sf)
+    parts = {"dilate": mask.dilate(m, mask.disk(1)), "erode": mask.erode(m, mask.disk(1))}
+    return shape.union_results([df.select(F.lit(k).alias("op"), "image_id", "x", "y") for k, df in parts.items()])
+
+
+def thick_rows(spark, sf) -> DataFrame:
+    t = trace.stack_thickness(slab(spark, sf).filter("pair = 'ILM_BM'"), 64)
+    return t.select("image_id", F.col("pair").alias("map"), "bscan", "x", F.col("thickness").alias("value"))
+
+
+ROWS = f"""{SLAB}, th AS (SELECT image_id, bscan, CAST(l.x AS INT) AS x, coalesce((y_bot - y_top) * CAST(3.87 AS DOUBLE), -1) AS value FROM (SELECT image_id, bscan, unnest(range(64)) AS x FROM (SELECT DISTINCT image_id, bscan FROM slab WHERE pair = 'ILM_BM')) l LEFT JOIN (SELECT * FROM slab WHERE pair = 'ILM_BM') USING (image_id, bscan, x)),
+mv AS (SELECT image_id, bscan, x + 40 - 32 AS x, value FROM th), lt AS (SELECT image_id, bscan, unnest(range(80)) AS x FROM (SELECT DISTINCT image_id, bscan FROM mv)), j AS (SELECT image_id, bscan, CAST(lt.x AS INT) AS x, value, CASE WHEN value <> -1 THEN value END AS k FROM lt LEFT JOIN mv USING (image_id, bscan, x)),
+placed AS (SELECT image_id, bscan, x, coalesce(value, -1) AS value, coalesce(last_value(k IGNORE NULLS) OVER b, first_value(k IGNORE NULLS) OVER f) AS edge FROM j WINDOW b AS (PARTITION BY image_id, bscan ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY image_id, bscan ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"WITH {ROWS} SELECT image_id, bscan, x, round(value, 6) AS value, round(edge, 6) AS edge FROM placed")
+def map_place_rows(spark, sf):
+    centre = thick_rows(spark, sf).select("image_id").distinct().selectExpr("image_id", "40 AS cx", "64 AS n_x")
+    return maps.place_rows(thick_rows(spark, sf), centre, 80).select("image_id", "bscan", "x", *r6("value", "edge"))
+
+
+@query(f"""WITH {ROWS}, t AS (SELECT image_id, last, y, y * last / CAST(8 AS DOUBLE) AS at_ FROM (SELECT image_id, max(bscan) AS last, unnest(range(9)) AS y FROM placed GROUP BY 1)),
+w AS (SELECT image_id, y, CAST(floor(at_) AS INT) + k AS bscan, CASE WHEN k = 0 THEN 1 - (at_ - floor(at_)) ELSE at_ - floor(at_) END AS w FROM t, (VALUES (0), (1)) q(k))
+SELECT image_id, p.x, CAST(y AS INT) AS y, round(sum(edge * w) / sum(w), 6) AS value FROM w JOIN placed p USING (image_id, bscan) WHERE w > 0 GROUP BY 1, 2, 3""")
+def map_resample_rows(spark, sf):
+    centre = thick_rows(spark, sf).select("image_id").distinct().selectExpr("image_id", "40 AS cx", "64 AS n_x")
+    rows = maps.place_rows(thick_rows(spark, sf), centre, 80)
+    return maps.resample_rows(rows.select("image_id", "map", "bscan", "x", F.col("edge").alias("value")), 9).select("image_id", "x", "y", *r6("value"))
+
+
+@query(f"""WITH {ACQ} SELECT image_id, bscan, CAST(trunc(start_x + (end_x - start_x) * coalesce(CASE WHEN bscan % 2 = 0 THEN (image_id % 700) / CAST(767 AS DOUBLE) END, 0.5)) AS BIGINT) AS slo_x,
+ CAST(trunc(start_y + (end_y - start_y) * coalesce(CASE WHEN bscan % 2 = 0 THEN (image_id % 700) / CAST(767 AS DOUBLE) END, 0.5)) AS BIGINT) AS slo_y FROM acq""")
+def map_fovea_on_localiser(spark, sf):
+    acq = meta.acquisition_px(views.bscan_meta(spark, sf), views.scan(spark, sf)).withColumn("n_x", F.lit(768))
+    fovea = acq.filter("bscan % 2 = 0").select("image_id", "bscan", (F.col("image_id") % 700).alias("fovea_x"))
+    return maps.fovea_on_localiser(acq, fovea)
+
+
+@query(f"""WITH {views.SCAN} SELECT image_id, fovea_x - h >= 0 AND fovea_x + h <= 768 AND fovea_y - h >= 0 AND fovea_y + h <= 768 AS grid_fits FROM (SELECT *, 7000 / scale_x / 2 AS h FROM scan)""")
+def map_grid_fits(spark, sf):
+    s = views.scan(spark, sf).withColumnsRenamed({"fovea_x": "cx", "fovea_y": "cy", "scale_x": "slo_scale"})
+    return maps.grid_fits(s, 768).select("image_id", "grid_fits")
+
+
+@query(f"""WITH {views.PATH}, {views.MASK}, n AS (SELECT a.image_id, a.x, a.y FROM mask_pixel a LEFT JOIN mask_pixel b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3 HAVING count(b.x) < 4),
+p AS (SELECT DISTINCT image_id, CAST(col * 5 AS DOUBLE) AS px, CAST(row % 64 AS DOUBLE) AS py FROM path), d AS (SELECT p.*, n.x, n.y, sqrt((n.x - px)**2 + (n.y - py)**2) AS d FROM p JOIN n USING (image_id))
+SELECT image_id, px, py, min_by(x, (d, y, x)) AS tx, min_by(y, (d, y, x)) AS ty, round(min(d), 6) AS distance FROM d GROUP BY 1, 2, 3""")
+def ves_snap(spark, sf):
+    p = views.path(spark, sf).select("image_id", (F.col("col") * 5).cast("double").alias("px"), (F.col("row") % 64).cast("double").alias("py"))
+    return vessel.snap(p, views.mask_pixel(spark, sf)).select("image_id", "px", "py", "tx", "ty", *r6("distance"))
+
+
+def vessel_rows(spark, sf) -> DataFrame:
+    e = views.table(spark, sf, "events")
+    kind = F.element_at(F.array(F.lit("binary"), F.lit("artery"), F.lit("vein")), (F.col("user_id") % 3 + 1).cast("int"))
+    zone = F.element_at(F.array(F.lit("B"), F.lit("C"), F.lit("whole")), (F.col("event_id") % 3 + 1).cast("int"))
+    long = e.groupBy((F.col("user_id") % 7).alias("image_id"), kind.alias("vessel_map"), zone.alias("zone")).agg(F.round(F.avg("value"), 6).alias("vessel_density"), F.round(F.max("value"), 6).alias("tortuosity_density"))
+    return long.unpivot(["image_id", "vessel_map", "zone"], ["vessel_density", "tortuosity_density"], "feature", "value")
+
+
+VROWS = """vm AS (SELECT user_id % 7 AS image_id, ['binary','artery','vein'][CAST(user_id % 3 AS INT) + 1] AS vessel_map, ['B','C','whole'][CAST(event_id % 3 AS INT) + 1] AS zone,
+ unnest(['vessel_density','tortuosity_density']) AS feature, unnest([round(avg(value), 6), round(max(value), 6)]) AS value FROM events GROUP BY 1, 2, 3),
+nz AS (SELECT image_id, vessel_map, zone, feature, CASE WHEN feature = 'vessel_density' AND zone IN ('B','C') THEN CAST(-1 AS DOUBLE) ELSE value END AS value FROM vm)"""
+
+
+@query(f"""WITH {VROWS} SELECT * FROM nz UNION ALL SELECT image_id, 'artery-vein', zone, f, CASE WHEN f = 'AVR' THEN image_id / CAST(10 AS DOUBLE) ELSE -1 END FROM (SELECT DISTINCT image_id, zone FROM vm), (VALUES ('AVR'), ('vessel_density'), ('tortuosity_density')) q(f)""")
+def ves_result_rows(spark, sf):
+    m = vessel.null_zone_features(vessel_rows(spark, sf))
+    ratio = m.select("image_id", "zone").distinct().withColumn("AVR", F.col("image_id") / 10)
+    return vessel.append_avr(m, ratio, ["vessel_density", "tortuosity_density"])
+
+
+@query(f"""WITH {VROWS} SELECT image_id, max(CASE WHEN vessel_map = 'artery' AND zone = 'whole' AND feature = 'vessel_density' THEN value END) AS vessel_density_artery_whole, max(CASE WHEN vessel_map = 'vein' AND zone = 'B' AND feature = 'tortuosity_density' THEN value END) AS tortuosity_density_vein_B,
+ max(CASE WHEN vessel_map = 'vein' AND zone = 'B' AND feature = 'vessel_density' AND value <> -1 THEN value END) AS vessel_density_vein_B FROM nz GROUP BY 1""")
+def shp_wide_vessel(spark, sf):
+    wide = shape.wide_vessel(vessel.null_zone_features(vessel_rows(spark, sf)), ["vessel_density", "tortuosity_density", "tortuosity_distance"], ["B", "C", "whole"])
+    return wide.select("image_id", "vessel_density_artery_whole", "tortuosity_density_vein_B", "vessel_density_vein_B")
+
+
+@query(f"""WITH {ETDRS}, s AS (SELECT image_id, subfield, CAST(trunc(avg(value)) AS DOUBLE) AS mean, round_even(sum(value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3) AS volume FROM sub WHERE subfield IS NOT NULL GROUP BY 1, 2)
+SELECT image_id, max(CASE WHEN subfield = 'central' THEN mean END) AS "central_retina_[um]", max(CASE WHEN subfield = 'inner_nasal' THEN mean END) AS "inner_nasal_retina_[um]", round(max(CASE WHEN subfield = 'central' THEN volume END), 6) AS "central_retina_[mm3]", round(max(CASE WHEN subfield = 'inner_nasal' THEN volume END), 6) AS "inner_nasal_retina_[mm3]" FROM s GROUP BY 1""")
+def shp_wide_grid(spark, sf):
+    stats = maps.subfield_stats(maps.etdrs_subfield(cells(spark, sf), grid_scan(spark, sf)), 110.0, fill=False)
+    long = stats.select("image_id", "map", "subfield", "mean", "volume").unpivot(["image_id", "map", "subfield"], ["mean", "volume"], "feature", "value")
+    wide = shape.wide_grid(long.filter("subfield in ('central', 'inner_nasal')"), ["retina"], ["central", "inner_nasal"])
+    return wide.select("image_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in wide.columns[1:]])
+
+
+@query(f"""WITH {views.PIXEL} SELECT image_id, x, y, round((v / 255 - lo) / (hi - lo), 6) AS v FROM (SELECT *, min(v / 255) OVER (PARTITION BY image_id) AS lo, max(v / 255) OVER (PARTITION BY image_id) AS hi FROM pixel)""")
+def int_normalise(spark, sf):
+    return intensity.normalise(intensity.scale_255(views.pixel(spark, sf))).select("image_id", "x", "y", *r6("v"))
+
+
+@query(f"""WITH {views.SCAN} SELECT image_id, filename, round(scale_x * 1000, 6) AS scale_x_um, round(scale_z * 1000, 6) AS scale_z_um, pattern FROM scan""")
+def meta_scan_projection(spark, sf):
+    return meta.scan_projection(views.scan(spark, sf)).select("image_id", "filename", *r6("scale_x_um", "scale_z_um"), "pattern")
+
+
+@query("""SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice / 100 END AS v, CASE WHEN o_orderkey % 50 = 0 THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN o_orderkey % 50 = 0 THEN 'ValueError: no layers in ' || o_orderkey END AS error FROM orders""")
+def ops_quarantine(spark, sf):
+    from pyspark.sql import types as T
+
+    from ..operators import batch
+
+    def measure(row):
+        if row["image_id"] % 50 == 0:
+            raise ValueError(f"no layers in {int(row['image_id'])}")
+        return {"v": row["o_totalprice"] / 100}
+
+    o = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"), "o_totalprice")
+    return batch.safe_apply(o, measure, T.StructType([T.StructField("v", T.DoubleType())]))
+
+
+@query(f"""WITH {views.LABEL}, m AS (SELECT image_id, CASE gray WHEN 191 THEN 'artery' WHEN 127 THEN 'vein' ELSE 'disc' END AS mask, x, y FROM label_pixel), e AS (SELECT image_id, mask, x + 1 AS x, y FROM m WHERE image_id % 3 = 0 AND mask = 'disc')
+SELECT * FROM m ANTI JOIN e USING (image_id, mask) UNION ALL SELECT * FROM e""")
+def ops_apply_edits(spark, sf):
+    from ..operators import batch
+
+    m = mask.decode_labels(views.label_pixel(spark, sf)).filter("mask <> 'any'")
+    edits = m.filter("image_id % 3 = 0 and mask = 'disc'").withColumn("x", F.col("x") + 1)
+    return batch.apply_edits(m, edits)[0]
+
+
+@query(f"""WITH {views.PROFILE}, p AS (SELECT image_id, x, coalesce(value, 0) AS value FROM profile) SELECT image_id, CAST(CASE WHEN image_id % 2 = 0 THEN (x - image_id % 64 + 32 + 128) % 64 ELSE (image_id % 64 - x + 32 + 128) % 64 END AS INT) AS x, value FROM p""")
+def ppl_circular_shift(spark, sf):
+    p = views.profile(spark, sf).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    ids = p.select("image_id").distinct()
+    eye = ids.select("image_id", F.when(F.col("image_id") % 2 == 0, "Right").otherwise("Left").alias("eye"))
+    return disc.circular_shift(p, ids.select("image_id", (F.col("image_id") % 64).cast("int").alias("temporal_index")), 64, eye)
+
+
+@query()
+def ves_measure(spark, sf):
+    p, m = views.path(spark, sf), views.mask_pixel(spark, sf)
+    s = p.select("image_id").union(m.select("image_id")).distinct().selectExpr("image_id", "5 AS disc_x", "100 AS disc_y", "10 AS disc_radius")
+    return vessel.vessel_measure(p, m, s, 64).select("image_id", "vessel_map", "zone", "feature", *r6("value"))
