@@ -23,15 +23,19 @@ def upper(slab: DataFrame) -> DataFrame:
     return slab.select("image_id", "bscan", F.col("pair").alias("layer"), "x", F.col("y_top").alias("y"))
 
 
-def samples(slab: DataFrame, fovea: DataFrame, distance: int, sx: float = SCALE_X, sy: float = SCALE_Y) -> DataFrame:
+def samples(slab: DataFrame, fovea: DataFrame, distance: int, sx: float = SCALE_X, sy: float = SCALE_Y, force: bool = False) -> DataFrame:
     """ROI-2. Upper and lower points at arc distances either side of the upper point nearest the fovea (image_id, bscan, px, py).
 
-    Samples count from 0 at the left; a sample that the boundary is too short for has null x.
+    Samples count from 0 at the left; a sample that the boundary is too short for has null x,
+    or with `force` the boundary's end.
     """
     n, distances = lattice(distance, sx)
     top = upper(slab)
     ref = tr.nearest_point(top, fovea).select(*tr.LINE, "ref")
     at = tr.curve_location(top, ref, distances, sx, sy)
+    if force:
+        last = top.groupBy(*tr.LINE).agg((F.count("*") - 1).cast("int").alias("last"))
+        at = at.join(last, tr.LINE).withColumns({"idx_left": F.coalesce("idx_left", F.lit(0)), "idx_right": F.coalesce("idx_right", "last")})
     step = distances[1]
     k = truncated(F.round(F.col("distance") / step))
     middle = (n - 1) // 2
@@ -102,11 +106,11 @@ def vascular_index(pixels: DataFrame, vessel: DataFrame, sx: float = SCALE_X, sy
     return total.select(*SLAB, F.bround(F.col("s") / F.col("n"), 5).alias("vascular_index"), F.bround(F.col("s") * num(sx * sy * 1e-6), 6).alias("vessel_area"))
 
 
-def linescan_measure(trace: DataFrame, fovea: DataFrame, distance: int, sx: float = SCALE_X, sy: float = SCALE_Y) -> DataFrame:
+def linescan_measure(trace: DataFrame, fovea: DataFrame, distance: int, sx: float = SCALE_X, sy: float = SCALE_Y, force: bool = False) -> DataFrame:
     """ROI-9. Thickness, subfoveal thickness and area of every slab of every B-scan; -1 with a reason where it can't be measured."""
     slab = tr.drop_missing(tr.pair_layers(tr.interp_trace(trace).withColumn("y", F.col("y").cast("double"))))
     n, _ = lattice(distance, sx)
-    sampled = samples(slab, fovea, distance, sx, sy)
+    sampled = samples(slab, fovea, distance, sx, sy, force)
     thick = roi_thickness(sampled, n, sy)
     area = enclosed_area(enclosed_pixels(slab, sides(sampled, n)), sx, sy).select(*SLAB, F.col("area").alias("roi_area"))
     joined = slab.select(*SLAB).distinct().join(thick, SLAB, "left").join(area, SLAB, "left")

@@ -194,10 +194,13 @@ def thickness(slab: DataFrame, sx: float = SCALE_X, sy: float = SCALE_Y) -> Data
     return slab.withColumn("thickness", F.abs(F.col("y_bot") - F.col("y_top")) * num(sy))
 
 
-def stack_thickness(slab: DataFrame, n: int, sy: float = SCALE_Y) -> DataFrame:
-    """TRC-19. Thickness at all n columns of every B-scan, -1 where it isn't measured."""
+def stack_thickness(slab: DataFrame, n: int, sy: float = SCALE_Y, how: str = "vertical") -> DataFrame:
+    """TRC-19. Thickness at all n columns of every B-scan, straight down or along normals; -1 where it isn't measured."""
     full = slab.select("image_id", "bscan", "pair").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    got = thickness(drop_missing(slab), SCALE_X, sy).select("image_id", "bscan", "pair", "x", "thickness")
+    measured = drop_missing(slab)
+    if how == "perpendicular":
+        measured = perpendicular_foot(measured)
+    got = thickness(measured, SCALE_X, sy).select("image_id", "bscan", "pair", "x", "thickness")
     return full.join(got, ["image_id", "bscan", "pair", "x"], "left").withColumn("thickness", F.coalesce("thickness", num(-1)))
 
 

@@ -81,6 +81,18 @@ def test_short_trace_fails_with_a_reason(spark):
     assert (got["thickness"], got["subfoveal_thickness"], got["area"]) == (-1, -1, -1) and "short" in got["reason"]
 
 
+def test_forced_roi_uses_the_ends(spark):
+    t = line(spark, [100] * 50).union(line(spark, [150] * 50, "BM"))
+    fovea = spark.createDataFrame([(1, 0, 25, 100)], "image_id long, bscan int, px int, py int")
+    got = roi.linescan_measure(t, fovea, 1500, force=True).filter("pair = 'ILM_BM'").first()
+    assert got["thickness"] == 193 and got["reason"] is None and got["area"] > 0
+
+
+def test_perpendicular_thickness(spark):
+    t = trace.stack_thickness(flat_slab(spark, 80).filter("pair = 'ILM_BM'"), 80, how="perpendicular")
+    assert {round(v, 6) for (v,) in values(t, "thickness")} == {193.5}
+
+
 def test_roi_of_a_flat_slab(spark):
     t = line(spark, [100] * 300).union(line(spark, [150] * 300, "BM"))
     fovea = spark.createDataFrame([(1, 0, 150, 100)], "image_id long, bscan int, px int, py int")
