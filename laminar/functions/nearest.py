@@ -65,5 +65,7 @@ def nearest_point(points: DataFrame, targets: DataFrame, keys: list[str], tile:
     near = near.withColumn("tx_", F.explode(F.expr("sequence(cx - reach, cx + reach)"))).withColumn("ty_", F.explode(F.expr("sequence(cy - reach, cy + reach)")))
     d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     met = near.join(filed, [*keys, "tx_", "ty_"])
-    out = met.groupBy(*keys, "px", "py").agg(F.min_by(F.struct("x", "y"), F.struct(d, "y", "x")).alias("t"), F.min(d).alias("distance"))
+    nearest = lambda pairs: pairs.groupBy(*keys, "px", "py").agg(F.min_by(F.struct("x", "y"), F.struct(d, "y", "x")).alias("t"), F.min(d).alias("distance"))
+    far = p.join(found, [*keys, "cx", "cy"], "left_anti").select(*keys, "px", "py").distinct().join(filed, keys)
+    out = nearest(met.select(*keys, "px", "py", "x", "y")).unionByName(nearest(far.select(*keys, "px", "py", "x", "y")))
     return out.select(*keys, "px", "py", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"), "distance")

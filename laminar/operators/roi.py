@@ -48,12 +48,13 @@ def samples(slab: DataFrame, fovea: DataFrame, distance: int, sx: float = SCALE_
 def roi_thickness(sampled: DataFrame, n: int, sy: float = SCALE_Y) -> DataFrame:
     """ROI-3 and ROI-8. Mean and subfoveal mean thickness, cut to integers; -1 with a reason where a sample is missing.
 
-    The subfoveal mean takes the five samples from n // 2 - 3.
+    The subfoveal mean takes the five samples from n // 2 - 3. A mean that rounding errors leave just
+    short of a whole number counts as that number.
     """
     t = F.abs(F.col("y_bot") - F.col("y_top")) * num(sy)
     near = F.col("sample").between(n // 2 - 3, n // 2 + 1)
     out = sampled.groupBy(*SLAB).agg(F.avg(t).alias("mean"), F.avg(F.when(near, t)).alias("sub"), F.count("x").alias("found"))
-    return sentinel(out, F.col("found") < n, {"thickness": truncated(F.col("mean")).cast("double"), "subfoveal_thickness": truncated(F.col("sub")).cast("double")}).drop("mean", "sub", "found")
+    return sentinel(out, F.col("found") < n, {"thickness": truncated(F.round("mean", 9)).cast("double"), "subfoveal_thickness": truncated(F.round("sub", 9)).cast("double")}).drop("mean", "sub", "found")
 
 
 def sentinel(df: DataFrame, failed, values: dict) -> DataFrame:

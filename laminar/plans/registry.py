@@ -606,7 +606,16 @@ def int_shadow(spark, sf):
 # ---- regions of interest ----------------------------------------------------
 
 
-@query()
+@query(f"""WITH {INTERP}, s AS (SELECT a.image_id, a.bscan, a.layer || '_' || b.layer AS pair, a.x, a.y AS y_top, b.y AS y_bot FROM interp a JOIN interp b USING (image_id, bscan, x) WHERE (a.layer, b.layer) IN (('ILM','RNFL'), ('RNFL','ELM'), ('ELM','BM'), ('ILM','BM'), ('ILM','ELM'))),
+p AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(sqrt(((x - lag(x) OVER w) * CAST(11.49 AS DOUBLE))**2 + ((y_top - lag(y_top) OVER w) * CAST(3.87 AS DOUBLE))**2), 0) AS step FROM s WINDOW w AS (PARTITION BY image_id, bscan, pair ORDER BY x)),
+c AS (SELECT *, sum(step) OVER (PARTITION BY image_id, bscan, pair ORDER BY i) AS c FROM p), r AS (SELECT image_id, bscan, pair, min_by(i, ((x - 32)**2 + (y_top - 100)**2, i)) AS ref FROM c GROUP BY 1, 2, 3),
+rc AS (SELECT r.*, max(CASE WHEN i = ref THEN c END) AS cr, max(CASE WHEN i = ref - 1 THEN c END) AS cl FROM r JOIN c USING (image_id, bscan, pair) GROUP BY 1, 2, 3, 4),
+f AS (SELECT image_id, bscan, pair, ref, k, min(CASE WHEN i > ref AND c - cr >= 11 * k THEN i END) - ref - 1 AS a, ref - 2 - max(CASE WHEN i < ref - 1 AND cl - c >= 11 * k THEN i END) AS b FROM c JOIN rc USING (image_id, bscan, pair), (SELECT unnest(range(18)) AS k) GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT DISTINCT image_id, bscan, pair, 17 - k AS sample, ref - coalesce(b, 0) AS i FROM f UNION SELECT image_id, bscan, pair, 17 + k, ref + coalesce(a, 0) FROM f),
+t AS (SELECT n.*, x, abs(y_bot - y_top) * CAST(3.87 AS DOUBLE) AS t FROM n JOIN c USING (image_id, bscan, pair, i)),
+m AS (SELECT image_id, bscan, pair, trunc(round(avg(t), 9)) AS thickness, trunc(round(avg(CASE WHEN sample BETWEEN 14 AND 18 THEN t END), 9)) AS subfoveal_thickness, max(CASE WHEN sample = 0 THEN x END) AS xl, max(CASE WHEN sample = 34 THEN x END) AS xr FROM t GROUP BY 1, 2, 3),
+ar AS (SELECT image_id, bscan, pair, round_even(sum(y_bot - y_top + 1) * CAST(11.49 AS DOUBLE) * CAST(3.87 AS DOUBLE) * CAST(1e-6 AS DOUBLE), 6) AS area FROM s JOIN m USING (image_id, bscan, pair) WHERE x >= xl AND x < xr AND y_bot >= y_top GROUP BY 1, 2, 3)
+SELECT image_id, bscan, pair, thickness, subfoveal_thickness, coalesce(area, 0) AS area, CAST(NULL AS VARCHAR) AS reason FROM m LEFT JOIN ar USING (image_id, bscan, pair)""")
 def roi_linescan(spark, sf):
     t = views.trace(spark, sf)
     fovea = t.select("image_id", "bscan").distinct().selectExpr("image_id", "bscan", "32 AS px", "100 AS py")

@@ -283,6 +283,9 @@ def test_boxes_and_width(spark):
     lone = spark.createDataFrame([(1, 100.0, 100.0)], "image_id long, px double, py double")
     near = nearest_point(lone, pixels(spark, [(10, 10), (100, 160)]), ["image_id"]).first()
     assert (near["tx"], near["ty"]) == (100, 160)
+    away = spark.createDataFrame([(1, 5000.0, 9000.0)], "image_id long, px double, py double")
+    near = nearest_point(away, pixels(spark, [(10, 10), (100, 160)]), ["image_id"]).first()
+    assert (near["tx"], near["ty"]) == (100, 160)
 
 
 def test_vessel_driver(spark):
