@@ -23,11 +23,14 @@ columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,34 +41,93 @@ TIERS = (4096, 1024, 256)
 #: Tokens in the pools of a task beyond which windows are packed.
 POOL_TOKENS = 1 << 19
 #: Remembered words of a Python worker.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 #: Tokens of a step group, and step groups open at a time.
 STEP_TOKENS, OPEN_STEPS = 64 * 4096, 4
 
 
+#: A run of letters that normalising leaves letter by letter once A-Z are lowered.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: The marks that the splitting pattern cuts off behind letters, in one piece: all but the apostrophe.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
 class WordIds:
-    """Token ids of texts under a tokenizer that drops white space and never merges across it: words are encoded once."""
+    """Token ids of texts under a tokenizer that drops white space, ignores case and never merges across
+    white space or between letters and marks: words are encoded once, as a core and the marks behind it."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that are one piece already: the same model without normalising and splitting.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes | None] = {b"": b""}  # None: not one piece
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = array("I", [end_id]).tobytes()
 
+    def one_by_one(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def pieces(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Learn words that are one piece each: many in one call, told apart by word ends."""
+        for k in range(0, len(words), 5000):
+            part = words[k : k + 5000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                into.update(zip(part, self.one_by_one(part), strict=True))
+                continue
+            raw = ids.astype("<u4").tobytes()
+            into.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+
+    def learn(self, new: list[bytes]) -> None:
+        cores, marks, known = self.cores, self.marks, self.known
+        split = [w.rstrip(MARKS) for w in new]
+        fresh = set(split).difference(cores)
+        one = [c for c in fresh if c.isalpha() and c.islower() or PLAIN.fullmatch(c.decode("utf-8", "replace"))]  # of bytes: ASCII letters
+        self.pieces(one, cores)
+        cores.update(dict.fromkeys(fresh.difference(one)))
+        tails = [w[len(c) :] for w, c in zip(new, split, strict=True)]
+        self.pieces([m for m in set(tails).difference(marks) if m], marks)
+        rest = []
+        for w, c, m in zip(new, split, tails, strict=True):
+            ids = cores[c]
+            if ids is None or m and b"<|" in m:
+                rest.append(w)
+            else:
+                known[w] = ids + marks[m]
+        known.update(zip(rest, self.one_by_one(rest), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every text, end id included."""
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws}.difference(known))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join([*map(known.__getitem__, ws), self.end]) for ws in words]
+        # Words that came first are mostly the frequent ones, so they are what stays.
+        for name in ("known", "cores", "marks"):
+            if len(getattr(self, name)) > MOST_WORDS:
+                setattr(self, name, dict(islice(getattr(self, name).items(), MOST_WORDS // 2)))
+        # A-Z are lowered here, so that fewer words differ; but not where that could make a special token's string.
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        every = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, every))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        if gaps:
+            self.learn(list({every[k] for k in gaps}))
+            known = self.known
+            for k in gaps:
+                ids[k] = known[every[k]]
+        out, at = [], 0
+        for ws in words:
+            out.append(b"".join(ids[at : at + len(ws)]) + self.end)
+            at += len(ws)
+        return out
 
 
 _encoders: dict[tuple[str, int], WordIds] = {}
