@@ -1,44 +1,18 @@
-"""What the corpus operators share: the cluster's shared folder and Arrow plumbing."""
+"""What the corpus operators share: Arrow plumbing and span texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts are handed to the per-row helpers in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one in local mode."""
-    sc = spark.sparkContext
-    set_already = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not set_already:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        set_already = tempfile.mkdtemp(prefix="laminar-")
-        sc.setCheckpointDir(set_already)
-    return set_already.rstrip("/")
-
+from ..sources.shared import fresh_path, materialise
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Texts are handed to the per-row helpers in slices of about so many bytes.
+SLICE_BYTES = 1 << 20
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -48,16 +22,17 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut a batch into runs of rows whose texts have about `most` bytes together."""
-    texts = utf8(batch.column(text_col))
+    """Cut a batch into runs of rows whose texts have about `most` bytes together; only a run's texts are copied at a time."""
+    column = batch.column(text_col)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
-            yield batch.slice(first, k + 1 - first), texts[first : k + 1]
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield batch.slice(first), texts[first:]
+    for k, n in enumerate([*sizes, most]):
+        size += n
+        if size >= most or k == len(sizes):
+            to = min(k + 1, len(sizes))
+            if to > first:
+                yield batch.slice(first, to - first), utf8(column.slice(first, to - first))
+            first, size = to, 0
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -107,4 +82,4 @@ def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
 
-__all__ = ["F", "T", "append_in_arrow", "documents", "field", "fresh_path", "materialise", "shared_dir", "slices", "span_digest", "span_text", "utf8"]
+__all__ = ["append_in_arrow", "documents", "field", "fresh_path", "materialise", "slices", "span_digest", "span_text", "utf8"]
