@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.graph import components
 from .common import append_in_arrow, field, materialise
 
 BITS, SEGMENTS = 3, 6
@@ -195,7 +196,7 @@ def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pending.append([c.to_numpy() for c in batch.columns])
         held += batch.num_rows
-        if held < 1 << 16:
+        if held < max(1 << 16, len(rest[0])):  # a key that goes on is copied ever more rarely
             continue
         k, part, fp = (np.concatenate(x) for x in zip(rest, *pending, strict=True))
         same = (k == k[-1]) & (part == part[-1])
@@ -205,29 +206,11 @@ def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done([np.concatenate(x) for x in zip(rest, *pending, strict=True)])
 
 
-def components(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """(fp, label) of every fingerprint on an edge; label is the same within a component and differs between them.
-
-    `edges` (fp, to) with one row per pair. Each round writes one table: labels move
-    to the smallest neighbour label, then jump to their label's label.
-    """
-    both = materialise(edges.select("fp", "to").union(edges.select(F.col("to").alias("fp"), F.col("fp").alias("to"))).distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy("fp").agg(F.least(F.min("to"), F.first("fp")).alias("label")), name)
-    while True:
-        met = both.join(labels.select(F.col("fp").alias("to"), "label"), "to").groupBy("fp").agg(F.min("label").alias("near"))
-        lowered = labels.join(met, "fp").select("fp", "label", F.least("label", "near").alias("low"))
-        jumped = lowered.join(labels.select(F.col("fp").alias("low"), F.col("label").alias("jump")), "low", "left")
-        moved = materialise(jumped.select("fp", F.coalesce(F.least("low", "jump"), "low").alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved")), name)
-        labels = moved.select("fp", "label")
-        if moved.filter("moved").isEmpty():
-            return labels
-
-
 def linked(prints: DataFrame) -> DataFrame:
     """(fp, label) of all fingerprints that have a link."""
     filed = keyed(prints.select("fp").distinct()).repartition("k", "part").sortWithinPartitions("k", "part")
     schema = T.StructType([field("fp", T.LongType()), field("to", T.LongType())])
-    return components(filed.mapInArrow(key_edges, schema).distinct())
+    return components(filed.mapInArrow(key_edges, schema), "fp", "to").withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
