@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import graph
 from ..functions.dimensions import CODEBOOK
+from ..sources.shared import materialise
 
 MASK = ["image_id", "mask"]
 EIGHT = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -38,6 +39,7 @@ def components(mask: DataFrame, conn: int = 8) -> DataFrame:
     order = W.partitionBy(*MASK, "y").orderBy("x")
     run = pixels.withColumn("island", F.col("x") - F.row_number().over(order))
     runs = run.groupBy(*MASK, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("run", F.struct("y", "x0"))
+    runs = materialise(runs, "runs")  # read by the links, the labels and the result
     slack = 1 if conn == 8 else 0
     below = runs.select(*MASK, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("other"))
     links = runs.join(below, [*MASK, "y"]).filter((F.col("x0") <= F.col("b1") + slack) & (F.col("b0") <= F.col("x1") + slack)).select(*MASK, "run", "other")
