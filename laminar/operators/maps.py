@@ -228,8 +228,17 @@ def clip_value(cells: DataFrame, exact: bool = True) -> DataFrame:
 
 def subfield_stats(cells: DataFrame, scale: float, fill: bool = True, ratio: bool = False) -> DataFrame:
     """MAP-23. Mean, volume and missing share by subfield with `all`; without filling, -1 cells take part."""
-    used = nearest_fill(cells) if fill else cells
-    per = subfield_mean(used, ratio).join(subfield_volume(used, scale), [*MAP, "subfield"]).join(missing_share(cells), [*MAP, "subfield"])
+    mean = F.avg("value")
+    mean = F.bround(mean, 3) if ratio else truncated(mean).cast("double")
+    volume = F.bround(F.sum("value") * num(scale * scale * 1e-9), 3)
+    missing = F.bround(100 * F.avg(F.when(F.col("value") == -1, 1.0).otherwise(0.0)), 2)
+    inside = cells.filter("subfield is not null")
+    keys = [*MAP, "subfield"]
+    if fill:
+        filled = nearest_fill(cells).groupBy(*keys).agg(mean.alias("mean"), volume.alias("volume"))
+        per = filled.join(inside.groupBy(*keys).agg(missing.alias("missing_percent")), keys)
+    else:  # one pass over the cells
+        per = inside.groupBy(*keys).agg(mean.alias("mean"), volume.alias("volume"), missing.alias("missing_percent"))
     return per.unionByName(grid_total(cells, scale), allowMissingColumns=True)
 
 
