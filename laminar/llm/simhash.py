@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from ..functions.graph import components
 from .common import append_in_arrow, field, materialise
+from .shingles import representatives as representatives
 
 BITS, SEGMENTS = 3, 6
 #: Bit ranges of the ring segments.
@@ -226,21 +227,3 @@ def with_components(prints: DataFrame, labels: DataFrame, id_col: str) -> DataFr
     shared = materialise(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(shared, "fp", "left").select(id_col, hexed, F.when(F.col("component_id").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id.
-
-    Rows that share that id count as copies, and one of them stays. A component of null ids
-    alone can't be told apart, so all of it stays.
-    """
-    found = materialise(near_duplicates(docs, id_col, text_col, words_per_shingle), "near-duplicates")
-    copies = found.filter(F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col)) | F.col(id_col).isNull() & F.col("component_id").isNotNull())
-    gone = materialise(copies.select(F.col(id_col).alias("__gone")).distinct(), "copies")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    again = materialise(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again"), "repeated")
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, kept[id_col].eqNullSafe(again["__again"]), "left_anti")
-    shared = kept.join(again, kept[id_col] == again["__again"], "left_semi").dropDuplicates([id_col])
-    return single.unionByName(shared)
