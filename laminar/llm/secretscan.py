@@ -1,7 +1,7 @@
 """Secret scans: pattern rules, and a randomness test battery with false-discovery control.
 
-Rules find assignments, access keys and hexadecimal runs. The battery judges other long
-tokens that mix letters and digits: the encoding is inferred from the alphabet, and
+Rules find assignments, access keys and hexadecimal runs. The battery judges all other
+long tokens: the encoding is inferred from the alphabet, and
 three tests ask whether the token looks uniformly random in it - chi-squared on
 symbol groups, a runs test about the alphabet's middle, and lag-one serial
 correlation. Fisher's sum of their p-values is the token's score: small for random
@@ -36,7 +36,8 @@ from .common import append_in_arrow, field, materialise, span_digest
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: An equals sign ends a name or pads a token; it is never a token's first character.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_-]))?")
 #: Cheap linear-time filters for the texts that the rules have to read.
 MAYBE = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{14}", "hex": "[0-9a-f]{16}", "token": "[A-Za-z0-9+/_-]{20}"}
 KINDS = ["assign", "access", "hex", "random"]
@@ -126,13 +127,6 @@ def bin_of(value: float) -> int:
     return min(BINS - 1, int(value * 2))
 
 
-def looks_coded(token: str) -> bool:
-    """Letters and digits, mixed: not a number, a word, or words with a few digits."""
-    digits = sum(map(str.isdigit, token))
-    letters = sum(map(str.isalpha, token))
-    return digits >= 2 and letters >= 2
-
-
 def base_spans(text: str, kinds: set[str] = frozenset(KINDS)) -> list[tuple[str, int, int]]:
     out = []
     if "assign" in kinds:
@@ -170,7 +164,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
             if "token" in kinds:
                 for m in TOKEN.finditer(text):
                     a, b = m.span()
-                    if looks_coded(m[0]) and not any(s[1] < b and a < s[2] for s in spans) and (s := score(m[0])) is not None:
+                    if not any(s[1] < b and a < s[2] for s in spans) and (s := score(m[0])) is not None:
                         tokens.append((a, b, band_of(b - a), bin_of(s)))
             names = [s[0] for s in spans]
             row = [names.count("assign"), names.count("access"), names.count("hex"), span_digest(spans), [(a, KINDS.index(n), b) for n, a, b in spans], tokens, text_windows(text)]
@@ -244,7 +238,7 @@ def redact(docs: DataFrame, text_col: str = "text", rate: float = RATE, mark: st
                 if "token" in kinds:
                     for m in TOKEN.finditer(text):
                         a, b = m.span()
-                        if looks_coded(m[0]) and not any(s < b and a < e for s, e in base) and (s := score(m[0])) is not None and bin_of(s) < limit[band_of(b - a)]:
+                        if not any(s < b and a < e for s, e in base) and (s := score(m[0])) is not None and bin_of(s) < limit[band_of(b - a)]:
                             spans.append((a, b))
                 out, done = [], 0
                 for a, b in sorted(spans):
