@@ -7,9 +7,14 @@ symbol groups, a runs test about the alphabet's middle, and lag-one serial
 correlation. Fisher's sum of their p-values is the token's score: small for random
 strings, large for text.
 
-False discoveries are controlled against the corpus itself: every document gives,
-for each length band, a window of its own text with white space removed, scored the same way. A token's
-p-value is the share of its length band's windows that score as random or more so.
+False discoveries are controlled against the corpus itself: what a text holds besides base
+spans and long tokens is joined over its letters, digits and marks of the alphabets, and cut for each length
+band into windows, side by side over the whole text, scored the same way. A token's
+p-value is the share of its length band's windows that score as random or more so. A band
+with fewer than FEW windows borrows those of the shorter bands (short text looks more
+random than long text, so this is on the safe side); if there are too few still, as in a
+corpus of other scripts, its tokens count as secrets where the battery doesn't reject
+randomness at RATE, by the analytic chi-squared distribution of the score.
 Benjamini-Hochberg over all tokens of the corpus sets one p-value limit, hence a
 score limit for each length band. Counts are kept by band and score bin (at most
 BANDS x BINS rows), so every document takes part and what reaches the driver is bounded.
@@ -57,6 +62,14 @@ LENGTHS = (20, 28, 40, 64, 128)  # lower ends of the length bands
 BANDS, BINS = len(LENGTHS), 128
 #: False-discovery rate, and the score beyond which a token isn't taken for random whatever its rank: the 0.999 quantile of chi-squared at 6 degrees.
 RATE, LARGEST = 0.05, 22.458
+#: Windows below which a band's own distribution isn't relied on.
+FEW = 200
+#: Characters of the encodings, the encodings that hold each (a bit each), and each encoding's index of it.
+CODED = re.compile(r"[^A-Za-z0-9+/_-]+")
+MEMBER = np.array([sum(1 << e for e, (_, alphabet, _) in enumerate(SETS) if chr(c) in alphabet) for c in range(128)], np.uint8)
+INDEX = np.array([[index.get(chr(c), 0) for c in range(128)] for _, _, index in SETS], np.uint8)
+#: Windows are scored in blocks of about so many characters.
+BLOCK = 1 << 17
 
 
 def upper_gamma_half(k2: int, x: float) -> float:
@@ -138,66 +151,144 @@ def base_spans(text: str, kinds: set[str] = frozenset(KINDS)) -> list[tuple[str,
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def text_windows(text: str) -> list[int]:
-    """band * BINS + bin of one window of ordinary text for each length band, as the tests would see it."""
-    letters = "".join(text[len(text) // 3 :][:600].split())
-    out = []
+def each_value(make, values: np.ndarray) -> np.ndarray:
+    """make of each value, called once for each different one."""
+    different, at = np.unique(values, return_inverse=True)
+    return np.array([make(x) for x in different.tolist()], float)[at]
+
+
+def window_scores(v: np.ndarray, encoding: int) -> np.ndarray:
+    """`score` of many windows of one length in one encoding: v holds a window's symbols in each column."""
+    n, k = v.shape[0], len(SETS[encoding][2])
+    groups = max(2, min(8, n // 5))
+    share = np.bincount(np.arange(k) * groups // k, minlength=groups) / k
+    of = (np.arange(k) * groups // k).astype(np.uint8)[v]
+    statistic = sum(((of == g).sum(0, dtype=np.uint8).astype(float) - n * share[g]) ** 2 / (n * share[g]) for g in range(groups))
+    uniform = each_value(lambda x: upper_gamma_half(groups - 1, x), statistic)
+    kinds = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 1 for c in SETS[encoding][2]], np.uint8)
+    want = np.bincount(kinds, minlength=3) / k
+    used = np.flatnonzero(want)
+    if len(used) > 1:
+        of = kinds[v]
+        statistic = sum(((of == g).sum(0, dtype=np.uint8).astype(float) - n * want[g]) ** 2 / (n * want[g]) for g in used.tolist())
+        uniform = np.minimum(1.0, 2 * np.minimum(uniform, each_value(lambda x: upper_gamma_half(len(used) - 1, x), statistic)))
+
+    def runs_p(code: int) -> float:
+        above, runs = divmod(code, 1 << 10)
+        below = n - above
+        if not above or not below:
+            return 2.0 ** (1 - n)
+        mean = 1 + 2 * above * below / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        return math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
+
+    high = v >= k / 2
+    runs = 1 + (high[1:] != high[:-1]).sum(0, dtype=np.uint8).astype(np.int64)
+    run_p = each_value(runs_p, (high.sum(0, dtype=np.uint8).astype(np.int64) << 10) + runs)
+    wide = v.astype(np.uint16)
+    total, squares = wide.sum(0, dtype=np.int64), (wide * wide).sum(0, dtype=np.int64)
+    mean = total / n
+    power = np.where(n * squares == total * total, 0.0, squares - n * mean**2)  # exactly zero for one symbol
+    product = (wide[1:] * wide[:-1]).sum(0, dtype=np.int64) - mean * (2 * total - wide[0] - wide[-1]) + (n - 1) * mean**2
+    r = np.divide(product, power, out=np.ones(len(power)), where=power > 0)
+    serial_p = np.array(list(map(math.erfc, (np.abs(r + 1 / n) * math.sqrt(n / 2)).tolist())))
+    return -2 * sum(np.log(np.maximum(p, 1e-300)) for p in (uniform, run_p, serial_p))
+
+
+def text_windows(texts: list[str]) -> list[tuple[int, int]]:
+    """(band * BINS + bin, windows) over all windows of ordinary texts (coded characters only), as the tests would see them."""
+    chars = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    counts = np.zeros(BANDS * BINS, np.int64)
     for band, n in enumerate(LENGTHS):
-        window = letters[:n]
-        if len(window) == n and (s := score(window)) is not None:
-            out.append(band * BINS + bin_of(s))
-    return out
+        whole = [c[: len(c) // n * n] for c in chars if len(c) >= n]
+        if not whole:
+            continue
+        windows = np.concatenate(whole).reshape(-1, n)
+        rows = max(1, BLOCK // n)
+        for first in range(0, len(windows), rows):
+            block = np.ascontiguousarray(windows[first : first + rows].T)
+            fits = np.bitwise_and.reduce(MEMBER[block], axis=0)
+            for encoding in range(len(SETS)):  # the narrowest that fits
+                mine = np.flatnonzero((fits & ((2 << encoding) - 1)) == 1 << encoding)
+                if len(mine):
+                    bins = np.minimum(BINS - 1, (window_scores(INDEX[encoding][block[:, mine]], encoding) * 2).astype(np.int64))
+                    counts[band * BINS : (band + 1) * BINS] += np.bincount(bins, minlength=BINS)
+    return [(int(c), int(counts[c])) for c in np.flatnonzero(counts)]
+
+
+def ordinary(text: str, spans: list[tuple[int, int]]) -> str:
+    """The coded characters of a text outside the spans."""
+    parts, done = [], 0
+    for a, b in sorted(spans):
+        parts.append(text[done : max(done, a)])
+        done = max(done, b)
+    return CODED.sub("", "".join([*parts, text[done:]]))
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (the id), base counts and digest, base spans, scored tokens, and the windows' bins."""
+    """The kept columns (the id), base counts and digest, base spans, scored tokens, and the windows' bins (of a slice of texts, with its first row)."""
 
     def compute(texts: list[bytes]) -> list:
         column = pa.array(texts, pa.binary())
         maybe = {k: pc.match_substring_regex(column, p).to_pylist() for k, p in MAYBE.items()}
         cols: list[list] = [[] for _ in fields]
+        plain = []
         for k, raw in enumerate(texts):
             kinds = {x for x in MAYBE if maybe[x][k]}
             text = raw.decode("utf-8", "replace")
             spans = base_spans(text, kinds) if kinds else []
-            tokens = []
+            tokens, long_tokens = [], []
             if "token" in kinds:
                 for m in TOKEN.finditer(text):
                     a, b = m.span()
+                    long_tokens.append((a, b))
                     if not any(s[1] < b and a < s[2] for s in spans) and (s := score(m[0])) is not None:
                         tokens.append((a, b, band_of(b - a), bin_of(s)))
             names = [s[0] for s in spans]
-            row = [names.count("assign"), names.count("access"), names.count("hex"), span_digest(spans), [(a, KINDS.index(n), b) for n, a, b in spans], tokens, text_windows(text)]
+            row = [names.count("assign"), names.count("access"), names.count("hex"), span_digest(spans), [(a, KINDS.index(n), b) for n, a, b in spans], tokens, []]
+            plain.append(ordinary(text, [*((s[1], s[2]) for s in spans), *long_tokens]))
             for col, x in zip(cols, row, strict=True):
                 col.append(x)
+        if texts:
+            cols[6][0] = text_windows(plain)
         as_struct = lambda names, rows: [[dict(zip(names, t, strict=True)) for t in r] for r in rows]
         cols[4] = as_struct(("start", "kind", "end"), cols[4])
         cols[5] = as_struct(("start", "end", "band", "bin"), cols[5])
+        cols[6] = as_struct(("code", "n"), cols[6])
         return cols
 
     long = T.LongType()
     span = T.StructType([field("start", long), field("kind", T.IntegerType()), field("end", long)])
     token = T.StructType([field("start", long), field("end", long), field("band", T.IntegerType()), field("bin", T.IntegerType())])
-    fields = [field("n_assign", long), field("n_access", long), field("n_hex", long), field("base_sha256", T.StringType()), field("base_spans", T.ArrayType(span)), field("tokens", T.ArrayType(token)), field("windows", T.ArrayType(T.IntegerType()))]
+    windows = T.StructType([field("code", long), field("n", long)])
+    fields = [field("n_assign", long), field("n_access", long), field("n_hex", long), field("base_sha256", T.StringType()), field("base_spans", T.ArrayType(span)), field("tokens", T.ArrayType(token)), field("windows", T.ArrayType(windows))]
     return append_in_arrow(docs, text_col, ["doc_id"] if keep is None else keep, fields, compute)
 
 
 def limits(scanned: DataFrame, rate: float = RATE) -> list[int]:
     """For each length band, the score bin below which tokens count as secrets (Benjamini-Hochberg over all tokens)."""
     counts = {"windows": np.zeros((BANDS, BINS)), "tokens": np.zeros((BANDS, BINS))}
-    codes = {"windows": F.col("x"), "tokens": F.col("x.band") * BINS + F.col("x.bin")}
+    codes = {"windows": (F.col("x.code"), F.sum("x.n")), "tokens": (F.col("x.band") * BINS + F.col("x.bin"), F.count(F.lit(1)))}
     for name, table in counts.items():
-        for code, n in scanned.select(F.explode(name).alias("x")).groupBy(codes[name].alias("code")).count().collect():  # at most BANDS * BINS rows
+        code, n = codes[name]
+        for code, n in scanned.select(F.explode(name).alias("x")).groupBy(code.alias("code")).agg(n).collect():  # at most BANDS * BINS rows
             table[divmod(code, BINS)] = n
-    null = counts["windows"]
+    null, tokens = counts["windows"].copy(), counts["tokens"]
+    for band in range(1, BANDS):
+        for shorter in range(band - 1, -1, -1):
+            if null[band].sum() < FEW:
+                null[band] += counts["windows"][shorter]
+    analytic = null.sum(1) < FEW
     p = (1 + null.cumsum(1)) / (1 + null.sum(1, keepdims=True))
     p = np.where(np.arange(BINS) / 2 <= LARGEST, p, 2.0)
-    total, found = counts["tokens"].sum(), 0.0
+    p[analytic] = 2.0
+    total, found = tokens[~analytic].sum(), 0.0
     for value in np.unique(p[p <= 1])[::-1]:
-        if total and value <= rate * counts["tokens"][p <= value].sum() / total:
+        if total and value <= rate * tokens[p <= value].sum() / total:
             found = value
             break
-    return [int((p[band] <= found).sum()) for band in range(BANDS)]
+    fits = sum(upper_gamma_half(6, (k + 1) / 2) >= rate for k in range(BINS))
+    return [fits if analytic[band] else int((p[band] <= found).sum()) for band in range(BANDS)]
 
 
 def all_spans(limit: list[int]) -> Column:

@@ -3,6 +3,8 @@
 import random
 import string
 
+import numpy as np
+
 from laminar.llm import secretscan
 
 BASE64 = string.ascii_letters + string.digits + "+/"
@@ -47,3 +49,22 @@ def test_redaction_of_tokens_behind_equals(spark, docs):
     planted = spark.createDataFrame([(10**6 + k, f"SESSION_KEY={c} x") for k, c in enumerate(codes)], "doc_id long, text string")
     got = [r["text"] for r in secretscan.redact(docs.select("doc_id", "text").union(planted)).filter("doc_id >= 1000000").collect()]
     assert sum(t == "SESSION_KEY=[SECRET] x" for t in got) >= 27
+
+
+def test_every_window_of_a_text_counts_and_no_band_is_off(spark, docs):
+    rnd = random.Random(15)
+    text = "héllo, wörld; it's (so) punctuated! " * 60
+    plain = secretscan.ordinary(text, [])
+    counts = [sum(n for c, n in secretscan.text_windows([plain]) if c // secretscan.BINS == b) for b in range(secretscan.BANDS)]
+    assert counts == [len(plain) // n for n in secretscan.LENGTHS]
+    for e, (_, alphabet, _) in enumerate(secretscan.SETS):  # the scores are those of single tokens
+        words = ["".join(rnd.choices(sorted(alphabet), k=40)) for _ in range(40)]
+        words = [w for w in words if next(k for k, s in enumerate(secretscan.SETS) if set(w) <= s[1]) == e]
+        v = secretscan.INDEX[e][np.array([list(w.encode()) for w in words], np.uint8).T]
+        assert np.allclose(secretscan.window_scores(v, e), [secretscan.score(w) for w in words])
+    # Texts of another script give no window; long keys are found all the same.
+    codes = ["".join(rnd.choices(secretscan.ENCODINGS["base62"], k=n)) for n in (24, 32, 48, 80, 140) for _ in range(10)]
+    other = spark.createDataFrame([(k, f"это ключ {c} для входа") for k, c in enumerate(codes)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secretscan.find_secrets(other).collect()}
+    for k in range(0, 50, 10):
+        assert sum("random" in got[j] for j in range(k, k + 10)) >= 7
