@@ -7,8 +7,8 @@ largest id. Reading opens each archive in the task that owns it, checks lengths
 digests, and makes a run of index entries sorted by URL key, time and id. Entries are
 range-partitioned by the same key - split points come from Spark's sample, and as time
 and id belong to the key a URL captured very often is spread like any other - and
-each partition merges its runs with a loser tree. Partition after partition, the
-result is in global order.
+each partition merges its runs with a loser tree. A URL's captures are numbered over all
+partitions. Partition after partition, the result is in global order.
 
 Contract: a null payload is empty, a null URL has the empty key and no target header;
 line breaks in URLs are percent-encoded. A page's date is `EPOCH` plus its id in
@@ -26,7 +26,8 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,13 +188,18 @@ def loser_tree(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
 
 
 def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """All entries in global order, with capture_no, a capture's place within its partition's stretch of the URL's history."""
+    """All entries in global order, with capture_no, a capture's place in its URL's whole history.
+
+    Partitions count their stretches of a history; two rows a partition, the captures of its
+    first and of its last key, tell how many captures of a key lie in the partitions before.
+    """
     spark = runs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = runs.withColumn("__id", F.expr("try_cast(id as bigint)")).repartitionByRange(n, "url_key", "date", F.coalesce("__id", F.lit(-1)), "archive", "offset").drop("__id")
-    schema = T.StructType([*runs.schema.fields, field("capture_no", T.LongType())])
+    schema = T.StructType([*runs.schema.fields, field("capture_no", T.LongType()), field("__part", T.LongType()), field("__seq", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         by_run: dict[str, list[tuple]] = {}
         for batch in batches:
             for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -203,19 +209,25 @@ def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
             run.sort(key=lambda x: x[0])  # linear where the run arrives as it was written
             runs_here.append(run)
         out, last, count = [], None, 0
-        for e in loser_tree(runs_here):
+        for seq, e in enumerate(loser_tree(runs_here)):
             count = count + 1 if e[0] == last else 1
             last = e[0]
-            out.append((*e, count))
+            out.append((*e, count, part, seq))
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), target, strict=True)], schema=target)
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
-    longs = {"payload_bytes", "offset", "length", "capture_no"}
+    longs = {"payload_bytes", "offset", "length", "capture_no", "__part", "__seq"}
     target = pa.schema([(f.name, pa.int64() if f.name in longs else pa.string()) for f in schema])
-    return spread.mapInArrow(merge, schema)
+    merged = materialise(spread.mapInArrow(merge, schema), "merged")
+    ends = merged.groupBy("__part").agg(F.min_by("url_key", "__seq").alias("low"), F.max_by("url_key", "__seq").alias("high"), F.max_by("capture_no", "__seq").alias("n"))
+    both = ends.select("__part", F.explode(F.array(F.struct(F.col("high").alias("url_key"), "n"), F.struct(F.col("low").alias("url_key"), F.lit(0).cast("long").alias("n")))).alias("x")).select("__part", "x.*")
+    earlier = Window.partitionBy("url_key").orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
+    before = both.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").select("__part", "url_key", "before").distinct()
+    whole = merged.join(F.broadcast(before), ["__part", "url_key"], "left").withColumn("capture_no", F.col("capture_no") + F.coalesce("before", F.lit(0)))
+    return whole.repartitionByRange(n, "__part", "__seq").sortWithinPartitions("__part", "__seq").select(*runs.columns, "capture_no")
 
 
 def capture_histories(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
