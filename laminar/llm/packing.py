@@ -11,7 +11,8 @@ shuffled and no state outgrows a bounded pool:
 * at a task's end the remaining tokens go to windows of falling powers of two, so that
   no sequence needs padding;
 * step groups: each sequence joins the open group with the fewest tokens; a group is
-  closed when it holds its share, so groups carry nearly equal work.
+  closed when it holds its share. At a task's end the sequences of the open groups are dealt
+  anew to as many groups as hold about a share each, so no short groups are left over.
 
 Contract: null text is empty; an empty document still has its end token. Every token
 id lies in exactly one piece. A sequence has gapless offsets from 0. sequence_id and
@@ -107,14 +108,24 @@ class WordIds:
                 known[w] = ids + marks[m]
         known.update(zip(rest, self.one_by_one(rest), strict=True))
 
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        """Words with A-Z lowered, so that fewer differ; but not where that could make a special token's string, nor
+        in words with a combining mark (U+0300 to U+036F): the vocabulary composes before it lowers, and some letters
+        compose with a mark in lower case only."""
+        if b"<|" in text:
+            return text.split()
+        if b"\xcc" in text or b"\xcd" in text:
+            return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
+        return text.lower().split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every text, end id included."""
         # Words that came first are mostly the frequent ones, so they are what stays.
         for name in ("known", "cores", "marks"):
             if len(getattr(self, name)) > MOST_WORDS:
                 setattr(self, name, dict(islice(getattr(self, name).items(), MOST_WORDS // 2)))
-        # A-Z are lowered here, so that fewer words differ; but not where that could make a special token's string.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words = list(map(self.words, texts))
         every = list(chain.from_iterable(words))
         ids = list(map(self.known.get, every))
         gaps = [k for k, x in enumerate(ids) if x is None]
@@ -143,7 +154,7 @@ def encoder(path: str, end_id: int) -> WordIds:
 class Packer:
     """Packs (document, start, ids) pieces; `rows` gathers what is packed."""
 
-    def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS):
+    def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS, with_ids: bool = False):
         self.tiers = tuple(sorted(tiers, reverse=True))
         self.pools: list[list[tuple[int, int]]] = [[] for _ in self.tiers]  # (length, piece number), sorted
         self.pieces: dict[int, tuple] = {}
@@ -151,8 +162,9 @@ class Packer:
         self.pool_tokens = pool_tokens
         self.base = partition << 40
         self.sequences = 0
-        self.steps: list[list[int]] = []  # [tokens, step group]
+        self.steps: list[list] = []  # open groups: [tokens, step group, sequences]
         self.step_count = 0
+        self.with_ids = with_ids
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: bytes) -> None:
@@ -207,23 +219,45 @@ class Packer:
         self.emit(size, chosen)
 
     def emit(self, size: int, chosen: list[tuple]) -> None:
-        if len(self.steps) < OPEN_STEPS:
-            self.steps.append([0, self.base + self.step_count])
-            self.step_count += 1
-        step = min(self.steps)
-        step[0] += size
-        if step[0] >= STEP_TOKENS:
-            self.steps.remove(step)
-        offset = 0
+        offset, pieces = 0, []
         for doc, start, ids, total in chosen:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.base + self.sequences, offset, size, step[1], ids))
+            pieces.append((doc, start, n, zlib.crc32(ids), total, self.base + self.sequences, offset, size, ids if self.with_ids else None))
             offset += n
         self.sequences += 1
+        if len(self.steps) < OPEN_STEPS:
+            self.open_step()
+        step = min(self.steps, key=lambda s: s[:2])
+        self.deal(step, size, pieces)
+        if step[0] >= STEP_TOKENS:
+            self.steps.remove(step)
+            self.close(step)
+
+    def open_step(self) -> None:
+        self.steps.append([0, self.base + self.step_count, []])
+        self.step_count += 1
+
+    @staticmethod
+    def deal(step: list, size: int, pieces: list[tuple]) -> None:
+        step[0] += size
+        step[2].append((size, pieces))
+
+    def close(self, step: list) -> None:
+        self.rows += [(*p[:8], step[1], p[8]) for _, pieces in step[2] for p in pieces]
 
     def finish(self) -> None:
         while self.pooled:
             self.window()
+        held = sorted((s for step in self.steps for s in step[2]), key=lambda s: -s[0])
+        left = sum(size for size, _ in held)
+        self.steps = []
+        for _ in range(max(1, round(left / STEP_TOKENS)) if held else 0):
+            self.open_step()
+        for size, pieces in held:  # the longest first, each to the group with the fewest tokens
+            self.deal(min(self.steps, key=lambda s: s[:2]), size, pieces)
+        for step in self.steps:
+            self.close(step)
+        self.steps = []
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, with_ids: bool = False, tiers: tuple[int, ...] = TIERS) -> DataFrame:
@@ -237,7 +271,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, words, id_type = Packer(TaskContext.get().partitionId(), tiers), encoder(vocabulary, end_id), None
+        packer, words, id_type = Packer(TaskContext.get().partitionId(), tiers, with_ids=with_ids), encoder(vocabulary, end_id), None
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*packer.rows, strict=True)) or [[]] * 10
