@@ -16,20 +16,24 @@ Contract: null texts have size 0; a null source is a source of its own and the l
 one. Documents of size 0 are never taken. Rows with equal id and source share one
 key and are decided together. Quality weights that are null or not positive count as
 `LEAST_WEIGHT`. Extra columns are ignored by `mix` and kept by `resample`; input
-columns named like an output give way to it. An empty table gives an empty table.
+columns named like an output give way to it. An empty table gives an empty table. Weights
+and `cap` have to be positive, else a ValueError is raised; a cap too large to matter is no cap.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import field, materialise
+from .common import materialise
 
-#: Key bins of a source; documents' lowest quality weight.
-BINS, LEAST_WEIGHT = 4096, 0.1
+#: Documents' lowest quality weight.
+LEAST_WEIGHT = 0.1
+#: Key bins: so many to an octave, from 2^LOW to 2^HIGH. Keys of any one weight put at most 0.37 * ln 2 / PER_OCTAVE
+#: of their rows into a bin, whatever the weight is.
+PER_OCTAVE, LOW, HIGH = 256, -40, 24
+BINS = PER_OCTAVE * (HIGH - LOW)
 
 
 def words_in(text_col: str) -> Column:
@@ -61,7 +65,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
 
 
 def key_bin() -> Column:
-    return F.least(F.floor((1 - F.exp(-F.col("__key"))) * BINS), F.lit(BINS - 1)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.floor((F.log2("__key") - LOW) * PER_OCTAVE), F.lit(BINS - 1))).cast("int")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -70,10 +74,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     What a capped source leaves is shared again by weight. The level (words per unit
     of weight) only rises, so each round needs two sums over the sources.
     """
-    spark = sources.sparkSession
-    ranked = sources.orderBy("__source").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], float(weights[x[1] % len(weights)])))
-    schema = T.StructType([field("__source", T.StringType()), field("source_size", T.LongType()), field("w", T.DoubleType())])
-    table = materialise(spark.createDataFrame(ranked, schema), "sources")
+    if not weights or min(weights) <= 0 or not cap > 0:
+        raise ValueError("weights and cap have to be positive")
+    place = F.row_number().over(W.orderBy("__source")) - 1  # one row per source
+    by_place = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    table = materialise(sources.select("__source", "source_size", by_place.alias("w")), "sources")
     level, capped = 0.0, -1
     total = table.agg(F.sum("source_size")).first()[0] or 0
     while True:

@@ -180,6 +180,22 @@ def test_mixing(docs, odd_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(odd_docs.limit(0)).count() == 0
 
 
+def test_mixing_refuses_weights_and_caps_without_sense(docs):
+    for kwargs in ({"weights": ()}, {"weights": (1, 0)}, {"cap": 0}, {"cap": -1}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, **kwargs)
+    free = mixing.mix(docs, cap=1e12).groupBy("source_size", "target").count().collect()
+    assert math.isclose(sum(r["target"] for r in free), sum(r["source_size"] for r in free), rel_tol=1e-9)
+
+
+def test_key_bins_are_even_for_any_weight(spark):
+    from pyspark.sql import functions as F
+
+    for weight in (0.1, 1.0, 1e-4):
+        keys = spark.range(100_000).select(mixing.sample_key("id", F.lit(weight), 1).alias("__key"))
+        assert keys.groupBy(mixing.key_bin()).count().agg(F.max("count")).first()[0] < 300
+
+
 def test_mixed_rows_follow_the_plan(docs):
     want = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs).collect() if r["size"]}
     got = {r["doc_id"]: r["count"] for r in mixing.resample(docs).groupBy("doc_id").count().collect()}
