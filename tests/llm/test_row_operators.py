@@ -207,13 +207,42 @@ def test_ogg_checksum_and_damage():
     assert ogg.page_crc(data[:1000]) == slow(data[:1000])
     media = ogg.to_ogg(data)
     got = ogg.from_ogg(media)
-    assert b"".join(p for p, _ in got["streams"][ogg.SAMPLES]) == data and not got["damaged"] and len(got["firsts"]) == 2
-    assert got["streams"][ogg.SAMPLES][-1][1] == len(data) / ogg.RATE
+    assert b"".join(p for p, _ in got["samples"]) == data and not got["damaged"] and len(got["firsts"]) == 2
+    assert [t for _, t in got["samples"]] == [min((k + 1) * ogg.PACKET, len(data)) / ogg.RATE for k in range(-(-len(data) // ogg.PACKET))]
+    assert len(ogg.FIRST_SAMPLES) == 28 and got["firsts"][ogg.SAMPLES] == ogg.FIRST_SAMPLES
     hurt = bytearray(media)
     hurt[5000] ^= 1
     assert ogg.from_ogg(bytes(hurt))["damaged"] >= 1
 
 
+def test_ogg_damage_is_counted_and_never_raised():
+    import random
+
+    rnd = random.Random(12)
+    data = rnd.randbytes(700_000)
+    media = ogg.to_ogg(data)
+    cuts = {data[k : k + ogg.PACKET] for k in range(0, len(data), ogg.PACKET)}
+    places = [m.start() for m in re.finditer(b"OggS", media)]
+    for trial in range(400):
+        hurt = bytearray(media)
+        if trial % 4 == 0:  # a field of a page head
+            at = rnd.choice(places) + rnd.randrange(28)
+            hurt[at] ^= rnd.randrange(1, 256)
+        elif trial % 4 == 1:  # bytes lost
+            at = rnd.randrange(len(hurt))
+            del hurt[at : at + rnd.randrange(1, 5000)]
+        elif trial % 4 == 2:  # a whole page lost
+            k = rnd.randrange(len(places))
+            del hurt[places[k] : (places[k + 1] if k + 1 < len(places) else len(hurt))]
+        else:  # bytes put in
+            at = rnd.randrange(len(hurt))
+            hurt[at:at] = rnd.randbytes(rnd.randrange(1, 300)) + b"OggS" * rnd.randrange(3)
+        got = ogg.from_ogg(bytes(hurt))
+        assert got["damaged"] >= 1 and all(p in cuts for p, _ in got["samples"])
+    for junk in (b"", b"OggS", b"OggS" * 50, rnd.randbytes(3000), media[:40]):
+        assert ogg.from_ogg(junk)["damaged"] >= 1
+
+
 def check_packing(df, rows, vocabulary):
     library = Tokenizer.from_file(vocabulary)
     by_doc, by_sequence = {}, {}
