@@ -3,16 +3,20 @@
 Two compiled machines count the tokens of a byte-level BPE vocabulary without
 building a token list:
 
-* `SPLITTER`, a deterministic transducer over character classes, marks where the
+* `splitter`, a deterministic transducer over character classes, marks where the
   vocabulary's splitting pattern ends one piece and begins the next. A text is cut
   into equal chunks; each chunk becomes a map from any start state to its end
-  state; the maps compose by parallel prefix scan; then all chunks are read once
-  more from their true start states and emit their marks.
+  state and the pieces emitted on the way; the maps compose by parallel prefix scan;
+  then all chunks are read once more from their true start states and write their
+  piece starts at the places that the scan has counted out.
 * `MergeTransducer`, over the bytes of a piece, carries on each transition how many
   tokens the merges of the prefix gain by that byte. A state knows, for every
   suffix that may still grow into a vocabulary entry, the last token before it and
   the count there; the last token of a prefix is the one entry ending there that is
-  stable beside the last token before it. States are compiled when first reached.
+  stable beside the last token before it. States are compiled when first reached,
+  at most MOST_STATES of them at a time, also within one piece. They are too many for
+  maps from every start state, so pieces, which are independent, are what is counted
+  side by side; their counts add up.
 
 Contract: null or empty text has 0 tokens. A special token's string inside a text
 is one token, as the library has it. Texts are read whole; a batch of texts is one
@@ -120,16 +124,24 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
     codes = np.full(width * CHUNK, SKIP, np.uint8)
     codes[:n] = classes
     codes = np.ascontiguousarray(codes.reshape(width, CHUNK).T)
+    gain = np.bitwise_count(mark)
     states = np.repeat(np.arange(11, dtype=np.uint8)[:, None], width, 1)
+    pieces = np.zeros(states.shape, np.int32)
+    same = None  # where all start states have led to one: from here on they emit alike
     for k in range(CHUNK):  # the map of every chunk, from all states at once
-        states = step[states * np.uint8(CLASSES) + codes[k]]
-        if k % 64 == 15 and k < 80 and (states == states[0]).all():
-            states = states[:1]
-    if len(states) == 1:
-        states = np.repeat(states, 11, 0)
+        key = states * np.uint8(CLASSES) + codes[k]
+        states = step[key]
+        pieces += gain[key]
+        if len(states) > 1 and k in (15, 79) and (states == states[0]).all():
+            same, states, pieces = pieces, states[:1], np.zeros((1, width), np.int32)
+    if same is not None:
+        states, pieces = np.repeat(states, 11, 0), same + pieces
+    pieces = pieces.astype(np.int64)
     gap = 1
     while gap < width:  # parallel prefix scan: after it, map i leads from the stream's start through chunk i
-        states[:, gap:] = states[:, gap:][states[:, :-gap], np.arange(width - gap)]
+        column = np.arange(width - gap)
+        pieces[:, gap:] = pieces[:, :-gap] + pieces[:, gap:][states[:, :-gap], column]
+        states[:, gap:] = states[:, gap:][states[:, :-gap], column]
         gap *= 2
     at = np.zeros(width, np.uint8)
     at[1:] = states[0, :-1]
@@ -141,7 +153,9 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
     out = np.ascontiguousarray(out.T).ravel()[:n]
     begins = (out & 1).astype(bool)
     begins[:-1] |= (out[1:] & 2).astype(bool)
-    return np.flatnonzero(begins)
+    starts = np.empty(int(pieces[0, -1]), np.int64)
+    starts[:] = np.flatnonzero(begins)
+    return starts
 
 
 class MergeTransducer:
@@ -157,10 +171,11 @@ class MergeTransducer:
         for entry in self.parts:
             grows.update(entry[:k] for k in range(1, len(entry)))
         self.grows = grows  # strings that a longer entry begins with
-        self.stable: dict[tuple[bytes, bytes], bool] = {}
+        self.stable: dict[tuple[bytes, bytes], bool] = {}  # emptied with the states
         self.reset()
 
     def reset(self) -> None:
+        self.stable.clear()
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.next: list[dict[int, tuple[int, int]]] = []
@@ -212,11 +227,15 @@ class MergeTransducer:
         return made
 
     def count(self, piece: bytes) -> int:
-        if len(self.states) > MOST_STATES:
-            self.reset()
         steps, at, total = self.next, 0, 0
         for byte in piece:
-            to = steps[at].get(byte) or self.build(at, byte)
+            to = steps[at].get(byte)
+            if to is None:
+                if len(self.states) >= MOST_STATES:  # all but the state that is read from are dropped
+                    key = self.states[at]
+                    self.reset()
+                    steps, at = self.next, self.state(key)
+                to = self.build(at, byte)
             at = to[0]
             total += to[1]
         return total

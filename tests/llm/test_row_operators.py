@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -52,6 +53,31 @@ def test_token_counts_of_strange_texts():
     assert counter.counts(every) == [len(e.ids) for e in library.encode_batch(every, add_special_tokens=False)]
 
 
+def test_compiled_states_stay_bounded_within_a_piece(monkeypatch):
+    import random
+
+    monkeypatch.setattr(tokencount, "MOST_STATES", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = tokencount.TokenCounter(path, tokencount.char_classes())
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    assert counter.counts([long]) == [len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)]
+    assert len(counter.machine.states) <= 2001 and len(counter.machine.stable) <= 40 * 2001
+
+
+def test_piece_counts_of_composed_maps():
+    """The pieces that the composed chunk maps count are those that the marks place, for any chunk borders."""
+    import random
+
+    rnd = random.Random(13)
+    table = tokencount.char_classes()
+    for n in (1, 5, 1023, 1024, 1025, 9000):
+        text = "".join(rnd.choice("aabs' \n!9'rel  ") for _ in range(n)) + "\0"
+        classes = table[np.frombuffer(text.encode("utf-32-le"), np.uint32)].copy()
+        classes[-1] = tokencount.END
+        tokencount.piece_starts(classes)  # fails where the counts differ from the marks
+
+
 def rule_secrets(t):
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
