@@ -8,14 +8,16 @@ words and it passes the base rules (20 words; at most 30 % of words in repeated
 
 The field is trained here by gradient ascent on the likelihood of line sequences of
 labelled documents: lines of good documents count as content, lines of bad ones as
-boilerplate. The sample is at most `SAMPLE` documents of each label, of each the
-first `SAMPLE_LINES` lines; that bound holds for training only. As the sample has
+boilerplate. The sample is at most `SAMPLE` ids of each label, with all lines of their
+texts; sequences of more than `STRETCH` lines are learnt from as stretches of so many. That
+bound holds for training only. As the sample has
 both labels alike, a text's first line starts with the log odds of the labels.
 
 Contract: null and empty texts have no word, fail the base rules and aren't kept.
 Texts are read whole. Rows are independent: repeated rows get equal results. Extra
 columns are ignored, an empty table gives an empty table. Without labelled rows of
-both kinds the start weights decide.
+both kinds the start weights decide. An id with both labels isn't learnt from; of an id's
+several texts one, by hash, is.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import append_in_arrow, field
 
-SAMPLE, SAMPLE_LINES, SAMPLE_CHARS = 400, 48, 20_000
+SAMPLE, STRETCH = 400, 48
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Largest transition weight: lines of a document may differ, though the sample's documents have one label each.
@@ -154,13 +156,13 @@ def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 1.
     if not 0 < sum(bad) < len(bad):
         return weights, moves
     got = Lines(texts)
-    docs, most = len(texts), min(SAMPLE_LINES, int(got.lines_in.max()))
+    stretches = [(a, min(a + STRETCH, end), label) for end, n, label in zip(got.last.tolist(), got.lines_in.tolist(), bad, strict=True) for a in range(end - n, end, STRETCH)]
+    docs, most = len(stretches), max(b - a for a, b, _ in stretches)
     x = np.zeros((docs, most, len(FEATURES)))
     live = np.zeros((docs, most), bool)
-    for k, (end, n) in enumerate(zip(got.last, got.lines_in, strict=True)):
-        m = min(most, n)
-        x[k, :m], live[k, :m] = got.features[end - n : end - n + m], True
-    y = np.array(bad)
+    for k, (a, b, _) in enumerate(stretches):
+        x[k, : b - a], live[k, : b - a] = got.features[a:b], True
+    y = np.array([label for _, _, label in stretches])
     weight = np.where(y == 1, docs / (2 * y.sum()), docs / (2 * (docs - y.sum())))[:, None] / live.sum()
     pairs = live[:, 1:]
     size, size_moves = np.full(len(FEATURES), 1e-12), np.full((2, 2), 1e-12)  # squared gradients so far: each step is scaled by their root
@@ -189,26 +191,35 @@ def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 1.
     return weights, moves
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int, chars: int, keep=None) -> list[tuple[bytes, int]]:
-    """At most `each` texts of each label, by hash of the id: (the first `chars` characters, label)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int, keep=None) -> list[tuple[bytes, int]]:
+    """(text, label) of at most `each` ids of each label, by hash of the id: ids with one label only, one text of each."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if keep is not None:
         known = known.filter(keep)
+    known = known.groupBy(id_col).agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__most")).filter("__label = __most").drop("__most")
     picked = None
     for value in (0, 1):
-        of = known.filter(F.col(label_col) == value).select(id_col, F.col(label_col).alias("__label")).distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(each)
+        of = known.filter(F.col("__label") == value).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(each)
         picked = of if picked is None else picked.union(of)
-    rows = docs.select(id_col, F.substring(text_col, 1, chars).alias("__text")).join(F.broadcast(picked), id_col)  # at most 2 * each rows
-    got = rows.filter("__text is not null").select(id_col, "__text", "__label").orderBy(id_col, "__text", "__label").limit(4 * each).collect()
-    return [(r["__text"].encode(), r["__label"]) for r in got]
+    rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(picked), id_col)  # at most 2 * each ids
+    one = rows.groupBy(id_col, "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    return [(r["__text"].encode(), r["__label"]) for r in sorted(one.collect(), key=lambda r: (str(r[id_col]), r["__label"]))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, transitions and the first line's start score."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, SAMPLE, SAMPLE_CHARS)
-    weights, moves = train([t for t, _ in sample], [1 - y for _, y in sample])
+def label_counts(labels: DataFrame, label_col: str) -> tuple[int, int]:
+    """Rows labelled good, rows labelled bad."""
     counts = {r[label_col]: r["count"] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}  # two rows
-    return weights, moves, -math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
+    return counts.get(1, 0), counts.get(0, 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep=None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, transitions and the first line's start score, learnt from the labels (those that `keep` holds of)."""
+    known = labels.select(id_col, label_col)
+    known = known if keep is None else known.filter(keep)
+    sample = labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE)
+    weights, moves = train([t for t, _ in sample], [1 - y for _, y in sample])
+    good, bad = label_counts(known, label_col)
+    return weights, moves, -math.log((good + 1) / (bad + 1))
 
 
 def decode(got: Lines, model: tuple[np.ndarray, np.ndarray, float]) -> list[list[int]]:

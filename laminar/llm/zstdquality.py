@@ -2,19 +2,19 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A
 text that compresses better with the good one is like the good texts: the difference
-of the two compressed sizes over the plain compressed size is the evidence. A logistic
-fit on labelled texts outside the dictionaries calibrates it to a probability, together
-with the single ratios, the evidence's spread over the text's blocks and the text's length; the
-share of good labels among all training labels then sets the probability's level.
+of its two compressed sizes, normalised by its own size, is all that its score depends on. A
+logistic fit of that one number on labelled texts outside the dictionaries calibrates it to a
+probability; the share of good labels among all training labels sets the probability's level.
 
 Labels come from the training rows only; language, source and id are never inputs. The
-sample for training is at most SAMPLE texts of each label, of each at most SAMPLE_CHARS
-characters; half of it builds the dictionaries, half fits the calibration. Scoring
-reads whole texts, in blocks of BLOCK bytes.
+sample for training is at most SAMPLE ids of each label, with their whole texts; half of it
+builds the dictionaries, half fits the calibration. Scoring reads whole texts, in blocks of
+BLOCK bytes, so that a long text meets the dictionaries as a short one does.
 
 Contract: null and empty texts get the share of good labels, for want of evidence. Without training rows of
-both labels every score is 0.5. Rows are independent, repeated rows equal, extra
-columns ignored; an empty table gives an empty table.
+both labels every score is 0.5. An id with both labels isn't learnt from; of an id's several texts
+one, by hash, is. Rows are independent, repeated rows equal, extra columns ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_in_arrow, field
-from .linecrf import labelled_sample
+from .linecrf import label_counts, labelled_sample
 
-SAMPLE, SAMPLE_CHARS, DICTIONARY, BLOCK = 1500, 6000, 96_000, 32_768
+SAMPLE, DICTIONARY, BLOCK = 1500, 96_000, 1024
 LEVEL = 3
 
 
@@ -39,31 +39,23 @@ def held_out(id_col: str) -> Column:
 
 
 class Sizes:
-    """Compressed sizes of texts: plain, and with each dictionary."""
+    """Compressed sizes of texts with each dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
 
         quiet = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, **quiet)
         self.by = []
         for data in (good, bad):
             d = zstandard.ZstdCompressionDict(data)
             d.precompute_compress(level=LEVEL)
-            self.by.append(zstandard.ZstdCompressor(dict_data=d, **quiet))
-
-    def evidence(self, text: bytes) -> list[float]:
-        """Normalised size difference; plain, good and bad ratios; the least and greatest block's difference; log length."""
-        if not text:
-            return [0.0] * 7
-        gaps, plain, good, bad = [], 0, 0, 0
-        for k in range(0, len(text), BLOCK):
-            block = text[k : k + BLOCK]
-            p = len(self.plain.compress(block))
-            g, b = (len(c.compress(block)) for c in self.by)
-            plain, good, bad = plain + p, good + g, bad + b
-            gaps.append((b - g) / p)
-        return [(bad - good) / plain, plain / len(text), good / plain, bad / plain, min(gaps), max(gaps), math.log(len(text)) / 10]
+            self.by.append(zstandard.ZstdCompressor(dict_data=d, **quiet).compress)
+
+    def difference(self, text: bytes) -> float:
+        """Bytes that the good dictionary saves over the bad one, by byte of text."""
+        good, bad = self.by
+        blocks = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
+        return sum(len(bad(x)) - len(good(x)) for x in blocks) / max(1, len(text))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,18 +89,18 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
     """(good dictionary, bad dictionary, calibration, share of good labels), or None without rows of both labels."""
     known = labels.select(id_col, label_col)
-    sample = labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE, SAMPLE_CHARS, ~held_out(id_col))
+    sample = labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE, ~held_out(id_col))
     by = {y: [t for t, label in sample if label == y] for y in (0, 1)}
     if min(map(len, by.values())) < 2:
         return None
     good, bad = (dictionary(by[y][::2], DICTIONARY) for y in (1, 0))
     sizes = Sizes(good, bad)
     rest = [(t, y) for y in (0, 1) for t in by[y][1::2]]
-    x = np.array([sizes.evidence(t) for t, _ in rest])
+    x = np.array([[sizes.difference(t)] for t, _ in rest])
     mean, scale, w = logistic(x, np.array([y for _, y in rest]))
-    counts = {r[label_col]: r["count"] for r in known.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}  # two rows
-    w[0] += math.log(counts[1] / counts[0])  # the fit weighs both labels alike
-    level = 1 / (1 + math.exp(-math.log(counts[1] / counts[0])))
+    good_n, bad_n = label_counts(known.filter(~held_out(id_col)), label_col)
+    w[0] += math.log(good_n / bad_n)  # the fit weighs both labels alike
+    level = good_n / (good_n + bad_n)
     return good, bad, (mean, scale, w), level
 
 
@@ -127,7 +119,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
         if key not in _sizes:
             _sizes.clear()
             _sizes[key] = Sizes(good, bad)
-        x = np.array([_sizes[key].evidence(t) for t in texts])
+        x = np.array([[_sizes[key].difference(t)] for t in texts])
         p = 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / scale) @ w[1:], -30, 30)))
         p = np.where([len(t) > 0 for t in texts], p, level)
         return [p, (p >= 0.5).astype(np.int32)]

@@ -196,9 +196,10 @@ def test_viterbi_is_the_best_path():
 
 
 def test_good_documents_stay(spark):
+    """On labels that the field hasn't learnt from."""
     big = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
-    got = linecrf.judge(docs, linecrf.fit(docs, labels)).join(labels, "doc_id")
+    got = linecrf.judge(docs, linecrf.fit(docs, labels, keep=~zstdquality.held_out("doc_id"))).join(labels, "doc_id").filter(zstdquality.held_out("doc_id"))
     share = {r["quality"]: r["s"] for r in got.filter("n_words >= 20").groupBy("quality").agg({"kept": "max"}).withColumnRenamed("max(kept)", "s").collect()}
     assert share[1]
     counts = {(r["quality"], r["kept"]): r["count"] for r in got.filter("n_words >= 20").groupBy("quality", "kept").count().collect()}
@@ -356,6 +357,15 @@ def test_classifier(spark):
     assert auc > 0.9
 
 
+def test_sample_takes_whole_texts_and_ids_with_one_label(spark):
+    docs = spark.createDataFrame([(1, "a" * 50_000), (1, "b"), (2, "two"), (3, None), (4, "four"), (None, "none"), (5, "five")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    got = linecrf.labelled_sample(docs, labels, "doc_id", "text", "quality", 10)
+    assert len(got) == 2 and got[1] == (b"four", 0) and got[0] in ((b"a" * 50_000, 1), (b"b", 1))
+    hot = docs.crossJoin(spark.range(500)).select("doc_id", "text")
+    assert linecrf.labelled_sample(hot, labels, "doc_id", "text", "quality", 10) == got
+
+
 def test_classifier_on_odd_rows(odd_docs, labels):
     for known in (labels, labels.limit(0)):
         model = zstdquality.fit(odd_docs, known)
