@@ -8,12 +8,20 @@ differing bits, at least SEGMENTS - BITS segments agree, so every fingerprint is
 filed under each choice of so many segments (20 keys of 32 to 33 bits). Within a key
 a candidate pair has to pass the pigeonring filter before the full Hamming check:
 from some start segment, the sums of differences of 1, 2, 3, ... consecutive
-segments all stay within their proportional share of BITS. Keys with very many
-members are searched by flipped bits instead of by pairs, which is linear in the
-members. Each key emits at most one edge per member, from it to the smallest
-fingerprint it reaches inside the key, so no group is ever expanded into pairs.
-Components of the edges come from min-label propagation with pointer jumping over
-checkpointed tables.
+segments all stay within their proportional share of BITS.
+
+Keys of more than HOT members aren't met in one task: the bits that such a key leaves
+free are cut into SEGMENTS segments again, and its members are filed anew under each
+choice of SEGMENTS - BITS of these, for the same reason. What agrees then is 46 bits or
+more, so a key has at most 2^18 different members, however many documents there are. The
+work within a key is by blocks of pairs. Each key emits at most one edge per member,
+from it to the smallest fingerprint it reaches inside the key, so no group is ever
+expanded into pairs. Components of the edges come from min-label propagation with pointer
+jumping over checkpointed tables.
+
+`representatives` keeps one document of each group of near copies at a shingle similarity
+(see `shingles`), where no choice of segments selects; it uses the fingerprints and
+the pigeonring filter with a larger budget.
 
 Contract: null and empty texts have no word and fingerprint zero, and are linked
 like any other. Equal fingerprints are filed once, however many rows share them.
@@ -29,34 +37,37 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.graph import components
 from .common import append_in_arrow, field, materialise
-from .shingles import representatives as representatives
 
 BITS, SEGMENTS = 3, 6
 #: Bit ranges of the ring segments.
 EDGES = [0, 11, 22, 33, 44, 54, 64]
-#: Members of a key up to which pairs are compared; larger keys are searched by flipped bits.
-PAIRWISE = 6000
+#: Members of a key beyond which it is cut up.
+HOT = 2000
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
-    """SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII white space, XXH64 with seed 42."""
+def shingle_hashes(text: bytes, words_per_shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of a UTF-8 text's shingles, repeats included: A-Z lower-cased, words between ASCII white space."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     k = min(words_per_shingle, len(words))
     to = (ends[k - 1 :] - 1).tolist()
     at = [0, *ends[: len(words) - k].tolist()]
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(at, to, strict=True)], np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(at, to, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; of none, zero."""
     counts = np.zeros(64, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         part = hashes[first : first + (1 << 16)]
@@ -65,6 +76,11 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
+    """SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None, words_per_shingle: int = 3) -> DataFrame:
     """The kept columns (the id) and `fp`, the fingerprint as a signed long."""
 
@@ -74,14 +90,39 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, keep: list[str] |
     return append_in_arrow(docs, text_col, [id_col] if keep is None else keep, [field("fp", T.LongType())], compute)
 
 
+CHOICES = list(combinations(range(SEGMENTS), SEGMENTS - BITS))
+
+
+def mask_of(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def key_masks() -> list[int]:
+    """The bits of each choice of SEGMENTS - BITS segments."""
+    return [mask_of([b for s in choice for b in range(EDGES[s], EDGES[s + 1])]) for choice in CHOICES]
+
+
+def finer_masks(mask: int) -> list[int]:
+    """A key's bits and each choice of SEGMENTS - BITS of the segments into which its free bits are cut."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [k * len(free) // SEGMENTS for k in range(SEGMENTS + 1)]
+    return [mask | mask_of([b for s in choice for b in free[cuts[s] : cuts[s + 1]]]) for choice in CHOICES]
+
+
+def keys_by(masks: dict[int, int]) -> Column:
+    """(k, part) for each mask: part is the fingerprint's bits under the mask."""
+    signed = {k: m - (1 << 64) if m >> 63 else m for k, m in masks.items()}
+    return F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in signed.items()])
+
+
 def keyed(prints: DataFrame) -> DataFrame:
-    """(k, part, fp): every fingerprint under each choice of SEGMENTS - BITS segments; part is the agreeing bits."""
-    keys = []
-    for k, choice in enumerate(combinations(range(SEGMENTS), SEGMENTS - BITS)):
-        mask = sum(((1 << EDGES[s + 1]) - (1 << EDGES[s])) for s in choice)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(signed)).alias("part")))
-    return prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.part", "fp")
+    """(k, part, fp): every fingerprint under each choice of segments; members of a hot key under its finer choices."""
+    masks = dict(enumerate(key_masks()))
+    filed = prints.select("fp", F.explode(keys_by(masks)).alias("key")).select("key.k", "key.part", "fp")
+    hot = materialise(filed.groupBy("k", "part").count().filter(F.col("count") > HOT).select("k", "part"), "hot-keys")
+    finer = F.array(*[keys_by({100 * (k + 1) + j: m for j, m in enumerate(finer_masks(masks[k]))}) for k in masks])
+    cut = filed.join(hot, ["k", "part"]).select("fp", F.explode(F.element_at(finer, F.col("k") + 1)).alias("key")).select("key.k", "key.part", "fp")
+    return filed.join(hot, ["k", "part"], "left_anti").union(cut)
 
 
 def segment_differences(x: np.ndarray) -> list[np.ndarray]:
@@ -89,71 +130,38 @@ def segment_differences(x: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_count(x & np.uint64((1 << EDGES[s + 1]) - (1 << EDGES[s]))).astype(np.int8) for s in range(SEGMENTS)]
 
 
-def pigeonring(x: np.ndarray) -> np.ndarray:
-    """Whether from some start all chains of consecutive segments stay within l * BITS / SEGMENTS differences."""
+def pigeonring(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Whether from some start all chains of consecutive segments stay within l * bits / SEGMENTS differences."""
     d = segment_differences(x)
     passed = np.zeros(x.shape, bool)
     for start in range(SEGMENTS):
         ok, total = np.ones(x.shape, bool), np.zeros(x.shape, np.int8)
         for length in range(1, SEGMENTS + 1):
             total = total + d[(start + length - 1) % SEGMENTS]
-            ok &= total <= length * BITS // SEGMENTS
+            ok &= total <= length * bits // SEGMENTS
         passed |= ok
     return passed
 
 
+def near(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places of the XORs with at most `bits` bits: those that pass the pigeonring filter are counted in full."""
+    kept = np.flatnonzero(pigeonring(x, bits))
+    return kept[np.bitwise_count(x[kept]) <= bits]
+
+
 def links_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked members of one key; in a very large key, pairs that span the same components."""
+    """Index pairs of linked members of one key, found in blocks."""
     n = len(members)
-    if n <= PAIRWISE:
-        left, right = [], []
-        rows = max(1, (1 << 19) // n)
-        for a in range(0, n, rows):
-            x = members[a : a + rows, None] ^ members[None, :]
-            i, j = np.nonzero(np.triu(np.ones(x.shape, bool), a + 1))
-            x = x[i, j]
-            keep = np.flatnonzero(pigeonring(x))
-            keep = keep[np.bitwise_count(x[keep]) <= BITS]
-            left.append(i[keep] + a)
-            right.append(j[keep])
-        return np.concatenate(left), np.concatenate(right)
-    return flipped_links(members)
-
-
-def flipped_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members within 3 bits meet at a value one flip from one of them and two from the other.
-
-    Only bits in which members differ are flipped. At a value that some member
-    reaches by at most one flip, all that reach it by at most two are linked with it.
-    """
-    spread = int(np.bitwise_or.reduce(members ^ members[0]))
-    flips = [np.uint64(0)] + [np.uint64(1 << b) for b in range(64) if spread >> b & 1]
-    near = np.array(flips, np.uint64)
-    far = np.unique(np.concatenate([near, *[near[1:] ^ f for f in flips[1:]]]))
     left, right = [], []
-    shards = max(1, len(members) * len(far) // (1 << 23))
-    who = np.arange(len(members))
-    for shard in range(shards):  # values are met shard by shard, so memory stays bounded
-        def reach(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            got, of = [], []
-            for f in by:
-                v = members ^ f
-                s = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards) == shard
-                got.append(v[s])
-                of.append(who[s])
-            return np.concatenate(got), np.concatenate(of)
-
-        v1, o1 = reach(near)
-        value, first = np.unique(v1, return_index=True)
-        for v, o in ((v1, o1), reach(far)):
-            at = np.searchsorted(value, v)
-            at[at == len(value)] = 0
-            hit = value[at] == v if len(value) else np.zeros(len(v), bool)
-            hub = o1[first[at[hit]]]
-            left.append(hub)
-            right.append(o[hit])
-    a, b = np.concatenate(left), np.concatenate(right)
-    return a[a != b], b[a != b]
+    rows = max(1, (1 << 19) // n)
+    for a in range(0, n, rows):
+        part = members[a : a + rows]
+        i, j = np.nonzero(np.arange(a, n)[None, :] > np.arange(a, a + len(part))[:, None])
+        x = part[i] ^ members[a + j]
+        kept = near(x)
+        left.append(i[kept] + a)
+        right.append(j[kept] + a)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -227,3 +235,10 @@ def with_components(prints: DataFrame, labels: DataFrame, id_col: str) -> DataFr
     shared = materialise(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(shared, "fp", "left").select(id_col, hexed, F.when(F.col("component_id").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group one row, that with the smallest id (see `shingles.representatives`)."""
+    from . import shingles
+
+    return shingles.representatives(docs, id_col, text_col)

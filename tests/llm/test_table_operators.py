@@ -12,6 +12,8 @@ from xxhash import xxh64_intdigest
 
 from laminar.llm import mixing, simhash, warc
 
+from .test_near_copies import plain_roots
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -94,13 +96,28 @@ def test_pigeonring_passes_all_links():
     assert simhash.pigeonring(far).mean() < 0.01
 
 
-def test_large_key_by_flips():
+def test_hot_keys_are_cut_up(spark, monkeypatch):
+    """Members of one key, more than HOT: the same links, and no task meets them all."""
     rnd = random.Random(10)
     base = rnd.getrandbits(64)
-    members = np.unique(np.array([base ^ sum(1 << b for b in rnd.sample(range(20), rnd.randint(0, 9))) for _ in range(700)], np.uint64))
-    plain = plain_components(members.tolist())
-    to = simhash.roots(len(members), *simhash.flipped_links(members))
-    assert [plain[m] for m in members.tolist()] == [int(members[t]) for t in to]
+    members = sorted({base ^ sum(1 << b for b in rnd.sample(range(28), rnd.randint(0, 9))) for _ in range(900)})
+    monkeypatch.setattr(simhash, "HOT", 60)
+    signed = np.array(members, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    sizes = [r["count"] for r in simhash.keyed(df.select("fp")).groupBy("k", "part").count().collect()]
+    assert max(sizes) < len(members) / 3
+    check_components(simhash.with_components(df, simhash.linked(df), "doc_id").collect())
+
+
+def test_finer_masks_meet_all_pairs():
+    rnd = random.Random(14)
+    for mask in simhash.key_masks():
+        finer = simhash.finer_masks(mask)
+        assert all(m & mask == mask and m.bit_count() >= 46 for m in finer)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(200):
+            x = simhash.mask_of(rnd.sample(free, 3))
+            assert any(not x & m for m in finer)
 
 
 def test_representatives(odd_docs):
@@ -214,8 +231,8 @@ def test_pipeline(spark):
         assert steps[-1].columns == docs.columns
     passed, single, redacted, mixed = steps[1:]
     assert 0 < passed.count() < docs.count()
-    near = simhash.near_duplicates(passed).collect()
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted({r["component_id"] for r in near})
+    rows = sorted(passed.select("doc_id", "text").collect())
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(rows[k][0] for k in set(plain_roots([t for _, t in rows])))
     assert sorted(r["doc_id"] for r in redacted.collect()) == sorted(r["doc_id"] for r in single.collect())
     assert all(r["n_chars"] == len(r["text"]) for r in redacted.collect())
     tokens = p.STAGES[-1][1](spark, mixed, sf)
