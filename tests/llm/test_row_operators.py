@@ -159,6 +159,52 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == "context:18:28" and got[101] == "" and got[3].startswith("phone:18:")
 
 
+def test_discovered_identifiers_support_further_patterns(spark):
+    """Rule matches trust one pattern; what it discovers trusts a second one, which no rule match ever meets."""
+    rows = [(k, f"please call me on +1 (743) 555-{1000 + k} today") for k in range(90)]
+    rows += [(1000 + k, f"kindly call me on desk-77{100 + k}x today") for k in range(8)]
+    rows += [(2000 + k, f"their direct line desk-77{100 + k}x works") for k in range(8)] + [(3000, "their direct line desk-99999z works"), (3001, "about 12345 words were read")]
+    rows += [(4000, "nothing before\nid-5512y today")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1003] == "context:18:29" and got[2003] == "context:18:29" and got[3000] == "context:18:29" and got[3001] == ""
+
+
+def test_context_spans_keep_off_rule_matches(spark):
+    """Long blanks and URLs before an instance; discovered instances that hold a rule match stay the rule's."""
+    far = "see https://example.org/" + "a" * 300 + " and" + " " * 200
+    rows = [(k, f"id 10.0.0.{k} is open, {far}my account no AB{k:05d}C") for k in range(30)]
+    rows += [(100 + k, f"my account no user{k}@mail.example is open") for k in range(300)]
+    rows += [(500 + k, f"my account no x=10.0.{k}.1,z") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_personal_data(df).collect():
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s]
+        base = [s for s in spans if s[0] != "context"]
+        assert all(a >= e or b <= s for k, a, b in spans if k == "context" for _, s, e in base)
+        if r["doc_id"] < 30:
+            text = dict(rows)[r["doc_id"]]
+            at = text.index("AB")
+            assert ("context", at, at + 8) in spans
+
+
+def test_personal_data_time_is_linear_in_matches(spark):
+    import time
+
+    text = " ".join(f"{k}7" for k in range(150_000))
+    df = spark.createDataFrame([(1, text), (2, "9.9.9.9 " * 20_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    assert len(text) > 900_000 and time.time() - began < 60 and got[2]["n_ip"] == 20_000
+
+
+def test_running_sums_by_block(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 3 * pii.BLOCK + 7):
+        parts = ["x" * (k % 5) for k in range(n)]
+        got = spark.createDataFrame([(parts,)], "p array<string>").select(pii.starts(F.col("p"))).first()[0]
+        assert got == [sum(map(len, parts[:k])) for k in range(n)]
+
+
 def rule_quality(t):
     words = BLANKS.findall(t)
     grams = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
