@@ -1,18 +1,26 @@
 """WARC archives and their index: write, read back, merge by URL key and time.
 
-Writing is one Spark text job: each row is a whole record and the line separator is
-the blank lines that end a record, so every part file is a WARC file (gzip over the
-whole file). Payloads that occur again become revisit records of the response with the
-largest id. Reading opens each archive in the task that owns it, checks lengths and
-digests, and makes a run of index entries sorted by URL key, time and id. Entries are
-range-partitioned by the same key - split points come from Spark's sample, and as time
-and id belong to the key a URL captured very often is spread like any other - and
-each partition merges its runs with a loser tree. A URL's captures are numbered over all
-partitions. Partition after partition, the result is in global order.
+Writing is one Spark text job. Each record is a gzip member of its own; members are joined to
+blocks of about BLOCK_BYTES, a row is a block, and a file has at most BLOCKS of them, so an
+archive is bounded by its bytes (a longer record is a block alone). The line separator that the text
+writer puts behind a row is an empty gzip member, so every part file is a valid archive, in
+which a record can be read from its offset alone. Payloads that occur again become
+revisit records of the response with the largest id.
+
+Reading opens each archive in the task that owns it, one member at a time, checks lengths and
+digests, and makes a run of index entries sorted by URL key, time and id; offset and
+length are those of the stored member. Entries are range-partitioned by the same key - split
+points come from Spark's sample, and as time and id belong to the key a URL captured very often
+is spread like any other. Each partition merges externally: RUN_ROWS entries at a time, the sorted
+stretches that have arrived are merged by a loser tree into a run on the task's disk, runs are merged FAN_IN at
+a time, and the last merge streams out; memory is bounded whatever the partition holds. A
+URL's captures are numbered over all partitions. Partition after partition, the result is in global order.
 
 Contract: a null payload is empty, a null URL has the empty key and no target header;
 line breaks in URLs are percent-encoded. A page's date is `EPOCH` plus its id in
-seconds (0 for a null id). Rows with the same id and payload are equal captures: the first is the
+seconds (0 for a null id). A row with a null id whose payload a row with an id has too is a revisit of the
+largest such id; payloads of null ids alone are all responses, for want of an id to refer to. Rows with
+the same id and payload are equal captures: the first is the
 response only where the id is the largest of its payload, and then all rows with it are
 responses. Extra columns are ignored; an empty table gives an empty table.
 """
@@ -21,6 +29,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -34,11 +44,22 @@ from pyspark.sql import types as T
 from .common import field, fresh_path, materialise
 
 EPOCH = "2024-01-01T00:00:00Z"
-#: Records of an archive file; keeps an archive small enough for one task's memory.
-RECORDS = 1500
+#: Compressed bytes of a block of records, and blocks of an archive file.
+BLOCK_BYTES, BLOCKS = 2 << 20, 16
+#: Entries of a run that a task merges in memory, and runs that are merged at a time.
+RUN_ROWS, FAN_IN = 50_000, 64
 END = "\r\n\r\n"
 
 
+def zipped(data: bytes) -> bytes:
+    """A gzip member."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
+EMPTY_MEMBER = zipped(b"")
+
+
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 in upper-case base32: 5 hexadecimal digits are 4 base-32 digits."""
     hexed = F.sha1(payload)
@@ -54,7 +75,7 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     shared = materialise(shared.select("digest", "first"), "payloads")
     # A skewed join: Spark splits the partitions of payloads that very many rows share.
     joined = rows.join(shared, "digest", "left")
-    return joined.select("id", "url", "payload", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    return joined.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def record(id_type: str) -> Column:
@@ -82,10 +103,32 @@ def record(id_type: str) -> Column:
     return F.concat(head, F.lit(END), body)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members, joined to blocks."""
+    held: list[bytes] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        # Text to Spark, which passes its bytes on as they are.
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()).view(pa.string())], names=["value"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            member = zipped(text.as_py().encode() + END.encode())
+            if held and size + len(member) > BLOCK_BYTES:
+                yield out()
+                held, size = [], 0
+            held.append(member)
+            size += len(member)
+    if held:
+        yield out()
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
-    """One WARC file for each RECORDS rows or fewer, below `path`. Ids are whole numbers for dates to follow them."""
+    """WARC files below `path`. Ids are whole numbers for dates to follow them."""
     rows = with_revisits(pages, id_col, url_col, payload_col, least)
-    rows.select(record(dict(rows.dtypes)["id"]).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    made = rows.select(record(dict(rows.dtypes)["id"]).alias("value")).mapInArrow(blocks, "value string")
+    made.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", BLOCKS).text(path)
 
 
 def url_key(url: str) -> str:
@@ -100,21 +143,35 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){(at.path or '/').lower()}{'?' + query.lower() if query else ''}"
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of an uncompressed archive."""
+def members(data: memoryview, window: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that isn't empty, one at a time."""
     at = 0
     while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:head_end].decode().split("\r\n")
-        if not first.startswith("WARC/1."):
-            raise ValueError(f"no record at {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        start = head_end + 4
-        end = start + int(head["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} has a wrong length")
-        yield at, end + 4 - at, head, data[start:end]
-        at = end + 4
+        unzip, parts, end = zlib.decompressobj(31), [], at
+        while not unzip.eof:
+            if end == len(data):
+                raise ValueError(f"member at {at} is cut off")
+            part = data[end : end + window]
+            parts.append(unzip.decompress(part))
+            end += len(part)
+        end -= len(unzip.unused_data)
+        content = b"".join(parts)
+        if content:
+            yield at, end - at, content
+        at = end
+
+
+def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    head_end = content.index(b"\r\n\r\n")
+    first, *lines = content[:head_end].decode().split("\r\n")
+    if not first.startswith("WARC/1."):
+        raise ValueError("no record in a member")
+    head = dict(x.split(": ", 1) for x in lines)
+    end = head_end + 4 + int(head["Content-Length"])
+    if content[end:] != b"\r\n\r\n":
+        raise ValueError(f"{head['WARC-Record-ID']} has a wrong length")
+    return head, content[head_end + 4 : end]
 
 
 def entry(offset: int, length: int, head: dict[str, str], block: bytes, run: str) -> tuple:
@@ -144,16 +201,11 @@ def index_runs(path: str, spark) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw, parts = data.as_buffer(), []
-                while len(raw):  # a file may hold several gzip members
-                    unzip = zlib.decompressobj(31)
-                    parts.append(unzip.decompress(raw))
-                    raw = unzip.unused_data
-                run = sorted((entry(*r, name) for r in records(b"".join(parts))), key=order_of)
-                if run:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in longs else pa.string()) for k, c in zip(COLUMNS, zip(*run, strict=True), strict=True)], names=COLUMNS)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
+                run = sorted((entry(at, n, *parsed(content), name) for at, n, content in members(memoryview(data.as_buffer()))), key=order_of)
+                for k in range(0, len(run), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in longs else pa.string()) for n, c in zip(COLUMNS, zip(*run[k : k + 10_000], strict=True), strict=True)], names=COLUMNS)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return files.select(F.regexp_extract("path", "([^/]+)$", 1), "content").mapInArrow(read, schema)
 
 
@@ -187,6 +239,57 @@ def loser_tree(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
         losers[0] = winner
 
 
+class Runs:
+    """Sorts entries of any number in bounded memory: sorted runs on disk, merged by loser trees."""
+
+    def __init__(self) -> None:
+        self.held: list[list[tuple]] = []  # stretches of entries in ascending order
+        self.rows = 0
+        self.last: tuple | None = None
+        self.files: list = []
+
+    def add(self, e: tuple) -> None:
+        key = order_of(e)
+        if self.last is None or key < self.last:
+            self.held.append([])
+        self.held[-1].append((key, e))
+        self.last = key
+        self.rows += 1
+        if self.rows >= RUN_ROWS:
+            self.spill(self.held)
+            self.held, self.rows, self.last = [], 0, None
+
+    def spill(self, runs: list[Iterable[tuple]]) -> None:
+        """Merge runs to one in a file that has no name and is gone with the task."""
+        file = tempfile.TemporaryFile()
+        chunk = []
+        for e in loser_tree(runs):
+            chunk.append(e)
+            if len(chunk) == 1000:
+                pickle.dump(chunk, file)
+                chunk = []
+        pickle.dump(chunk, file)
+        self.files.append(file)
+
+    @staticmethod
+    def stored(file) -> Iterator[tuple]:
+        file.seek(0)
+        while True:
+            try:
+                chunk = pickle.load(file)
+            except EOFError:
+                file.close()
+                return
+            for e in chunk:
+                yield order_of(e), e
+
+    def merged(self) -> Iterator[tuple]:
+        while len(self.files) >= FAN_IN:
+            some, self.files = self.files[:FAN_IN], self.files[FAN_IN:]
+            self.spill([self.stored(f) for f in some])
+        yield from loser_tree([*map(self.stored, self.files), *self.held])
+
+
 def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """All entries in global order, with capture_no, a capture's place in its URL's whole history.
 
@@ -200,16 +303,12 @@ def merged_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        by_run: dict[str, list[tuple]] = {}
+        here = Runs()
         for batch in batches:
             for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_run.setdefault(e[7], []).append((order_of(e), e))
-        runs_here = []
-        for _, run in sorted(by_run.items()):
-            run.sort(key=lambda x: x[0])  # linear where the run arrives as it was written
-            runs_here.append(run)
+                here.add(e)
         out, last, count = [], None, 0
-        for seq, e in enumerate(loser_tree(runs_here)):
+        for seq, e in enumerate(here.merged()):
             count = count + 1 if e[0] == last else 1
             last = e[0]
             out.append((*e, count, part, seq))

@@ -148,6 +148,57 @@ def test_warc(spark):
     assert warc.capture_histories(pages.limit(0)).count() == 0
 
 
+def test_warc_null_ids_and_repeated_rows(spark):
+    rows = [(None, "http://a.com/1", "shared"), (7, "http://a.com/2", "shared"), (5, "http://a.com/3", "shared"), (None, None, "alone"), (None, "http://a.com/4", "alone"), (9, "http://a.com/5", "once"), (9, "http://a.com/5", "once")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.capture_histories(pages).collect()), key=repr)
+    assert got == sorted([(None, "revisit", 7, 6), (7, "response", None, 6), (5, "revisit", 7, 6), (None, "response", None, 5), (None, "response", None, 5), (9, "response", None, 4), (9, "response", None, 4)], key=repr)
+
+
+def test_archives_are_bounded_and_records_read_from_their_offsets(spark, tmp_path, monkeypatch):
+    import gzip
+
+    rnd = random.Random(3)
+    rows = [(k, f"http://x.org/{k % 9}", rnd.randbytes(rnd.choice([10, 3000, 40_000])).hex()) for k in range(400)]
+    monkeypatch.setattr(warc, "BLOCKS", 1)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages, path)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "archives").glob("*.txt")}
+    assert len(files) > 2 and max(map(len, files.values())) <= warc.BLOCK_BYTES + 100
+    whole = b"".join(gzip.decompress(d) for d in files.values())
+    assert whole.count(b"WARC/1.1\r\n") == len(rows)
+    html = {k: h for k, _, h in rows}
+    for e in warc.index_runs(path, spark).collect():
+        one = gzip.decompress(files[e["archive"]][e["offset"] : e["offset"] + e["length"]])
+        assert one.count(b"WARC/1.1\r\n") == 1 and one.endswith(html[int(e["id"])].encode() + b"\r\n\r\n")
+
+
+def test_merge_is_the_same_over_any_partitions(spark):
+    rnd = random.Random(2)
+    rows = [(k, "http://hot.org/" if k % 3 else f"http://h{rnd.randint(0, 40)}.org/", "x") for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    from laminar.llm.common import fresh_path
+
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    runs = warc.index_runs(path, spark)
+    one, four, many = (list(map(tuple, warc.merged_index(runs, n).collect())) for n in (1, 4, 33))
+    assert one == four == many and max(r[-1] for r in one) == 2000
+
+
+def test_runs_on_disk(monkeypatch):
+    monkeypatch.setattr(warc, "RUN_ROWS", 50)
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    rnd = random.Random(9)
+    every = [(rnd.choice("abc"), "2024", str(rnd.randint(0, 99)), 1, "d", "response", None, f"f{rnd.randint(0, 5)}", k, 1) for k in range(2345)]
+    for n in (0, 1, 49, 50, 51, 2345):
+        runs = warc.Runs()
+        for e in every[:n]:
+            runs.add(e)
+        assert list(runs.merged()) == sorted(every[:n], key=warc.order_of)
+
+
 def test_loser_tree():
     rnd = random.Random(6)
     for k in (0, 1, 2, 3, 7, 16):
