@@ -28,6 +28,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_in_arrow, field, materialise, span_digest
+from .common import append_in_arrow, field, materialise, slices, span_digest
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -151,6 +154,17 @@ def base_spans(text: str, kinds: set[str] = frozenset(KINDS)) -> list[tuple[str,
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def meets(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether (start, end) overlaps any of the spans, which come by start; in logarithmic time."""
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def overlaps(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k > 0 and reach[k - 1] > a
+
+    return overlaps
+
+
 def each_value(make, values: np.ndarray) -> np.ndarray:
     """make of each value, called once for each different one."""
     different, at = np.unique(values, return_inverse=True)
@@ -239,10 +253,11 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
             spans = base_spans(text, kinds) if kinds else []
             tokens, long_tokens = [], []
             if "token" in kinds:
+                base = meets([s[1:] for s in spans])
                 for m in TOKEN.finditer(text):
                     a, b = m.span()
                     long_tokens.append((a, b))
-                    if not any(s[1] < b and a < s[2] for s in spans) and (s := score(m[0])) is not None:
+                    if not base(a, b) and (s := score(m[0])) is not None:
                         tokens.append((a, b, band_of(b - a), bin_of(s)))
             names = [s[0] for s in spans]
             row = [names.count("assign"), names.count("access"), names.count("hex"), span_digest(spans), [(a, KINDS.index(n), b) for n, a, b in spans], tokens, []]
@@ -308,36 +323,40 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select(id_col, "n_assign", "n_access", "n_hex", "base_sha256", "found", text.alias("spans"))
 
 
+def redacted(text: str, kinds: set[str], limit: list[int], mark: str) -> str:
+    """text with its base spans, and its tokens within the limits, replaced; spans that overlap count as one."""
+    spans = [(a, b) for _, a, b in base_spans(text, kinds)]
+    if "token" in kinds:
+        base = meets(spans.copy())
+        for m in TOKEN.finditer(text):
+            a, b = m.span()
+            if not base(a, b) and (s := score(m[0])) is not None and bin_of(s) < limit[band_of(b - a)]:
+                spans.append((a, b))
+    out, done = [], 0
+    for a, b in sorted(spans):
+        if a >= done:
+            out += [text[done:a], mark]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
 def redact(docs: DataFrame, text_col: str = "text", rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret replaced by `mark`; all columns stay, null texts stay null."""
     scanned = materialise(scan(docs, text_col, []).select("tokens", "windows"), "secrets")
     limit = limits(scanned, rate)
-    schema = docs.schema
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            column = batch.column(at)
-            texts = [t for t in column.to_pylist()]
-            maybe = {k: pc.match_substring_regex(column, p).to_pylist() for k, p in MAYBE.items()}
-            for k, text in enumerate(texts):
-                kinds = {x for x in MAYBE if maybe[x][k]}
-                if not text or not kinds:
-                    continue
-                spans = [(a, b) for _, a, b in base_spans(text, kinds)]
-                base = list(spans)
-                if "token" in kinds:
-                    for m in TOKEN.finditer(text):
-                        a, b = m.span()
-                        if not any(s < b and a < e for s, e in base) and (s := score(m[0])) is not None and bin_of(s) < limit[band_of(b - a)]:
-                            spans.append((a, b))
-                out, done = [], 0
-                for a, b in sorted(spans):
-                    if a >= done:
-                        out += [text[done:a], mark]
-                    done = max(done, b)
-                texts[k] = "".join([*out, text[done:]]) if spans else text
-            cols = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-    return docs.mapInArrow(run, schema)
+            for part, texts in slices(batch, text_col):
+                column = part.column(at)
+                maybe = {k: pc.match_substring_regex(column, p).to_pylist() for k, p in MAYBE.items()}
+                out = []
+                for k, (valid, raw) in enumerate(zip(column.is_valid().to_pylist(), texts, strict=True)):
+                    kinds = {x for x in MAYBE if maybe[x][k]}
+                    text = raw.decode("utf-8", "replace") if valid else None
+                    out.append(redacted(text, kinds, limit, mark) if text and kinds else text)
+                cols = [pa.array(out, c.type) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)

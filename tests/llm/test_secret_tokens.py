@@ -68,3 +68,14 @@ def test_every_window_of_a_text_counts_and_no_band_is_off(spark, docs):
     got = {r["doc_id"]: r["spans"] for r in secretscan.find_secrets(other).collect()}
     for k in range(0, 50, 10):
         assert sum("random" in got[j] for j in range(k, k + 10)) >= 7
+
+
+def test_spans_that_a_token_meets():
+    rnd = random.Random(16)
+    for _ in range(300):
+        spans = sorted((a, a + rnd.randint(1, 9)) for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 6))))
+        meets = secretscan.meets(spans)
+        for _ in range(20):
+            a = rnd.randint(0, 70)
+            b = a + rnd.randint(1, 12)
+            assert meets(a, b) == any(s < b and a < e for s, e in spans)
