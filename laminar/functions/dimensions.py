@@ -36,6 +36,8 @@ RINGS_UM, SQUARE_UM, SQUARE_N = (1000, 3000, 6000), 7000, 8
 UNITS = {"thickness": "um", "area": "mm2", "volume": "mm3", "scale": "um_per_px"}
 # Order and whole-image features of vessel results.
 VESSEL_MAPS = ("binary", "artery", "vein", "artery-vein")
+ZONES = ("B", "C", "whole")
+VESSEL_FEATURES = ("fractal_dimension", "vessel_density", "average_global_calibre", "average_local_calibre", "tortuosity_density", "tortuosity_distance", "CRAE_Knudtson", "CRVE_Knudtson")
 WHOLE_ONLY = ("fractal_dimension", "vessel_density", "average_global_calibre")
 KNUDTSON = {"artery": 0.88, "vein": 0.95}
 

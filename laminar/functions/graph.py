@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import discard, materialise
 
 
 def components(edges: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
@@ -18,13 +18,16 @@ def components(edges: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFr
     keys = list(keys)
     one = edges.select(*keys, F.col(a).alias("node"), F.col(b).alias("to"))
     both = materialise(one.union(edges.select(*keys, F.col(b).alias("node"), F.col(a).alias("to"))).distinct(), "edges")
-    labels = materialise(both.groupBy(*keys, "node").agg(F.min("to").alias("to")).select(*keys, "node", F.least("node", "to").alias("label")), "labels")
+    table = materialise(both.groupBy(*keys, "node").agg(F.min("to").alias("to")).select(*keys, "node", F.least("node", "to").alias("label")), "labels")
     while True:
+        labels = table.select(*keys, "node", "label")
         near = both.join(labels.select(*keys, F.col("node").alias("to"), "label"), [*keys, "to"]).groupBy(*keys, "node").agg(F.min("label").alias("near"))
         low = labels.join(near, [*keys, "node"]).select(*keys, "node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(*keys, F.col("node").alias("low"), F.col("label").alias("jump"))
         moved = low.join(jump, [*keys, "low"], "left").select(*keys, "node", F.least("low", "jump").alias("new"), "label")
         moved = materialise(moved.select(*keys, "node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), "labels")
-        labels = moved.select(*keys, "node", "label")
+        discard(table)
+        table = moved
         if moved.filter("moved").isEmpty():
-            return labels
+            discard(both)
+            return moved.select(*keys, "node", "label")

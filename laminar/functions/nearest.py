@@ -1,47 +1,68 @@
-"""Nearest-neighbour joins on a pixel lattice, without comparing all pairs."""
+"""Nearest neighbours on a pixel lattice, without comparing all pairs."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..sources.shared import materialise
+
+FAR = 1 << 30
+
+
+def fill_grid(x: np.ndarray, y: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """value with each NaN replaced by that of the nearest cell which has one; ties go to the smaller y, then x.
+
+    Exact, in two passes: along rows each place learns the nearest known cell of its row; then the
+    open cells look up and down their columns, step by step, until no row further away can be nearer.
+    """
+    known = ~np.isnan(value)
+    if known.all() or not known.any():
+        return value
+    x, y = x - x.min(), y - y.min()
+    grid = np.full((int(y.max()) + 1, int(x.max()) + 1), np.nan)
+    grid[y[known], x[known]] = value[known]
+    height, width = grid.shape
+    places = np.arange(width)
+    has = ~np.isnan(grid)
+    left = np.maximum.accumulate(np.where(has, places, -FAR), axis=1)
+    right = np.minimum.accumulate(np.where(has, places, FAR)[:, ::-1], axis=1)[:, ::-1]
+    near = np.where(places - left <= right - places, left, right).astype(np.int64)
+    open_ = np.flatnonzero(~known)
+    oy, ox = y[open_].astype(np.int64), x[open_].astype(np.int64)
+    best, by, bx = (np.full(len(open_), FAR * FAR, np.int64) for _ in range(3))
+    live = np.arange(len(open_))
+    for step in range(height):
+        live = live[best[live] >= step * step]
+        if not len(live):
+            break
+        for row in {oy_step for oy_step in (-step, step)}:
+            at = oy[live] + row
+            inside = (at >= 0) & (at < height)
+            k, at = live[inside], at[inside]
+            column = near[at, ox[k]]
+            d2 = step * step + (ox[k] - column) ** 2
+            better = (np.abs(column) < FAR) & ((d2 < best[k]) | (d2 == best[k]) & ((at < by[k]) | (at == by[k]) & (column < bx[k])))
+            k = k[better]
+            best[k], by[k], bx[k] = d2[better], at[better], column[better]
+    out = value.copy()
+    out[open_] = grid[by, bx]
+    return out
 
 
 def nearest_known(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """cells (keys, x, y, value) with value, where null, from the nearest cell of its group that has one.
 
-    Two passes, exact: along rows each cell learns the nearest known cell of its row
-    (of equal ones the left); then each unknown cell looks up and down its column no
-    further than the best distance it knows so far. Ties go to the smaller y, then x. A cell in
-    a group without any value stays null. Groups may have any shape: the passes run over a group's
-    bounding box.
+    A group is a part of one image's map, so it fits a task; groups are dealt by one shuffle.
+    A cell in a group without any value stays null. Groups may have any shape.
     """
-    box = cells.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    lattice = box.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select(*keys, "x", F.explode(F.sequence("y0", "y1")).alias("y"))
-    boxed = lattice.join(cells.select(*keys, "x", "y", value, F.lit(True).alias("inside")), [*keys, "x", "y"], "left")
-    row, column = [*keys, "y"], [*keys, "x"]
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col("x").alias("kx"), F.col(value).alias("v")))
-    back = W.partitionBy(*row).orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*row).orderBy("x").rowsBetween(0, W.unboundedFollowing)
-    left, right = F.last(here, True).over(back), F.first(here, True).over(ahead)
-    by_row = boxed.withColumns({"l": left, "r": right})
-    take_left = F.col("r").isNull() | (F.col("l").isNotNull() & (F.col("x") - F.col("l.kx") <= F.col("r.kx") - F.col("x")))
-    by_row = by_row.withColumn("n", F.when(take_left, F.col("l")).otherwise(F.col("r"))).drop("l", "r")
-    d = F.when(F.col("n").isNotNull(), F.abs(F.col("x") - F.col("n.kx")))
-    up, down = W.partitionBy(*column).orderBy("y").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*column).orderBy("y").rowsBetween(0, W.unboundedFollowing)
-    reach = F.struct(F.col("y").alias("ky"), F.col("d").alias("kd"))
-    known = by_row.withColumn("d", d)
-    near = F.when(F.col("d").isNotNull(), reach)
-    known = known.withColumns({"u": F.last(near, True).over(up), "w": F.first(near, True).over(down)})
-    far = lambda c: F.ceil(F.hypot(F.col("y") - F.col(f"{c}.ky"), F.col(f"{c}.kd"))).cast("int")
-    bound = F.least(far("u"), far("w"))
-    open_ = known.filter(F.col(value).isNull() & F.col("inside")).select(*keys, "x", "y", bound.alias("bound"))
-    looked = open_.filter("bound is not null").withColumn("ly", F.explode(F.sequence(F.col("y") - F.col("bound"), F.col("y") + F.col("bound"))))
-    seen = by_row.filter("n is not null").select(*keys, "x", F.col("y").alias("ly"), "n")
-    met = looked.join(seen, [*keys, "x", "ly"])
-    d2 = (F.col("x") - F.col("n.kx")) ** 2 + (F.col("y") - F.col("ly")) ** 2
-    best = met.groupBy(*keys, "x", "y").agg(F.min_by("n.v", F.struct(d2, "ly", "n.kx")).alias("filled"))
-    return cells.join(best, [*keys, "x", "y"], "left").withColumn(value, F.coalesce(value, "filled")).drop("filled")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(**{value: fill_grid(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf[value].to_numpy(float))})
+
+    return cells.groupBy(*keys).applyInPandas(fill, cells.schema)
 
 
 def nearest_point(points: DataFrame, targets: DataFrame, keys: list[str], tile: int = 8, rings: int = 64) -> DataFrame:
@@ -49,8 +70,8 @@ def nearest_point(points: DataFrame, targets: DataFrame, keys: list[str], tile:
 
     Targets are filed by tile; rings of tiles about a point's tile are searched outward. A hit at
     distance d can only be beaten within ceil(d / tile) rings, so a first search finds
-    the ring of the nearest non-empty tile and a second one reads the rings that matter.
-    Points without a target within `rings` rings are compared with all targets of their group.
+    the ring of the nearest non-empty tile and a second one reads the rows of tiles that matter.
+    Points without a target within `rings` rings are searched for in tiles `rings` times as wide.
     """
     cell = lambda c: F.floor(F.col(c) / tile).cast("int")
     filed = targets.select(*keys, "x", "y").distinct().withColumns({"tx_": cell("x"), "ty_": cell("y")})
@@ -58,14 +79,15 @@ def nearest_point(points: DataFrame, targets: DataFrame, keys: list[str], tile:
     p = points.withColumns({"cx": cell("px"), "cy": cell("py")})
     asked = p.select(*keys, "cx", "cy").distinct().withColumn("ty_", F.explode(F.sequence(F.col("cy") - rings, F.col("cy") + rings)))
     ring = F.array_min(F.transform("row", lambda t: F.greatest(F.abs(t - F.col("cx")), F.abs(F.col("ty_") - F.col("cy")))))
-    found = asked.join(tiles, [*keys, "ty_"]).groupBy(*keys, "cx", "cy").agg(F.min(ring).alias("ring"))
-    # Nothing nearer than the far corner of that ring's tile can lie beyond ring * sqrt(2) + 2 tiles.
-    most = F.ceil((F.col("ring") + 1) * 1.4143 + 1).cast("int")
-    near = p.join(found, [*keys, "cx", "cy"]).withColumn("reach", most)
-    near = near.withColumn("tx_", F.explode(F.expr("sequence(cx - reach, cx + reach)"))).withColumn("ty_", F.explode(F.expr("sequence(cy - reach, cy + reach)")))
-    d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-    met = near.join(filed, [*keys, "tx_", "ty_"])
-    nearest = lambda pairs: pairs.groupBy(*keys, "px", "py").agg(F.min_by(F.struct("x", "y"), F.struct(d, "y", "x")).alias("t"), F.min(d).alias("distance"))
-    far = p.join(found, [*keys, "cx", "cy"], "left_anti").select(*keys, "px", "py").distinct().join(filed, keys)
-    out = nearest(met.select(*keys, "px", "py", "x", "y")).unionByName(nearest(far.select(*keys, "px", "py", "x", "y")))
-    return out.select(*keys, "px", "py", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"), "distance")
+    met = asked.join(tiles, [*keys, "ty_"]).withColumn("ring", ring)
+    found = materialise(met.groupBy(*keys, "cx", "cy").agg(F.min("ring").alias("ring")), "rings")
+    # Nothing nearer than the far corner of that ring's tile can lie beyond ring * sqrt(2) + 2 tiles; of these only tiles with targets are read.
+    reach = F.ceil((F.col("ring") + 1) * 1.4143 + 1).cast("int")
+    wanted = found.withColumn("reach", reach).withColumn("ty_", F.explode(F.expr("sequence(cy - reach, cy + reach)"))).join(tiles, [*keys, "ty_"])
+    wanted = wanted.withColumn("tx_", F.explode(F.filter("row", lambda t: F.abs(t - F.col("cx")) <= F.col("reach")))).select(*keys, "cx", "cy", "tx_", "ty_")
+    near = p.join(wanted, [*keys, "cx", "cy"]).join(filed, [*keys, "tx_", "ty_"])
+    d = F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2)))
+    best = near.groupBy(*keys, "px", "py").agg(F.min_by(F.struct("x", "y"), F.struct(d, "y", "x")).alias("t"), F.min(d).alias("distance"))
+    out = best.select(*keys, "px", "py", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"), "distance")
+    far = p.join(found, [*keys, "cx", "cy"], "left_anti").join(targets.select(*keys).distinct(), keys, "left_semi").select(*points.columns)
+    return out if far.isEmpty() else out.unionByName(nearest_point(far, targets, keys, tile * rings, rings))

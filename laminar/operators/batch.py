@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def safe_apply(df: DataFrame, fn: Callable[[pd.Series], dict], schema: T.StructType, key: str = "image_id") -> DataFrame:
+def safe_apply(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType, key: str = "image_id") -> DataFrame:
     """OPS-1. fn on every row; a row that raises becomes a FAILED row with its message, and the rest goes on."""
     names = schema.names
     out = T.StructType([df.schema[key], *schema.fields, T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
@@ -18,7 +18,7 @@ def safe_apply(df: DataFrame, fn: Callable[[pd.Series], dict], schema: T.StructT
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for _, row in pdf.iterrows():
+            for row in pdf.to_dict("records"):
                 try:
                     made = fn(row)
                     rows.append((row[key], *(made[c] for c in names), "OK", None))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,20 +44,37 @@ def resample_rows(rows: DataFrame, height: int, how: str = "linear") -> DataFram
     return two.join(rows, [*MAP, "bscan"]).groupBy(*MAP, "x", "y").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
 
 
-def gaussian(cells: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
-    """MAP-4. Separable smoothing, taps to four sigma, reflected at the frame; unmeasured cells stay -1 and don't count."""
+def blur(n: int, sigma: float) -> np.ndarray:
+    """Weights of n sources (columns) at n targets: taps to four sigma, reflected at the frame."""
     radius = int(4 * sigma + 0.5)
-    taps = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    kernel = F.array(*[F.struct(F.lit(k - radius).alias("d"), num(t / sum(taps)).alias("w")) for k, t in enumerate(taps)])
-    measured = cells.filter("value <> -1")
-    smooth = measured
-    for axis, n in (("x", width), ("y", height)):
-        other = "y" if axis == "x" else "x"
-        at = F.col(axis) + F.col("k.d")
-        inside = F.when(at < 0, -1 - at).when(at >= n, 2 * n - 1 - at).otherwise(at)
-        spread = smooth.withColumn("k", F.explode(kernel)).select(*MAP, other, inside.alias(axis), (F.col("value") * F.col("k.w")).alias("v"), F.col("k.w").alias("w"))
-        smooth = spread.groupBy(*MAP, axis, other).agg((F.sum("v") / F.sum("w")).alias("value"))
-    return cells.drop("value").join(cells.select(*MAP, "x", "y", F.col("value").alias("old")), [*MAP, "x", "y"]).join(smooth.select(*MAP, "x", "y", "value"), [*MAP, "x", "y"], "left").withColumn("value", F.when(F.col("old") == -1, -1.0).otherwise(F.col("value"))).drop("old")
+    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    out = np.zeros((n, n))
+    for d, w in zip(range(-radius, radius + 1), taps / taps.sum(), strict=True):
+        at = np.arange(n) + d
+        at = np.where(at < 0, -1 - at, np.where(at >= n, 2 * n - 1 - at, at))
+        np.add.at(out, (at, np.arange(n)), w)
+    return out
+
+
+def gaussian(cells: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
+    """MAP-4. Separable smoothing, taps to four sigma, reflected at the frame; unmeasured cells stay -1 and don't count.
+
+    A map is one task's group: an image of width by height cells.
+    """
+    across, down = blur(width, sigma), blur(height, sigma)
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, value = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["value"].to_numpy(float)
+        some = (value != -1) & ~np.isnan(value)
+        grid, known = np.zeros((height, width)), np.zeros((height, width))
+        grid[y[some], x[some]], known[y[some], x[some]] = value[some], 1
+        share = lambda v, w: np.divide(v, w, out=np.zeros_like(v), where=w > 0)
+        weight = known @ across.T
+        grid = share(grid @ across.T, weight)
+        grid = share(down @ grid, down @ (weight > 0))
+        return pdf.assign(value=np.where(some, grid[y, x], -1.0))
+
+    return cells.groupBy(*MAP).applyInPandas(smooth, cells.schema)
 
 
 def place_on_localiser(cells: DataFrame, top: int, height: int) -> DataFrame:
@@ -190,9 +207,25 @@ def grid_fits(scan: DataFrame, size: int, side_um: float = SQUARE_UM) -> DataFra
     return scan.withColumns({"grid_fits": inside, "warning": F.when(~inside, "grid leaves the frame: the whole image is measured")})
 
 
+def inside(cells: DataFrame) -> DataFrame:
+    return cells.filter("subfield is not null")
+
+
+def share_missing() -> Column:
+    return F.bround(100 * F.avg(F.when(F.col("value") == -1, 1.0).otherwise(0.0)), 2).alias("missing_percent")
+
+
+def mean_value(ratio: bool = False) -> Column:
+    return (F.bround(F.avg("value"), 3) if ratio else truncated(F.avg("value")).cast("double")).alias("mean")
+
+
+def volume_of(scale: float, vessel: bool = False) -> Column:
+    return F.bround(F.sum("value") * num(scale * 1e-9 if vessel else scale * scale * 1e-9), 3).alias("volume")
+
+
 def missing_share(cells: DataFrame) -> DataFrame:
     """MAP-17. Percentage of unmeasured cells of each subfield."""
-    return cells.filter("subfield is not null").groupBy(*MAP, "subfield").agg(F.bround(100 * F.avg(F.when(F.col("value") == -1, 1.0).otherwise(0.0)), 2).alias("missing_percent"))
+    return inside(cells).groupBy(*MAP, "subfield").agg(share_missing())
 
 
 def nearest_fill(cells: DataFrame) -> DataFrame:
@@ -203,20 +236,17 @@ def nearest_fill(cells: DataFrame) -> DataFrame:
 
 def subfield_mean(cells: DataFrame, ratio: bool = False) -> DataFrame:
     """MAP-19. Mean of each subfield, cut to an integer; of ratio maps to three decimals."""
-    mean = F.avg("value")
-    return cells.filter("subfield is not null").groupBy(*MAP, "subfield").agg((F.bround(mean, 3) if ratio else truncated(mean).cast("double")).alias("mean"))
+    return inside(cells).groupBy(*MAP, "subfield").agg(mean_value(ratio))
 
 
 def subfield_volume(cells: DataFrame, scale: float, vessel: bool = False) -> DataFrame:
     """MAP-20. Cubic millimetres of each subfield; vessel maps hold areas, so one scale factor goes."""
-    unit = scale * 1e-9 if vessel else scale * scale * 1e-9
-    return cells.filter("subfield is not null").groupBy(*MAP, "subfield").agg(F.bround(F.sum("value") * num(unit), 3).alias("volume"))
+    return inside(cells).groupBy(*MAP, "subfield").agg(volume_of(scale, vessel))
 
 
 def grid_total(cells: DataFrame, scale: float) -> DataFrame:
     """MAP-21. `all`: mean and volume over all subfields of the map as it is, unmeasured cells included."""
-    inside = cells.filter("subfield is not null")
-    return inside.groupBy(*MAP).agg(F.lit("all").alias("subfield"), truncated(F.avg("value")).cast("double").alias("mean"), F.bround(F.sum("value") * num(scale * scale * 1e-9), 3).alias("volume"))
+    return inside(cells).groupBy(*MAP).agg(F.lit("all").alias("subfield"), mean_value(), volume_of(scale))
 
 
 def clip_value(cells: DataFrame, exact: bool = True) -> DataFrame:
@@ -228,17 +258,11 @@ def clip_value(cells: DataFrame, exact: bool = True) -> DataFrame:
 
 def subfield_stats(cells: DataFrame, scale: float, fill: bool = True, ratio: bool = False) -> DataFrame:
     """MAP-23. Mean, volume and missing share by subfield with `all`; without filling, -1 cells take part."""
-    mean = F.avg("value")
-    mean = F.bround(mean, 3) if ratio else truncated(mean).cast("double")
-    volume = F.bround(F.sum("value") * num(scale * scale * 1e-9), 3)
-    missing = F.bround(100 * F.avg(F.when(F.col("value") == -1, 1.0).otherwise(0.0)), 2)
-    inside = cells.filter("subfield is not null")
     keys = [*MAP, "subfield"]
     if fill:
-        filled = nearest_fill(cells).groupBy(*keys).agg(mean.alias("mean"), volume.alias("volume"))
-        per = filled.join(inside.groupBy(*keys).agg(missing.alias("missing_percent")), keys)
+        per = nearest_fill(cells).groupBy(*keys).agg(mean_value(ratio), volume_of(scale)).join(missing_share(cells), keys)
     else:  # one pass over the cells
-        per = inside.groupBy(*keys).agg(mean.alias("mean"), volume.alias("volume"), missing.alias("missing_percent"))
+        per = inside(cells).groupBy(*keys).agg(mean_value(ratio), volume_of(scale), share_missing())
     return per.unionByName(grid_total(cells, scale), allowMissingColumns=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.dimensions import KNUDTSON, VESSEL_MAPS, WHOLE_ONLY, num
+from ..functions.dimensions import KNUDTSON, VESSEL_FEATURES, VESSEL_MAPS, WHOLE_ONLY, ZONES, num
 from ..functions.nearest import nearest_point
+from ..sources.shared import materialise
 from .mask import MASK, boundary
 
 PATH = ["image_id", "vessel_map", "path_id"]
@@ -157,22 +160,22 @@ def vessel_edges(path: DataFrame) -> DataFrame:
         return F.when(a.isNull(), b - F.col(c)).when(b.isNull(), F.col(c) - a).otherwise((b - a) / 2)
 
     angle = F.atan2(slope("col"), slope("row")) + F.pi() / 2
-    moved = lambda sign: {f"row{1 if sign > 0 else 2}": F.col("row") + sign * F.col("distance") * F.cos("angle"), f"col{1 if sign > 0 else 2}": F.col("col") + sign * F.col("distance") * F.sin("angle")}
+    # Places are rounded, so that points as far from two pixels are so on every machine.
+    moved = lambda sign: {f"row{1 if sign > 0 else 2}": F.round(F.col("row") + sign * F.col("distance") * F.cos("angle"), 6), f"col{1 if sign > 0 else 2}": F.round(F.col("col") + sign * F.col("distance") * F.sin("angle"), 6)}
     return path.withColumn("angle", angle).withColumns(moved(1) | moved(-1)).drop("angle")
 
 
-def snap(edges: DataFrame, mask: DataFrame) -> DataFrame:
-    """VES-14. The mask's boundary pixel nearest to each edge point (image_id, px, py)."""
-    return nearest_point(edges.select("image_id", "px", "py").distinct(), boundary(mask).select("image_id", "x", "y"), ["image_id"])
+def snap(edges: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """VES-14. The mask's boundary pixel nearest to each edge point (keys, px, py) of the same keys."""
+    return nearest_point(edges.select(*keys, "px", "py").distinct(), boundary(mask).withColumnRenamed("mask", "vessel_map").select(*keys, "x", "y"), list(keys))
 
 
-def vessel_width(edges: DataFrame, mask: DataFrame, scale: float = 1.0) -> DataFrame:
+def vessel_width(edges: DataFrame, mask: DataFrame, scale: float = 1.0, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """VES-15. Mean distance between the snapped edge points, for each path."""
-    points = edges.select("image_id", F.explode(F.array(F.struct(F.col("col1").alias("px"), F.col("row1").alias("py")), F.struct(F.col("col2").alias("px"), F.col("row2").alias("py")))).alias("p")).select("image_id", "p.px", "p.py")
-    at = snap(points, mask).drop("distance")
-    one = at.select("image_id", F.col("px").alias("col1"), F.col("py").alias("row1"), F.col("tx").alias("x1"), F.col("ty").alias("y1"))
-    two = at.select("image_id", F.col("px").alias("col2"), F.col("py").alias("row2"), F.col("tx").alias("x2"), F.col("ty").alias("y2"))
-    both = edges.join(one, ["image_id", "col1", "row1"]).join(two, ["image_id", "col2", "row2"])
+    ends = [F.struct(F.col(f"col{k}").alias("px"), F.col(f"row{k}").alias("py")) for k in (1, 2)]
+    at = materialise(snap(edges.select(*keys, F.explode(F.array(*ends)).alias("p")).select(*keys, "p.px", "p.py"), mask, keys).drop("distance"), "snapped")
+    side = lambda k: at.select(*keys, F.col("px").alias(f"col{k}"), F.col("py").alias(f"row{k}"), F.col("tx").alias(f"x{k}"), F.col("ty").alias(f"y{k}"))
+    both = edges.join(side(1), [*keys, "col1", "row1"]).join(side(2), [*keys, "col2", "row2"])
     return both.groupBy(*PATH).agg((F.avg(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))) * num(scale)).alias("width"))
 
 
@@ -233,19 +236,42 @@ def null_zone_features(m: DataFrame) -> DataFrame:
 def split_zones(m: DataFrame) -> dict[str, DataFrame]:
     """VES-23. One table per zone, in the order binary, artery, vein, artery-vein."""
     rank = F.array_position(F.array(*[F.lit(v) for v in VESSEL_MAPS]), F.col("vessel_map"))
-    return {z: m.filter(F.col("zone") == z).orderBy("image_id", rank, "feature") for z in ("B", "C", "whole")}
+    return {z: m.filter(F.col("zone") == z).orderBy("image_id", rank, "feature") for z in ZONES}
+
+
+def zonal_widths(zoned: DataFrame, zone_mask: DataFrame, side: int) -> DataFrame:
+    """Width in pixels of each path (its kind and zone as vessel_map): edges along the smoothed path's normals, two pixels
+    beyond its distance to the background of the kind's mask in the zone, snapped to that mask's boundary."""
+    distance = distance_map(zone_mask, side, side).select("image_id", F.col("mask").alias("vessel_map"), F.col("x").alias("col"), F.col("y").alias("row"), "distance")
+    smooth = smooth_path(zoned).join(distance, ["image_id", "vessel_map", "row", "col"], "left")
+    edges = materialise(vessel_edges(smooth.withColumn("distance", F.coalesce("distance", num(0)) + 2)), "edges")
+    return vessel_width(edges, zone_mask, 1.0, ("image_id", "vessel_map"))
 
 
-def vessel_measure(path: DataFrame, mask: DataFrame, scan: DataFrame, side: int, least: int = 10) -> DataFrame:
-    """VES-24. Long measurements (image_id, vessel_map, zone, feature, value): path metrics by zone, mask metrics for the whole image."""
+def vessel_measure(path: DataFrame, mask: DataFrame, skeleton: DataFrame, scan: DataFrame, side: int, scale: float = 1.0, least: int = 10) -> DataFrame:
+    """VES-24. Long measurements (image_id, vessel_map, zone, feature, value) of VESSEL_FEATURES in all zones, and the ratio rows.
+
+    mask and skeleton (image_id, mask, x, y) have a path's vessel_map as mask. A feature that wasn't
+    measured is -1: whole-image features in zones B and C, equivalents but for the kind's own in these zones, and those of
+    fewer than six vessels. A zone without a vessel has null in its path features.
+    """
     zoned = zonal_paths(zones(path, scan, "col", "row"), least)
     # The zone becomes part of the path's kind, so one pass serves all zones.
-    keyed = zoned.withColumn("vessel_map", F.concat_ws("|", "vessel_map", "zone"))
-    parts = [tortuosity_density(keyed), tortuosity_distance(keyed)]
-    long = [p.select("image_id", F.substring_index("vessel_map", "|", 1).alias("vessel_map"), F.substring_index("vessel_map", "|", -1).alias("zone"), F.lit(p.columns[-1]).alias("feature"), F.col(p.columns[-1]).alias("value")) for p in parts]
-    whole = [fractal_dimension(mask, side), vessel_density(mask, side, side)]
-    long += [p.select("image_id", F.col("mask").alias("vessel_map"), F.lit("whole").alias("zone"), F.lit(p.columns[-1]).alias("feature"), F.col(p.columns[-1]).alias("value")) for p in whole]
-    out = long[0]
-    for p in long[1:]:
-        out = out.unionByName(p)
-    return out
+    keyed = materialise(zoned.withColumn("vessel_map", F.concat_ws("|", "vessel_map", "zone")).drop("zone"), "zonal-paths")
+    zone_mask = materialise(zones(mask, scan).withColumn("mask", F.concat_ws("|", "mask", "zone")).select(*MASK, "x", "y").distinct(), "zonal-masks")
+    kind, zone = F.substring_index("vessel_map", "|", 1), F.substring_index("vessel_map", "|", -1)
+    width = materialise(zonal_widths(keyed, zone_mask, side).select("image_id", kind.alias("vessel_map"), zone.alias("zone"), "path_id", "width"), "widths")
+    local = width.groupBy("image_id", "vessel_map", "zone").agg((F.avg("width") * num(scale)).alias("average_local_calibre"))
+    long = [p.select("image_id", kind.alias("vessel_map"), zone.alias("zone"), p.columns[-1]) for p in (tortuosity_density(keyed), tortuosity_distance(keyed))]
+    whole = [fractal_dimension(mask, side), vessel_density(mask, side, side), global_calibre(mask, skeleton, scale)]
+    long += [local, *(p.select("image_id", F.col("mask").alias("vessel_map"), F.lit("whole").alias("zone"), p.columns[-1]) for p in whole)]
+    own = knudtson(top_widths(width.filter(F.col("zone").isin("B", "C") & F.col("vessel_map").isin("artery", "vein"))))
+    own = materialise(own.withColumn("equivalent", F.when(F.col("equivalent") == -1, -1.0).otherwise(F.col("equivalent") * num(scale))), "equivalents")
+    named = [own.select("image_id", "vessel_map", "zone", F.when(F.col("vessel_map") == k, F.col("equivalent")).alias(f)) for k, f in (("artery", "CRAE_Knudtson"), ("vein", "CRVE_Knudtson"))]
+    rows = [p.select("image_id", "vessel_map", "zone", F.lit(p.columns[-1]).alias("feature"), F.col(p.columns[-1]).alias("value")) for p in [*long, *named]]
+    measured = reduce(DataFrame.unionByName, rows).filter("value is not null")
+    kinds = path.select("image_id", "vessel_map").union(mask.select("image_id", "mask")).distinct()
+    asked = kinds.select("image_id", "vessel_map", F.explode(F.array(*[F.lit(z) for z in ZONES])).alias("zone")).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in VESSEL_FEATURES])))
+    full = asked.join(measured, ["image_id", "vessel_map", "zone", "feature"], "left").withColumn("value", F.when(F.col("feature").endswith("_Knudtson"), F.coalesce("value", num(-1))).otherwise(F.col("value")))
+    ratio = kinds.select("image_id").distinct().withColumn("zone", F.explode(F.array(*[F.lit(z) for z in ZONES]))).join(avr(own), ["image_id", "zone"], "left").withColumn("AVR", F.coalesce("AVR", num(-1)))
+    return append_avr(null_zone_features(full), ratio, list(VESSEL_FEATURES))

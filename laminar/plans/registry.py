@@ -406,10 +406,12 @@ def msk_marginal_peak(spark, sf):
 
 
 def cells(spark, sf) -> DataFrame:
-    """The whole lattice of each map; -1 where nothing was measured."""
+    """The whole lattice of each map; -1 where nothing was measured. Columns of a map are gathered, so no cell is shuffled."""
     got = views.map_cell(spark, sf)
-    full = got.select("image_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return full.join(got, ["image_id", "x", "y"], "left").select("image_id", F.lit("retina").alias("map"), "x", "y", F.coalesce("value", F.lit(-1.0)).alias("value"))
+    column = got.groupBy("image_id", "x").agg(F.map_from_entries(F.collect_list(F.struct("y", "value"))).alias("m"))  # at most 64 entries
+    whole = column.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("x", "m"))).alias("m")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda y: F.coalesce(F.try_element_at(F.try_element_at("m", F.col("x")), y), F.lit(-1.0)))
+    return whole.select("image_id", F.lit("retina").alias("map"), "x", F.posexplode(values).alias("y", "value"))
 
 
 def grid_scan(spark, sf) -> DataFrame:
@@ -427,10 +429,12 @@ def map_etdrs_subfields(spark, sf):
     return maps.etdrs_subfield(cells(spark, sf), grid_scan(spark, sf)).select("image_id", "map", "x", "y", "value", "subfield")
 
 
-@query(f"""WITH {ETDRS}, s AS (SELECT * FROM sub WHERE subfield IS NOT NULL), best AS (SELECT a.image_id, a.subfield, a.x, a.y, min_by(b.value, ((a.x - b.x)**2 + (a.y - b.y)**2, b.y, b.x)) AS v
- FROM s a JOIN s b ON a.image_id = b.image_id AND a.subfield = b.subfield AND b.value <> -1 WHERE a.value = -1 GROUP BY 1, 2, 3, 4),
-f AS (SELECT s.image_id, s.map, s.subfield, s.x, s.y, coalesce(best.v, s.value) AS value FROM s LEFT JOIN best USING (image_id, subfield, x, y))
-SELECT * FROM f""")
+NEAREST = f"""{ETDRS}, s AS (SELECT * FROM sub WHERE subfield IS NOT NULL), known AS (SELECT image_id, subfield, x, y FROM s WHERE value <> -1), open_ AS (SELECT image_id, subfield, x, y FROM s WHERE value = -1),
+best AS (SELECT a.image_id, a.x, a.y, min(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * 4096 + b.y * 64 + b.x) % 4096 AS k FROM open_ a JOIN known b ON a.image_id = b.image_id AND a.subfield = b.subfield GROUP BY 1, 2, 3),
+nf AS (SELECT s.image_id, s.map, s.subfield, s.x, s.y, coalesce(f.value, s.value) AS value FROM s LEFT JOIN best ON best.image_id = s.image_id AND best.x = s.x AND best.y = s.y LEFT JOIN cells f ON f.image_id = best.image_id AND f.x = best.k % 64 AND f.y = best.k // 64)"""
+
+
+@query(f"WITH {NEAREST} SELECT * FROM nf")
 def map_nearest_fill(spark, sf):
     placed = maps.etdrs_subfield(cells(spark, sf), grid_scan(spark, sf))
     return maps.nearest_fill(placed).select("image_id", "map", "subfield", "x", "y", "value")
@@ -456,9 +460,10 @@ def map_clip_value(spark, sf):
     return maps.clip_value(cells(spark, sf)).select("image_id", "map", *r6("clip_value"))
 
 
-@query(f"""WITH {CELLS}, t0 AS (SELECT image_id, x, y FROM cells WHERE value <> -1),
-t1 AS (SELECT a.image_id, a.x, a.y FROM t0 a JOIN t0 b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3 HAVING count(*) = 4)
-SELECT c.image_id, c.map, c.x, c.y, CASE WHEN t1.x IS NOT NULL THEN c.value ELSE CAST(-1 AS DOUBLE) END AS value FROM cells c LEFT JOIN t1 ON c.image_id = t1.image_id AND c.x = t1.x AND c.y = t1.y""")
+@query(f"""WITH {CELLS}, t0 AS (SELECT image_id, x, y FROM cells WHERE value <> -1), t1 AS (SELECT a.* FROM t0 a SEMI JOIN (SELECT image_id, x + 1 AS x, y FROM t0) b USING (image_id, x, y)),
+t2 AS (SELECT a.* FROM t1 a SEMI JOIN (SELECT image_id, x - 1 AS x, y FROM t0) b USING (image_id, x, y)), t3 AS (SELECT a.* FROM t2 a SEMI JOIN (SELECT image_id, x, y + 1 AS y FROM t0) b USING (image_id, x, y)),
+t4 AS (SELECT a.*, 1 AS kept FROM t3 a SEMI JOIN (SELECT image_id, x, y - 1 AS y FROM t0) b USING (image_id, x, y))
+SELECT image_id, map, x, y, CASE WHEN kept = 1 THEN value ELSE CAST(-1 AS DOUBLE) END AS value FROM cells LEFT JOIN t4 USING (image_id, x, y)""")
 def msk_trim_map(spark, sf):
     return mask.trim_map(cells(spark, sf), 1).select("image_id", "map", "x", "y", "value")
 
@@ -822,8 +827,63 @@ def ppl_circular_shift(spark, sf):
     return disc.circular_shift(p, ids.select("image_id", (F.col("image_id") % 64).cast("int").alias("temporal_index")), 64, eye)
 
 
-@query()
+def vessel_geometry(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paths of thirty users to an image, once more as binary ones; masks one pixel about them; the disc."""
+    p = views.path(spark, sf).withColumn("image_id", F.expr("path_id div 30"))
+    p = p.unionByName(p.withColumn("vessel_map", F.lit("binary")))
+    m = mask.dilate(p.select("image_id", F.col("vessel_map").alias("mask"), F.col("col").alias("x"), F.col("row").alias("y")), mask.disk(1)).filter("x >= 0 and y >= 0")
+    return p, m, p.select("image_id").distinct().selectExpr("image_id", "5 AS disc_x", "40 AS disc_y", "10 AS disc_radius")
+
+
+IN_ZONES = "(SELECT unnest([{{'z': 'whole', 'lo': -1, 'hi': 100000}}, {{'z': 'B', 'lo': 20, 'hi': 30}}, {{'z': 'C', 'lo': 30, 'hi': 50}}]) AS zz)".replace("{{", "{").replace("}}", "}")
+VESSELS = f"""{views.PATH}, p0 AS (SELECT path_id // 30 AS image_id, vessel_map, path_id, seq, row, col FROM path), p1 AS (SELECT * FROM p0 UNION ALL SELECT image_id, 'binary', path_id, seq, row, col FROM p0),
+mk AS (SELECT DISTINCT image_id, vessel_map, col + dx AS x, row + dy AS y FROM p1, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dx, dy) WHERE col + dx >= 0 AND row + dy >= 0),
+zm AS (SELECT image_id, vessel_map, zz.z AS zone, x, y FROM mk, {IN_ZONES} WHERE sqrt((x - 5)**2 + (y - 40)**2) > zz.lo AND sqrt((x - 5)**2 + (y - 40)**2) <= zz.hi),
+zp AS (SELECT * FROM (SELECT p1.*, zz.z AS zone, count(*) OVER (PARTITION BY image_id, vessel_map, path_id, zz.z) AS n FROM p1, {IN_ZONES} WHERE sqrt((col - 5)**2 + (row - 40)**2) > zz.lo AND sqrt((col - 5)**2 + (row - 40)**2) <= zz.hi) WHERE zone = 'whole' OR n >= 10),
+box AS (SELECT image_id, vessel_map, zone, unnest(range(greatest(0, min(x) - 1), least(127, max(x) + 1) + 1)) AS x, greatest(0, min(y) - 1) AS y0, least(127, max(y) + 1) AS y1 FROM zm GROUP BY 1, 2, 3),
+bg AS (SELECT * FROM (SELECT image_id, vessel_map, zone, x, unnest(range(y0, y1 + 1)) AS y FROM box) ANTI JOIN zm USING (image_id, vessel_map, zone, x, y)),
+ds AS (SELECT a.image_id, a.vessel_map, a.zone, a.x, a.y, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM zm a JOIN bg b ON a.image_id = b.image_id AND a.vessel_map = b.vessel_map AND a.zone = b.zone GROUP BY 1, 2, 3, 4, 5),
+sm AS (SELECT image_id, vessel_map, zone, path_id, seq, CAST(trunc(avg(row) OVER w) AS INT) AS row, CAST(trunc(avg(col) OVER w) AS INT) AS col FROM zp WINDOW w AS (PARTITION BY image_id, vessel_map, zone, path_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+gr AS (SELECT sm.*, coalesce(d, 0) + 2 AS d, coalesce((lead(row) OVER w - lag(row) OVER w) / 2, lead(row) OVER w - row, row - lag(row) OVER w) AS gr, coalesce((lead(col) OVER w - lag(col) OVER w) / 2, lead(col) OVER w - col, col - lag(col) OVER w) AS gc
+ FROM sm LEFT JOIN ds ON ds.image_id = sm.image_id AND ds.vessel_map = sm.vessel_map AND ds.zone = sm.zone AND ds.x = sm.col AND ds.y = sm.row WINDOW w AS (PARTITION BY sm.image_id, sm.vessel_map, sm.zone, sm.path_id ORDER BY seq)),
+ed AS (SELECT image_id, vessel_map, zone, path_id, seq, s, round(row + s * d * cos(atan2(gc, gr) + pi() / 2), 6) AS py, round(col + s * d * sin(atan2(gc, gr) + pi() / 2), 6) AS px FROM gr, (VALUES (1), (-1)) q(s)),
+bd AS (SELECT a.image_id, a.vessel_map, a.zone, a.x, a.y FROM zm a LEFT JOIN zm b ON a.image_id = b.image_id AND a.vessel_map = b.vessel_map AND a.zone = b.zone AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3, 4, 5 HAVING count(b.x) < 4),
+pt AS (SELECT DISTINCT image_id, vessel_map, zone, px, py FROM ed),
+sn AS (SELECT pt.image_id, pt.vessel_map, pt.zone, px, py, min_by([x, y], (sqrt((x - px) * (x - px) + (y - py) * (y - py)), y, x)) AS t FROM pt JOIN bd ON pt.image_id = bd.image_id AND pt.vessel_map = bd.vessel_map AND pt.zone = bd.zone GROUP BY 1, 2, 3, 4, 5),
+wd AS (SELECT image_id, vessel_map, zone, path_id, avg(w) AS width FROM (SELECT ed.image_id, ed.vessel_map, ed.zone, path_id, seq, sqrt((max(CASE WHEN s = 1 THEN t[1] END) - max(CASE WHEN s = -1 THEN t[1] END))**2 + (max(CASE WHEN s = 1 THEN t[2] END) - max(CASE WHEN s = -1 THEN t[2] END))**2) AS w
+ FROM ed JOIN sn ON sn.image_id = ed.image_id AND sn.vessel_map = ed.vessel_map AND sn.zone = ed.zone AND sn.px = ed.px AND sn.py = ed.py GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {VESSELS} SELECT image_id, vessel_map, zone, path_id, round(width, 6) AS width FROM wd")
+def ves_widths(spark, sf):
+    p, m, s = vessel_geometry(spark, sf)
+    kept = vessel.zonal_paths(vessel.zones(p, s, "col", "row")).withColumn("vessel_map", F.concat_ws("|", "vessel_map", "zone")).drop("zone")
+    zone_mask = vessel.zones(m, s).select("image_id", F.concat_ws("|", "mask", "zone").alias("mask"), "x", "y")
+    w = vessel.zonal_widths(kept, zone_mask, 128)
+    return w.select("image_id", F.substring_index("vessel_map", "|", 1).alias("vessel_map"), F.substring_index("vessel_map", "|", -1).alias("zone"), "path_id", *r6("width"))
+
+
+@query(f"""WITH {VESSELS}, st AS (SELECT *, sqrt((row - lag(row) OVER w)**2 + (col - lag(col) OVER w)**2) AS step, coalesce(sign(col - lag(col) OVER w) <> sign(lead(col) OVER w - col), false) AS turn FROM zp WINDOW w AS (PARTITION BY image_id, vessel_map, zone, path_id ORDER BY seq)),
+sg AS (SELECT *, sum(CAST(turn AS INT)) OVER (PARTITION BY image_id, vessel_map, zone, path_id ORDER BY seq) AS seg, sum(CAST(turn AS INT)) OVER (PARTITION BY image_id, vessel_map, zone, path_id) AS turns FROM st),
+ss AS (SELECT *, CASE WHEN lag(seg) OVER (PARTITION BY image_id, vessel_map, zone, path_id ORDER BY seq) = seg THEN step END AS inner_ FROM sg),
+pr AS (SELECT image_id, vessel_map, zone, path_id, seg, max(turns) AS n, coalesce(sum(inner_), 0) AS curve, coalesce(sum(step), 0) AS part, sqrt((max_by(row, seq) - min_by(row, seq))**2 + (max_by(col, seq) - min_by(col, seq))**2) AS ch FROM ss GROUP BY 1, 2, 3, 4, 5),
+pp AS (SELECT image_id, vessel_map, zone, path_id, max(n) AS n, sum(part) AS length, sum(CASE WHEN seg < n AND ch > 0 THEN curve / ch - 1 ELSE 0 END) AS ex FROM pr GROUP BY 1, 2, 3, 4),
+ln_ AS (SELECT image_id, vessel_map, zone, path_id, sqrt((max_by(row, seq) - min_by(row, seq))**2 + (max_by(col, seq) - min_by(col, seq))**2) AS chord FROM zp GROUP BY 1, 2, 3, 4),
+bx AS (SELECT image_id, vessel_map, s AS size, x // s AS bx, y // s AS by_, count(*) AS n FROM mk, (SELECT unnest([128, 64, 32, 16, 8, 4]) AS s) GROUP BY 1, 2, 3, 4, 5), bc AS (SELECT image_id, vessel_map, size, count(*) AS boxes FROM bx WHERE n < size * size GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, vessel_map, zone ORDER BY width DESC, path_id) AS r FROM wd WHERE zone <> 'whole' AND vessel_map <> 'binary'), tp AS (SELECT image_id, vessel_map, zone, CASE vessel_map WHEN 'artery' THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS c, list(width ORDER BY width) AS v FROM rk WHERE r <= 6 GROUP BY 1, 2, 3),
+k1 AS (SELECT *, list_sort([c*sqrt(v[1]**2+v[6]**2), c*sqrt(v[2]**2+v[5]**2), c*sqrt(v[3]**2+v[4]**2)]) AS f FROM tp), k2 AS (SELECT *, list_sort([c*sqrt(f[1]**2+f[3]**2), f[2]]) AS g FROM k1), eq AS (SELECT image_id, vessel_map, zone, CASE WHEN len(v) = 6 THEN c*sqrt(g[1]**2+g[2]**2) * CAST(11.49 AS DOUBLE) ELSE -1 END AS e FROM k2),
+me AS (SELECT image_id, vessel_map, zone, 'tortuosity_density' AS feature, avg(CASE WHEN n = 0 THEN 0 ELSE (n - 1) / n + ex / nullif(length, 0) END) AS value FROM pp GROUP BY 1, 2, 3
+ UNION ALL SELECT image_id, vessel_map, zone, 'tortuosity_distance', avg(length / nullif(chord, 0)) FROM pp JOIN ln_ USING (image_id, vessel_map, zone, path_id) GROUP BY 1, 2, 3
+ UNION ALL SELECT image_id, vessel_map, zone, 'average_local_calibre', avg(width) * CAST(11.49 AS DOUBLE) FROM wd GROUP BY 1, 2, 3
+ UNION ALL SELECT image_id, vessel_map, 'whole', 'fractal_dimension', -regr_slope(ln(boxes), ln(size)) FROM bc GROUP BY 1, 2
+ UNION ALL SELECT image_id, vessel_map, 'whole', 'vessel_density', count(*) / CAST(16384 AS DOUBLE) FROM mk GROUP BY 1, 2
+ UNION ALL SELECT image_id, vessel_map, 'whole', 'average_global_calibre', v / s * CAST(11.49 AS DOUBLE) FROM (SELECT image_id, vessel_map, count(*) AS v FROM mk GROUP BY 1, 2) JOIN (SELECT image_id, vessel_map, count(*) AS s FROM (SELECT DISTINCT image_id, vessel_map, row, col FROM p1) GROUP BY 1, 2) USING (image_id, vessel_map)
+ UNION ALL SELECT image_id, vessel_map, zone, CASE vessel_map WHEN 'artery' THEN 'CRAE_Knudtson' ELSE 'CRVE_Knudtson' END, e FROM eq),
+fl AS (SELECT image_id, vessel_map, zone, feature FROM (SELECT DISTINCT image_id, vessel_map FROM p1), (SELECT unnest(['B','C','whole']) AS zone), (SELECT unnest(['fractal_dimension','vessel_density','average_global_calibre','average_local_calibre','tortuosity_density','tortuosity_distance','CRAE_Knudtson','CRVE_Knudtson']) AS feature)),
+av AS (SELECT image_id, zone, max(CASE WHEN vessel_map = 'artery' THEN e END) AS a, max(CASE WHEN vessel_map = 'vein' THEN e END) AS v FROM eq GROUP BY 1, 2)
+SELECT image_id, vessel_map, zone, feature, round(CASE WHEN zone IN ('B','C') AND feature IN ('fractal_dimension','vessel_density','average_global_calibre') THEN -1 WHEN feature LIKE '%Knudtson' THEN coalesce(value, -1) ELSE value END, 6) AS value FROM fl LEFT JOIN me USING (image_id, vessel_map, zone, feature)
+UNION ALL SELECT image_id, 'artery-vein', zone, feature, round(CASE WHEN feature = 'AVR' AND coalesce(a, -1) <> -1 AND coalesce(v, -1) <> -1 THEN a / v ELSE -1 END, 6) FROM (SELECT DISTINCT image_id, zone, feature FROM fl UNION SELECT DISTINCT image_id, zone, 'AVR' FROM fl) LEFT JOIN av USING (image_id, zone)""")
 def ves_measure(spark, sf):
-    p, m = views.path(spark, sf), views.mask_pixel(spark, sf)
-    s = p.select("image_id").union(m.select("image_id")).distinct().selectExpr("image_id", "5 AS disc_x", "100 AS disc_y", "10 AS disc_radius")
-    return vessel.vessel_measure(p, m, s, 64).select("image_id", "vessel_map", "zone", "feature", *r6("value"))
+    p, m, s = vessel_geometry(spark, sf)
+    skeleton = p.select("image_id", F.col("vessel_map").alias("mask"), F.col("col").alias("x"), F.col("row").alias("y")).distinct()
+    return vessel.vessel_measure(p, m, skeleton, s, 128, 11.49).select("image_id", "vessel_map", "zone", "feature", *r6("value"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from laminar.functions.dimensions import VESSEL_FEATURES
 from laminar.functions.nearest import nearest_point
 from laminar.operators import batch, disc, intensity, maps, mask, meta, roi, shape, trace, vessel
 from laminar.sources import files
@@ -289,10 +290,16 @@ def test_boxes_and_width(spark):
 
 
 def test_vessel_driver(spark):
+    """A tube of five pixels: one artery, too few for an equivalent."""
     p = path(spark, [12] * 40, list(range(40)))
+    tube = pixels(spark, [(x, y) for x in range(10, 15) for y in range(40)], "artery")
     s = spark.createDataFrame([(1, 12, 0, 10)], "image_id long, disc_x int, disc_y int, disc_radius int")
-    got = vessel.vessel_measure(p, pixels(spark, [(12, y) for y in range(40)], "artery"), s, 64)
-    assert {r["zone"] for r in got.collect()} == {"whole", "B"} and {r["feature"] for r in got.collect()} == {"tortuosity_density", "tortuosity_distance", "fractal_dimension", "vessel_density"}
+    got = {(r["vessel_map"], r["zone"], r["feature"]): r["value"] for r in vessel.vessel_measure(p, tube, pixels(spark, [(12, y) for y in range(40)], "artery"), s, 64, 2.0).collect()}
+    assert {k[1] for k in got} == {"whole", "B", "C"} and {k[2] for k in got} == {*VESSEL_FEATURES, "AVR"} and len(got) == 3 * 8 + 3 * 9
+    assert got["artery", "whole", "average_global_calibre"] == 10 and got["artery", "B", "average_global_calibre"] == -1
+    assert got["artery", "whole", "average_local_calibre"] == pytest.approx(8, abs=0.5) and got["artery", "C", "average_local_calibre"] is None
+    assert got["artery", "B", "tortuosity_distance"] == 1 and got["artery", "whole", "tortuosity_density"] == 0
+    assert got["artery", "B", "CRAE_Knudtson"] == got["artery-vein", "B", "AVR"] == got["artery-vein", "whole", "vessel_density"] == -1
 
 
 def test_intensity(spark):
