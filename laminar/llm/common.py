@@ -59,6 +59,7 @@ def append_in_arrow(df: DataFrame, text_col: str, keep: list[str], fields: list[
                 made = [pa.array(x, t) for x, t in zip(compute(texts), kinds, strict=True)]
                 kept = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     cols = keep if text_col in keep else [*keep, text_col]
     return df.select(*cols).mapInArrow(run, schema)
