@@ -1 +1,4 @@
+"""Registered queries."""
 
+from . import coverage as coverage
+from . import registry as registry
