@@ -7,7 +7,7 @@ block, so that a text costs time in proportion to its length however many matche
 
 Bootstrapping: rule matches and other tokens with a digit are instances; the two words before one
 and the two words behind it are its lexical patterns (`#` stands for an instance among these
-words, `^` and `$` for the text's ends). Pattern-instance pairs are counted over the corpus. Seeds are the
+words, `^` and `$` for the text's ends; at least one of the two has a letter). Pattern-instance pairs are counted over the corpus. Seeds are the
 rule matches, with score 1. Each round a pattern's confidence becomes the share of its
 instances' score (smoothed by `DOUBT` unknown instances), its support the number of different
 instances with a score of CONFIDENT or more, seeds or discovered ones; an instance's score becomes
@@ -204,7 +204,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_email, n_ip, n_card, n_phone, base_sha256, found (all spans) and spans (as text) of every row."""
     rows = found(docs, id_col, text_col)
     seen = rows.select("__row", F.explode("instances").alias("i")).select("__row", "i.start", "i.end", "i.instance", "i.seed", F.explode(F.array("i.left", "i.right")).alias("pattern"))
-    seen = materialise(seen, "instances")
+    seen = materialise(seen.filter(F.col("pattern").rlike(r"^[LR] .*\p{L}")), "instances")  # places without a word are no pattern
     pairs = materialise(seen.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pairs")
     trusted = scored_patterns(pairs).filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern")
     new = materialise(seen.filter(~F.col("seed")).join(trusted, "pattern", "left_semi").select("__row", "start", "end").distinct(), "discovered")
