@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dimensions import SCALE_X, SCALE_Y, num, truncated
+from ..sources.shared import materialise
 from . import trace as tr
 
 SLAB = ["image_id", "bscan", "pair"]
@@ -109,9 +110,9 @@ def vascular_index(pixels: DataFrame, vessel: DataFrame, sx: float = SCALE_X, sy
 
 def linescan_measure(trace: DataFrame, fovea: DataFrame, distance: int, sx: float = SCALE_X, sy: float = SCALE_Y, force: bool = False) -> DataFrame:
     """ROI-9. Thickness, subfoveal thickness and area of every slab of every B-scan; -1 with a reason where it can't be measured."""
-    slab = tr.drop_missing(tr.pair_layers(tr.interp_trace(trace).withColumn("y", F.col("y").cast("double"))))
+    slab = materialise(tr.drop_missing(tr.pair_layers(tr.interp_trace(trace).withColumn("y", F.col("y").cast("double")))), "slabs")
     n, _ = lattice(distance, sx)
-    sampled = samples(slab, fovea, distance, sx, sy, force)
+    sampled = materialise(samples(slab, fovea, distance, sx, sy, force), "samples")
     thick = roi_thickness(sampled, n, sy)
     area = enclosed_area(enclosed_pixels(slab, sides(sampled, n)), sx, sy).select(*SLAB, F.col("area").alias("roi_area"))
     joined = slab.select(*SLAB).distinct().join(thick, SLAB, "left").join(area, SLAB, "left")

@@ -582,14 +582,14 @@ def ves_zonal_paths(spark, sf):
     return vessel.zonal_paths(vessel.zones(p, s, "col", "row")).select("image_id", "vessel_map", "path_id", "seq", "row", "col", "zone")
 
 
-@query(f"""WITH w AS (SELECT user_id % 5 AS image_id, CASE WHEN user_id % 2 = 0 THEN 'artery' ELSE 'vein' END AS vessel_map, 'B' AS zone, user_id AS path_id, round(avg(value), 6) AS width FROM events GROUP BY user_id),
+@query(f"""WITH w AS (SELECT user_id // 30 AS image_id, CASE WHEN user_id % 2 = 0 THEN 'artery' ELSE 'vein' END AS vessel_map, 'B' AS zone, user_id AS path_id, round(avg(value), 6) AS width FROM events GROUP BY user_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, vessel_map ORDER BY width DESC, path_id) AS r FROM w), t AS (SELECT image_id, vessel_map, zone, list(width ORDER BY width) AS v FROM r WHERE r <= 6 GROUP BY 1, 2, 3),
 c AS (SELECT *, CASE vessel_map WHEN 'artery' THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS c FROM t), p AS (SELECT *, list_sort([c*sqrt(v[1]**2+v[6]**2), c*sqrt(v[2]**2+v[5]**2), c*sqrt(v[3]**2+v[4]**2)]) AS f FROM c), q AS (SELECT *, list_sort([c*sqrt(f[1]**2+f[3]**2), f[2]]) AS g FROM p),
 e AS (SELECT image_id, vessel_map, zone, CASE WHEN len(v) = 6 THEN c*sqrt(g[1]**2+g[2]**2) ELSE -1 END AS e FROM q), b AS (SELECT image_id, zone, coalesce(max(CASE WHEN vessel_map = 'artery' THEN e END), -1) AS a, coalesce(max(CASE WHEN vessel_map = 'vein' THEN e END), -1) AS v FROM e GROUP BY 1, 2)
 SELECT image_id, zone, round(CASE WHEN a = -1 OR v = -1 THEN -1 ELSE a / v END, 6) AS "AVR", CASE WHEN a = -1 OR v = -1 THEN false ELSE a / v > 1 END AS warning FROM b""")
 def ves_artery_vein_ratio(spark, sf):
     e = views.table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("width"))
-    w = e.select((F.col("user_id") % 5).alias("image_id"), F.when(F.col("user_id") % 2 == 0, "artery").otherwise("vein").alias("vessel_map"), F.lit("B").alias("zone"), F.col("user_id").alias("path_id"), "width")
+    w = e.select(F.expr("user_id div 30").alias("image_id"), F.when(F.col("user_id") % 2 == 0, "artery").otherwise("vein").alias("vessel_map"), F.lit("B").alias("zone"), F.col("user_id").alias("path_id"), "width")
     return vessel.avr(vessel.knudtson(vessel.top_widths(w))).select("image_id", "zone", *r6("AVR"), "warning")
 
 
