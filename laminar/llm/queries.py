@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linecrf, mixing, ogg, packing, pii, secretscan, simhash, tokencount, warc, zstdquality
+from . import linecrf, mixing, ogg, packing, periodicruns, pii, secretscan, simhash, spelling, tokencount, tokenfile, warc, zstdquality
 from .common import documents
 
 
@@ -64,13 +65,28 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, "content_share", "n_content_lines")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodicruns.with_tandem_repeats(documents(spark, sf_dir))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    digests = [F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return periodicruns.periodic_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli", *digests)
+
+
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(documents(spark, sf_dir), damage=199), least_length=6, least_count=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc_index_merge, op3_token_counts, op4_simhash_near_dedup, op5_ogg_media, op6_compression_classifier, op7_packing, op8_bootstrapped_pii, op9_mixing, op10_line_crf, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_warc_index_merge, op3_token_counts, op4_simhash_near_dedup, op5_ogg_media, op6_compression_classifier, op7_packing, op8_bootstrapped_pii, op9_mixing, op10_line_crf, op11_periodic_runs, op12_token_file, op13_spelling_variants, pipeline)}
 
 #: None of the results is one of SQL alone: they hold model scores, archive places, token ids,
 #: XXH64 fingerprints or hashed samples. Tests compare them with brute force.
