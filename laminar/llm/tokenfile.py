@@ -223,7 +223,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str,
         return [[zlib.crc32(x) for x in made], made]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return materialise(append_in_arrow(rows, "text", ["doc", "row"], [field("crc", T.LongType()), field("ids", T.BinaryType())], compute, SLICE_BYTES), "tokens"), kind
+    return materialise(append_in_arrow(rows, "text", ["doc", "row"], [field("crc", T.LongType()), field("ids", T.BinaryType())], compute, SLICE_BYTES), "tokens", "zstd"), kind
 
 
 def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
