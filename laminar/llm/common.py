@@ -65,6 +65,12 @@ def append_in_arrow(df: DataFrame, text_col: str, keep: list[str], fields: list[
     return df.select(*cols).mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by place, so that none is called like a column that an operator adds, and the new names by the old ones."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), names
+
+
 def span_digest(spans: list[tuple[str, int, int]]) -> str:
     import hashlib
 
@@ -83,4 +89,4 @@ def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
 
-__all__ = ["append_in_arrow", "documents", "field", "fresh_path", "materialise", "slices", "span_digest", "span_text", "utf8"]
+__all__ = ["append_in_arrow", "documents", "field", "fresh_path", "materialise", "numbered", "slices", "span_digest", "span_text", "utf8"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_in_arrow, field
+from .common import append_in_arrow, field, numbered
 
 SAMPLE, STRETCH = 400, 48
 SYMBOLS = b"#*$%&|<>"
@@ -248,3 +248,10 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
 
     fields = [field(c, T.LongType()) for c in BASE] + [field("base_failed", T.BooleanType()), field("content_share", T.DoubleType()), field("n_content_lines", T.LongType()), field("kept", T.BooleanType())]
     return append_in_arrow(docs, text_col, [id_col] if keep is None else keep, fields, compute)
+
+
+def passing(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", least_share: float = 0.5) -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns as they are, whatever these are called."""
+    rows, name = numbered(docs)
+    judged = judge(rows, model, text_col=name[text_col], keep=rows.columns, least_share=least_share)
+    return judged.filter("kept").select(rows.columns).toDF(*docs.columns)

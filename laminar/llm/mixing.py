@@ -15,8 +15,7 @@ moving their texts.
 Contract: null texts have size 0; a null source is a source of its own and the last
 one. Documents of size 0 are never taken. Rows with equal id and source share one
 key and are decided together. Quality weights that are null or not positive count as
-`LEAST_WEIGHT`. Extra columns are ignored by `mix` and kept by `resample`; input
-columns named like an output give way to it. An empty table gives an empty table. Weights
+`LEAST_WEIGHT`. Extra columns are ignored by `mix` and kept by `resample`, whatever their names. An empty table gives an empty table. Weights
 and `cap` have to be positive, else a ValueError is raised; a cap too large to matter is no cap.
 """
 
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import materialise, numbered
 
 #: Documents' lowest quality weight.
 LEAST_WEIGHT = 0.1
@@ -129,7 +128,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, weight: Column | None = None, seed: int = 42) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
-    cols = prepared(docs, id_col, text_col, source_col, weight, seed)
-    sized = materialise(docs.select(*[c.alias(n) for n, c in cols.items()]), "sizes")
-    out = decided(docs.withColumns(cols), plan(sized, weights, cap))
-    return out.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    kept = docs if weight is None else docs.withColumn("__weight", weight)
+    rows, name = numbered(kept)
+    cols = prepared(rows, name[id_col], name[text_col], name[source_col], None if weight is None else F.col(rows.columns[-1]), seed)
+    sized = materialise(rows.select(*[c.alias(n) for n, c in cols.items()]), "sizes")
+    out = decided(rows.withColumns(cols), plan(sized, weights, cap))
+    out = out.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.select(*rows.columns[: len(docs.columns)]).toDF(*docs.columns)
