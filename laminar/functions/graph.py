@@ -1,7 +1,8 @@
-"""Connected components by min-label propagation with pointer jumping."""
+"""Connected components by min-label propagation with pointer jumping: over tables, and within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,19 @@ def components(edges: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFr
         if moved.filter("moved").isEmpty():
             discard(both)
             return moved.select(*keys, "node", "label")
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n indices reaches over the edges (a, b), for edges that fit a task."""
+    label = np.arange(n)
+    while len(a):
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(label, label[side], low)
+            np.minimum.at(label, side, low)
+        while (label[label] < label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    return label

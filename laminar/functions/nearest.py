@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,19 +51,6 @@ def fill_grid(x: np.ndarray, y: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_known(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """cells (keys, x, y, value) with value, where null, from the nearest cell of its group that has one.
-
-    A group is a part of one image's map, so it fits a task; groups are dealt by one shuffle.
-    A cell in a group without any value stays null. Groups may have any shape.
-    """
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(**{value: fill_grid(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf[value].to_numpy(float))})
-
-    return cells.groupBy(*keys).applyInPandas(fill, cells.schema)
-
-
 def nearest_point(points: DataFrame, targets: DataFrame, keys: list[str], tile: int = 8, rings: int = 64) -> DataFrame:
     """For each point (keys, px, py) the nearest target (keys, x, y) of its group, as tx, ty, distance.
 

@@ -41,13 +41,23 @@ def score(images: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Data
     return images.mapInPandas(run, schema)
 
 
-def route_scorer(images: DataFrame, registry: dict[str, tuple[Callable, float]], schema: T.StructType) -> DataFrame:
-    """OPS-3. Each location's own model and threshold: scores (with a column p) above it."""
-    out = None
-    for location, (load, threshold) in registry.items():
-        part = score(images.filter(F.col("location") == location), load, schema).filter(F.col("p") > threshold)
-        out = part if out is None else out.unionByName(part)
-    return out
+def route_scorer(images: DataFrame, registry: dict[str, tuple[Callable, float]], schema: T.StructType, batch: int = 16) -> DataFrame:
+    """OPS-3. Each location's own model and threshold: scores (with a column p) above it. One pass over the images; a task builds
+    the models of the locations that it meets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models: dict[str, Callable] = {}
+        for pdf in batches:
+            for location, rows in pdf.groupby("location", sort=False):
+                if location in registry:
+                    load, threshold = registry[location]
+                    model = models.setdefault(location, None) or load()
+                    models[location] = model
+                    for k in range(0, len(rows), batch):
+                        made = model(rows.iloc[k : k + batch].reset_index(drop=True))
+                        yield made[made["p"] > threshold]
+
+    return images.mapInPandas(run, schema)
 
 
 def apply_edits(mask: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

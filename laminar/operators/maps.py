@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.dimensions import RINGS_UM, SQUARE_N, SQUARE_UM, SUMMARY, num, truncated
-from ..functions.nearest import nearest_known
+from ..functions.nearest import fill_grid
 
 MAP = ["image_id", "map"]
 
@@ -138,6 +138,20 @@ def build_map(thick: DataFrame, centre: DataFrame, pose: DataFrame, sigma: float
     return rotate_map(place_on_localiser(gaussian(cells, sigma, width, height), 0, height), pose, width, height)
 
 
+def density_rows(density: DataFrame, n: int, layer: str = "choroid") -> DataFrame:
+    """Rows of the maps `<layer>_vessel` (areas) and `<layer>_ratio` (vascular index) of the densities of columns or normals (TRC-20): -1 in
+    those of the n columns of a B-scan that have none."""
+    each = F.explode(F.array(*[F.struct(F.lit(f"{layer}_{m}").alias("map"), F.col(c).cast("double").alias("value")) for m, c in (("vessel", "vessel_area"), ("ratio", "density"))])).alias("m")
+    got = density.select("image_id", "bscan", "x", each).select("image_id", "m.map", "bscan", "x", "m.value")
+    full = got.select(*MAP, "bscan").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return full.join(got, [*MAP, "bscan", "x"], "left").withColumn("value", F.coalesce("value", num(-1)))
+
+
+def build_vessel_maps(density: DataFrame, n: int, centre: DataFrame, pose: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
+    """MAP-10 of vessels: the area map and the ratio map on the localiser, built like a thickness map and in one pass."""
+    return build_map(density_rows(density, n), centre, pose, sigma, width, height)
+
+
 def select_maps(slab: DataFrame, all_layers: bool = False, custom: list[str] = ()) -> DataFrame:
     """MAP-11. Whole-depth slabs and asked ones, or all; whole-depth slabs get their map names."""
     chosen = slab if all_layers else slab.filter(F.col("pair").isin(*SUMMARY, *custom))
@@ -211,8 +225,8 @@ def inside(cells: DataFrame) -> DataFrame:
     return cells.filter("subfield is not null")
 
 
-def share_missing() -> Column:
-    return F.bround(100 * F.avg(F.when(F.col("value") == -1, 1.0).otherwise(0.0)), 2).alias("missing_percent")
+def share_missing(column: str = "value") -> Column:
+    return F.bround(100 * F.avg(F.when(F.col(column) == -1, 1.0).otherwise(0.0)), 2).alias("missing_percent")
 
 
 def mean_value(ratio: bool = False) -> Column:
@@ -228,10 +242,26 @@ def missing_share(cells: DataFrame) -> DataFrame:
     return inside(cells).groupBy(*MAP, "subfield").agg(share_missing())
 
 
+def with_fill(cells: DataFrame) -> DataFrame:
+    """Cells of subfields with `raw`, their value as it is, and as value that of the nearest measured cell of their own subfield.
+
+    All subfields of a map are filled in one group, an image's map, dealt by one shuffle.
+    """
+    rows = inside(cells).withColumn("raw", F.col("value"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf["value"].mask(pdf["value"] == -1).to_numpy(float)
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        for at in pdf.groupby("subfield", sort=False).indices.values():
+            out[at] = fill_grid(x[at], y[at], out[at])
+        return pdf.assign(value=np.where(np.isnan(out), -1.0, out))
+
+    return rows.groupBy(*MAP).applyInPandas(fill, rows.schema)
+
+
 def nearest_fill(cells: DataFrame) -> DataFrame:
     """MAP-18. Unmeasured cells take the nearest measured value of their own subfield."""
-    known = cells.filter("subfield is not null").withColumn("value", F.when(F.col("value") != -1, F.col("value")))
-    return nearest_known(known, [*MAP, "subfield"], "value").withColumn("value", F.coalesce("value", num(-1)))
+    return with_fill(cells).drop("raw")
 
 
 def subfield_mean(cells: DataFrame, ratio: bool = False) -> DataFrame:
@@ -244,9 +274,10 @@ def subfield_volume(cells: DataFrame, scale: float, vessel: bool = False) -> Dat
     return inside(cells).groupBy(*MAP, "subfield").agg(volume_of(scale, vessel))
 
 
-def grid_total(cells: DataFrame, scale: float) -> DataFrame:
-    """MAP-21. `all`: mean and volume over all subfields of the map as it is, unmeasured cells included."""
-    return inside(cells).groupBy(*MAP).agg(F.lit("all").alias("subfield"), mean_value(), volume_of(scale))
+def grid_total(cells: DataFrame, scale: float, ratio: bool = False, vessel: bool = False) -> DataFrame:
+    """MAP-21. `all`: mean and volume over all subfields of the map as it is, unmeasured cells included; a ratio map has no volume."""
+    volume = F.lit(None).cast("double").alias("volume") if ratio else volume_of(scale, vessel)
+    return inside(cells).groupBy(*MAP).agg(F.lit("all").alias("subfield"), mean_value(ratio), volume)
 
 
 def clip_value(cells: DataFrame, exact: bool = True) -> DataFrame:
@@ -256,23 +287,36 @@ def clip_value(cells: DataFrame, exact: bool = True) -> DataFrame:
     return cells.groupBy(*MAP).agg(q.alias("clip_value"))
 
 
-def subfield_stats(cells: DataFrame, scale: float, fill: bool = True, ratio: bool = False) -> DataFrame:
-    """MAP-23. Mean, volume and missing share by subfield with `all`; without filling, -1 cells take part."""
-    keys = [*MAP, "subfield"]
-    if fill:
-        per = nearest_fill(cells).groupBy(*keys).agg(mean_value(ratio), volume_of(scale)).join(missing_share(cells), keys)
-    else:  # one pass over the cells
-        per = inside(cells).groupBy(*keys).agg(mean_value(ratio), volume_of(scale), share_missing())
-    return per.unionByName(grid_total(cells, scale), allowMissingColumns=True)
-
-
-def volume_measure(cells: DataFrame, scan: DataFrame, scale: float, fill: bool = True) -> DataFrame:
-    """MAP-24. Every map on both grids: (image_id, grid, map, subfield, mean, volume, missing_percent)."""
-    ratio = F.col("map").contains("ratio")
-    out = None
-    for grid, place in (("etdrs", etdrs_subfield), ("square", square_subfield)):
-        placed = place(cells, scan)
-        for part, is_ratio in ((placed.filter(~ratio), False), (placed.filter(ratio), True)):
-            stats = subfield_stats(part, scale, fill, is_ratio).withColumn("grid", F.lit(grid))
-            out = stats if out is None else out.unionByName(stats)
-    return out
+def stats_by_kind(cells: DataFrame, scale: float, fill: bool, kind: Column) -> DataFrame:
+    """Mean, volume and missing share by subfield, `all` and, when filling, `all_filled`, for maps of the kind thickness, vessel or ratio.
+
+    Cells are shuffled once: sums by subfield lie where the map's cells do, and so do the sums over its subfields.
+    """
+    rows = with_fill(cells) if fill else inside(cells).withColumn("raw", F.col("value"))
+    sums = rows.groupBy(*MAP, "subfield").agg(F.sum("value").alias("filled"), F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("n"), share_missing("raw"))
+    none = F.lit(None).cast("double")
+    part = F.struct("subfield", F.col("filled").alias("total"), "n", "missing_percent")
+    over_all = [F.struct(F.lit(name).alias("subfield"), F.sum(c).alias("total"), F.sum("n").alias("n"), none.alias("missing_percent")) for name, c in (("all", "raw"), ("all_filled", "filled"))[: 1 + fill]]
+    each = sums.groupBy(*MAP).agg(F.concat(F.collect_list(part), F.array(*over_all)).alias("parts"))  # a grid has few subfields
+    each = each.select(*MAP, F.explode("parts").alias("p")).select(*MAP, "p.*").withColumn("kind", kind)
+    ratio, mean = F.col("kind") == "ratio", F.col("total") / F.col("n")
+    volume = lambda vessel: F.bround(F.col("total") * num(scale * 1e-9 if vessel else scale * scale * 1e-9), 3)
+    value = F.when(ratio, F.bround(mean, 3)).otherwise(truncated(mean).cast("double")).alias("mean")
+    return each.select(*MAP, "subfield", value, F.when(ratio, none).when(F.col("kind") == "vessel", volume(True)).otherwise(volume(False)).alias("volume"), "missing_percent")
+
+
+def subfield_stats(cells: DataFrame, scale: float, fill: bool = True, ratio: bool = False, vessel: bool = False) -> DataFrame:
+    """MAP-23. Mean, volume and missing share by subfield with `all` and `all_filled`; without filling, -1 cells take part."""
+    return stats_by_kind(cells, scale, fill, F.lit("ratio" if ratio else "vessel" if vessel else "thickness"))
+
+
+def map_kind(name: Column) -> Column:
+    """ratio (means to three decimals, no volume), vessel (areas, which one scale factor makes a volume of) or thickness."""
+    return F.when(name.rlike("ratio|index"), "ratio").when(name.contains("vessel"), "vessel").otherwise("thickness")
+
+
+def volume_measure(cells: DataFrame, scan: DataFrame, scale: float, fill: bool = True, kind: Column | None = None) -> DataFrame:
+    """MAP-24. Every map on both grids: (image_id, grid, map, subfield, mean, volume, missing_percent). `kind`: by the map's name unless given."""
+    kind = map_kind(F.col("map")) if kind is None else kind
+    grids = [stats_by_kind(place(cells, scan), scale, fill, kind).withColumn("grid", F.lit(grid)) for grid, place in (("etdrs", etdrs_subfield), ("square", square_subfield))]
+    return grids[0].unionByName(grids[1])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import graph
 from ..functions.dimensions import CODEBOOK
-from ..sources.shared import materialise
 
 MASK = ["image_id", "mask"]
 EIGHT = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -29,25 +31,37 @@ def shifted(mask: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return mask.select(*MASK, "x", "y").withColumn("o", F.explode(offsets(pairs))).select(*MASK, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
 
 
+def label_pixels(x: np.ndarray, y: np.ndarray, slack: int) -> np.ndarray:
+    """Labels of one picture's pixels: its rows' runs, each united with the runs of the next row that it touches."""
+    width = int(x.max()) - int(x.min()) + 3
+    place = (y.astype(np.int64) - int(y.min())) * width + x - int(x.min()) + 1
+    order = np.argsort(place, kind="stable")
+    sorted_ = place[order]
+    new = np.concatenate([[True], sorted_[1:] > sorted_[:-1] + 1])
+    run = np.cumsum(new) - 1
+    first, last = sorted_[new], sorted_[np.concatenate([new[1:], [True]])]
+    # Runs of the next row that end no earlier and begin no later than this run, slack aside, stand side by side.
+    lo, hi = np.searchsorted(last, first + width - slack), np.searchsorted(first, last + width + slack, "right")
+    each = np.maximum(hi - lo, 0)
+    upper = np.repeat(np.arange(len(first)), each)
+    lower = np.arange(len(upper)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
+    root = graph.roots(len(first), upper, lower)
+    own = root == np.arange(len(first))
+    out = np.empty(len(x), np.int32)
+    out[order] = np.cumsum(own)[root][run]
+    return out
+
+
 def components(mask: DataFrame, conn: int = 8) -> DataFrame:
-    """MSK-1. Pixels with the label of their region: 1, 2, ... in the order of regions' first pixels, row by row.
+    """MSK-1. Pixels with the label of their region: 1, 2, ... in the order of regions' first pixels, row by row. A picture is one group of one shuffle."""
+    pixels = mask.select(*MASK, "x", "y")
+    schema = T.StructType([*pixels.schema.fields, T.StructField("label", T.IntegerType())])
 
-    Rows are first cut into runs; a run is linked with the runs of the next row that it
-    touches, and labels spread over runs, not pixels.
-    """
-    pixels = mask.select(*MASK, "x", "y").distinct()
-    order = W.partitionBy(*MASK, "y").orderBy("x")
-    run = pixels.withColumn("island", F.col("x") - F.row_number().over(order))
-    runs = run.groupBy(*MASK, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("run", F.struct("y", "x0"))
-    runs = materialise(runs, "runs")  # read by the links, the labels and the result
-    slack = 1 if conn == 8 else 0
-    below = runs.select(*MASK, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("other"))
-    links = runs.join(below, [*MASK, "y"]).filter((F.col("x0") <= F.col("b1") + slack) & (F.col("b0") <= F.col("x1") + slack)).select(*MASK, "run", "other")
-    labels = graph.components(links, "run", "other", MASK).withColumnRenamed("node", "run").withColumnRenamed("label", "root")
-    rooted = runs.join(labels, [*MASK, "run"], "left").withColumn("root", F.coalesce("root", "run"))
-    number = rooted.select(*MASK, "root").distinct().withColumn("label", F.row_number().over(W.partitionBy(*MASK).orderBy("root")))
-    named = rooted.join(number, [*MASK, "root"])
-    return named.select(*MASK, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "label")
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["x", "y"])
+        return pdf.assign(label=label_pixels(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64), 1 if conn == 8 else 0))
+
+    return pixels.groupBy(*MASK).applyInPandas(label, schema)
 
 
 def region_props(labelled: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ Keys start with image_id, so one shuffle on (image_id, bscan) serves a chain of
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.dimensions import CHOROID, SCALE_X, SCALE_Y, layer_rank, num, truncated
@@ -167,24 +170,59 @@ def line(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column
     return slope, F.when(x1 == x2, x1).otherwise(y1 - slope * x1)
 
 
+def walk_normals(x: np.ndarray, top: np.ndarray, deepest: float, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (wx, wy) on the normals of upper points in the order of x, a row a point: every whole y from the point down to `deepest`; NaN where none is.
+
+    The tangent joins the points `offset` before and after, or the line's ends.
+    """
+    n = len(x)
+    before, after = np.maximum(np.arange(n) - offset, 0), np.minimum(np.arange(n) + offset, n - 1)
+    dx, dy = x[after] - x[before], top[after] - top[before]
+    steps = np.arange(max(0, int(deepest - np.nanmin(top))) + 1)
+    wy = top[:, None] + steps
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(dx != 0, dy / dx, np.nan)
+    wx = x[:, None] - slope[:, None] * (wy - top[:, None])
+    gone = (wy > deepest) | np.isnan(wx)
+    return np.where(gone, np.nan, wx), np.where(gone, np.nan, wy)
+
+
+def feet(x: np.ndarray, bottom: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fx, fy, miss) of each normal: the lower point nearest to one of its places, of those in a place's column; miss is infinite without one."""
+    first = int(x.min())
+    low = np.full(int(x.max()) - first + 1, np.nan)
+    low[(x - first).astype(int)] = bottom
+    column = np.trunc(wx) - first
+    inside = (column >= 0) & (column < len(low))
+    column = np.where(inside, column, 0).astype(int)
+    d = np.where(inside, np.hypot(wx - (column + first), wy - low[column]), np.inf)
+    d[np.isnan(d)] = np.inf
+    best, rows = d.argmin(1), np.arange(len(d))
+    at = column[rows, best]
+    return at + first, low[at], d[rows, best]
+
+
 def perpendicular_foot(slab: DataFrame, offset: int = 15, tolerance: float = 2) -> DataFrame:
     """TRC-17. For each upper point the lower point that its normal meets.
 
-    The tangent joins the points `offset` before and after; the normal is walked by
-    whole y from the upper point to the lowest y of the lower boundary; each step is
-    compared with the lower point in its column, and the nearest within the tolerance is the foot.
+    The normal is walked by whole y from the upper point to the lowest y of the lower boundary; each place is
+    compared with the lower point in its column, and the nearest within the tolerance is the foot. A boundary pair of a
+    B-scan is one group, so nothing is multiplied by depth in a shuffle.
     """
     keys = ["image_id", "bscan", "pair"]
-    top = tangent_points(slab.select("image_id", "bscan", F.col("pair").alias("layer"), "x", F.col("y_top").alias("y")), offset).withColumnRenamed("layer", "pair")
-    depth = slab.groupBy(*keys).agg(F.max("y_bot").alias("deepest"))
-    dx, dy = F.col("after.x") - F.col("before.x"), F.col("after.y") - F.col("before.y")
-    walk = top.join(depth, keys).filter((F.col("deepest") >= F.col("y")) & (dx != 0)).withColumn("wy", F.explode(F.sequence("y", "deepest")))
-    walk = walk.withColumn("wx", F.col("x") - dy / dx * (F.col("wy") - F.col("y")))
-    low = slab.select(*keys, F.col("x").alias("fx"), F.col("y_bot").alias("fy"))
-    met = walk.withColumn("fx", truncated(F.col("wx"))).join(low.withColumn("fx", F.col("fx").cast("bigint")), [*keys, "fx"])
-    d = F.hypot(F.col("wx") - F.col("fx"), F.col("wy") - F.col("fy"))
-    best = met.groupBy(*keys, "x", "y").agg(F.min_by(F.struct("fx", "fy"), F.struct(d, "wy")).alias("foot"), F.min(d).alias("miss"))
-    return best.filter(F.col("miss") <= tolerance).select(*keys, "x", F.col("y").alias("y_top"), "foot.fx", "foot.fy", "miss")
+    kinds = slab.schema
+    schema = T.StructType([*(kinds[c] for c in (*keys, "x", "y_top")), T.StructField("fx", T.LongType()), T.StructField("fy", kinds["y_bot"].dataType), T.StructField("miss", T.DoubleType())])
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x", kind="stable").reset_index(drop=True)
+        x, top, bottom = (pdf[c].to_numpy(float, na_value=np.nan) for c in ("x", "y_top", "y_bot"))
+        if np.isnan(top).all() or np.isnan(bottom).all():
+            return pdf.iloc[:0].assign(fx=0, fy=0, miss=0.0)[schema.names]
+        fx, fy, miss = feet(x, bottom, *walk_normals(x, top, np.nanmax(bottom), offset))
+        met = miss <= tolerance
+        return pdf[met].assign(fx=fx[met], fy=fy[met], miss=miss[met])[schema.names]
+
+    return slab.select(*keys, "x", "y_top", "y_bot").groupBy(*keys).applyInPandas(find, schema)
 
 
 def thickness(slab: DataFrame, sx: float = SCALE_X, sy: float = SCALE_Y) -> DataFrame:
@@ -204,9 +242,44 @@ def stack_thickness(slab: DataFrame, n: int, sy: float = SCALE_Y, how: str = "ve
     return full.join(got, ["image_id", "bscan", "pair", "x"], "left").withColumn("thickness", F.coalesce("thickness", num(-1)))
 
 
-def column_density(region: DataFrame, vessel: DataFrame, sx: float = SCALE_X, sy: float = SCALE_Y) -> DataFrame:
-    """TRC-20. Vessel and region pixels of each column, their ratio (null for an empty column) and the vessel area in square microns."""
+def normal_counts(slab: DataFrame, region: DataFrame, vessel: DataFrame, offset: int, tolerance: float) -> DataFrame:
+    """(image_id, bscan, x, region_px, vessel_px): pixels of the region, and of vessels in it, on the normal of each upper point of slab that has
+    a foot. slab has one pair; a B-scan with its pixels is one group."""
+    keys = ["image_id", "bscan"]
+    schema = T.StructType([*(slab.schema[c] for c in (*keys, "x")), T.StructField("region_px", T.LongType()), T.StructField("vessel_px", T.LongType())])
+    pixels = region.select(*keys, "x", "y", F.lit(0).alias("v")).unionByName(vessel.select(*keys, "x", "y", F.lit(1).alias("v")))
+
+    def count(lines: pd.DataFrame, px: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.sort_values("x", kind="stable").reset_index(drop=True)
+        x, top, bottom = (lines[c].to_numpy(float, na_value=np.nan) for c in ("x", "y_top", "y_bot"))
+        if not len(lines) or np.isnan(top).all() or np.isnan(bottom).all():
+            return pd.DataFrame({c: [] for c in schema.names}).astype("int64")
+        wx, wy = walk_normals(x, top, np.nanmax(bottom), offset)
+        met = feet(x, bottom, wx, wy)[2] <= tolerance
+        cx, cy, v = (px[c].to_numpy(np.int64) for c in ("x", "y", "v"))
+        x0, y0 = (int(c.min()) if len(c) else 0 for c in (cx, cy))
+        shape = (int(cy.max()) - y0 + 1, int(cx.max()) - x0 + 1) if len(px) else (1, 1)
+        found = np.zeros((2, *shape), bool)
+        found[v, cy - y0, cx - x0] = True
+        column, row = np.trunc(wx[met]) - x0, wy[met] - y0
+        inside = (column >= 0) & (column < shape[1]) & (row >= 0) & (row < shape[0])
+        column, row = (np.where(inside, c, 0).astype(int) for c in (column, row))
+        in_region = found[0][row, column] & inside
+        hit = found[1][row, column] & in_region
+        return lines[met][[*keys, "x"]].assign(region_px=in_region.sum(1), vessel_px=hit.sum(1))
+
+    lines = slab.select(*[F.col(c).alias(c) for c in (*keys, "x", "y_top", "y_bot")])  # pixels may come from the same table
+    pixels = pixels.select(*[F.col(c).alias(c) for c in pixels.columns])
+    return lines.groupBy(*keys).cogroup(pixels.groupBy(*keys)).applyInPandas(count, schema)
+
+
+def column_density(region: DataFrame, vessel: DataFrame, sx: float = SCALE_X, sy: float = SCALE_Y, how: str = "vertical", slab: DataFrame | None = None, offset: int = 15, tolerance: float = 2) -> DataFrame:
+    """TRC-20. Vessel and region pixels of each column or, with the boundaries in slab, along each normal (`perpendicular`); their ratio (null for
+    an empty one) and the vessel area in square microns."""
     keys = ["image_id", "bscan", "x"]
-    both = region.select(*keys, "y").join(vessel.select(*keys, "y", F.lit(1).alias("v")), [*keys, "y"], "left")
-    counts = both.groupBy(*keys).agg(F.count("*").alias("region_px"), F.count("v").alias("vessel_px"))
+    if how == "perpendicular":
+        counts = normal_counts(slab, region, vessel, offset, tolerance)
+    else:
+        both = region.select(*keys, "y").join(vessel.select(*keys, "y", F.lit(1).alias("v")), [*keys, "y"], "left")
+        counts = both.groupBy(*keys).agg(F.count("*").alias("region_px"), F.count("v").alias("vessel_px"))
     return counts.withColumns({"density": F.try_divide("vessel_px", "region_px"), "vessel_area": F.col("vessel_px") * num(sx * sy)})

@@ -10,7 +10,7 @@ from ..operators import batch, disc, maps, mask, meta, roi, shape, trace, vessel
 from ..sources import files, views
 from ..sources.shared import fresh_path
 from ..streaming import ingest
-from .registry import CELLS, ETDRS, FILLED, INTERP, KERNEL, LABELS, NEAREST, ROWS, SLAB, VROWS, cells, grid_scan, query, r6, slab, thick_rows, vessel_rows
+from .registry import CELLS, ETDRS, FILLED, FOOT, INTERP, KERNEL, LABELS, NEAREST, ORACLE_SQL, ROWS, SLAB, VROWS, cells, grid_scan, query, r6, slab, thick_rows, vessel_rows
 
 # ---- sources and sinks ------------------------------------------------------
 
@@ -32,27 +32,31 @@ def collated(spark, sf):
     return shape.union_results(list(tables.values())).select("image_id", "pattern", "kind", "layer", "feature", "value")
 
 
-@query(f"WITH {COLLATED} SELECT image_id, pattern, kind, layer, feature, value FROM good WHERE pattern IN ('H-line', 'Radial')")
+@query(f"WITH {COLLATED} SELECT image_id, pattern, kind, layer, feature, CASE WHEN image_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM good WHERE pattern IN ('H-line', 'Radial')")
 def src_result_store(spark, sf):
-    """Written as the store's partitions, read back for two patterns."""
-    root = fresh_path(spark, "results")
-    files.write_results(collated(spark, sf), root)
+    """Written as the store's partitions, twice; every third image measured anew in a later run; read back for two patterns."""
+    root, rows = fresh_path(spark, "results"), collated(spark, sf)
+    for _ in range(2):
+        files.write_results(rows, root, "monday")
+    files.write_results(rows.filter("image_id % 3 = 0").withColumn("value", F.col("value") + 1), root, "tuesday")
     return files.load_results(spark, root, ["H-line", "Radial"]).select("image_id", "pattern", "kind", "layer", "feature", "value")
 
 
 @query(f"WITH {views.MEASUREMENT} SELECT image_id, layer, feature, value FROM measurement")
 def src_per_image_store(spark, sf):
     root = fresh_path(spark, "per-image")
-    files.write_per_image(views.measurement(spark, sf), root, 16)
-    return spark.read.parquet(root).drop("bucket")
+    for _ in range(2):
+        files.write_per_image(views.measurement(spark, sf), root, 16)
+    return files.committed(spark, root).drop("bucket")
 
 
-@query(f"WITH {VROWS} SELECT image_id, vessel_map, zone, feature, CASE WHEN zone = 'B' THEN value + 1 ELSE value END AS value FROM vm")
+@query(f"WITH {VROWS} SELECT image_id, vessel_map, zone, feature, CASE WHEN zone = 'B' AND image_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM vm")
 def src_replaced_zone(spark, sf):
-    """Zone B is measured anew, the other zones' rows stay."""
+    """Zone B of every third image is measured anew, twice with the same outcome; other zones and images stay."""
     root, rows = fresh_path(spark, "zones"), vessel_rows(spark, sf)
     files.replace_zone(rows, root)
-    files.replace_zone(rows.filter("zone = 'B'").withColumn("value", F.col("value") + 1), root)
+    for _ in range(2):
+        files.replace_zone(rows.filter("zone = 'B' AND image_id % 3 = 0").withColumn("value", F.col("value") + 1), root)
     return spark.read.parquet(root).select("image_id", "vessel_map", "zone", "feature", "value")
 
 
@@ -204,25 +208,64 @@ def map_subfield_parts(spark, sf):
 
 @query(f"""WITH {NEAREST} SELECT image_id, subfield, CAST(trunc(avg(nf.value)) AS DOUBLE) AS mean, round(round_even(sum(nf.value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6) AS volume, max(missing) AS missing_percent
  FROM nf JOIN (SELECT image_id, subfield, round_even(100 * avg(CASE WHEN value = -1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 2) AS missing FROM s GROUP BY 1, 2) USING (image_id, subfield) GROUP BY 1, 2
-UNION ALL SELECT image_id, 'all', CAST(trunc(avg(value)) AS DOUBLE), round(round_even(sum(value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6), NULL FROM s GROUP BY 1""")
+UNION ALL SELECT image_id, 'all', CAST(trunc(avg(value)) AS DOUBLE), round(round_even(sum(value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6), NULL FROM s GROUP BY 1
+UNION ALL SELECT image_id, 'all_filled', CAST(trunc(avg(value)) AS DOUBLE), round(round_even(sum(value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6), NULL FROM nf GROUP BY 1""")
 def map_filled_stats(spark, sf):
     placed = maps.etdrs_subfield(cells(spark, sf), grid_scan(spark, sf))
     return maps.subfield_stats(placed, 110.0).select("image_id", "subfield", "mean", *r6("volume"), "missing_percent")
 
 
 VOLUMES = f"""{ETDRS}, e AS (SELECT list(CAST(trunc(32 - h + 2 * h * k / 8) AS BIGINT) ORDER BY k) AS ex, list(CAST(trunc(31 - h + 2 * h * k / 8) AS BIGINT) ORDER BY k) AS ey FROM (SELECT 7000 / CAST(110 AS DOUBLE) / 2 AS h, unnest(range(9)) AS k)),
-sq AS (SELECT c.*, len(list_filter(ex, lambda t: t <= x)) AS cx, len(list_filter(ey, lambda t: t <= y)) AS cy FROM cells c, e), g AS (SELECT image_id, 'etdrs' AS grid, subfield, value FROM sub WHERE subfield IS NOT NULL
- UNION ALL SELECT image_id, 'square', cy || '.' || CASE WHEN image_id % 2 = 0 THEN cx ELSE 9 - cx END, value FROM sq WHERE cx BETWEEN 1 AND 8 AND cy BETWEEN 1 AND 8),
-gm AS (SELECT image_id, grid, 'retina' AS map, subfield, value FROM g UNION ALL SELECT image_id, grid, 'vessel_ratio', subfield, CASE WHEN value = -1 THEN -1 ELSE value / 64 END FROM g)"""
+sq AS (SELECT c.*, len(list_filter(ex, lambda t: t <= x)) AS cx, len(list_filter(ey, lambda t: t <= y)) AS cy FROM cells c, e), g AS MATERIALIZED (SELECT image_id, 'etdrs' AS grid, subfield, x, y, value FROM sub WHERE subfield IS NOT NULL
+ UNION ALL SELECT image_id, 'square', cy || '.' || CASE WHEN image_id % 2 = 0 THEN cx ELSE 9 - cx END, x, y, value FROM sq WHERE cx BETWEEN 1 AND 8 AND cy BETWEEN 1 AND 8),
+near AS (SELECT a.image_id, a.grid, a.x, a.y, min(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * 4096 + b.y * 64 + b.x) % 4096 AS k FROM g a JOIN g b ON a.image_id = b.image_id AND a.grid = b.grid AND a.subfield = b.subfield WHERE a.value = -1 AND b.value <> -1 GROUP BY 1, 2, 3, 4),
+gf AS (SELECT g.*, coalesce(f.value, g.value) AS filled FROM g LEFT JOIN near n ON n.image_id = g.image_id AND n.grid = g.grid AND n.x = g.x AND n.y = g.y LEFT JOIN cells f ON f.image_id = n.image_id AND f.x = n.k % 64 AND f.y = n.k // 64),
+part AS (SELECT image_id, grid, subfield, value AS raw, filled AS v, CASE WHEN value = -1 THEN CAST(1 AS DOUBLE) ELSE 0 END AS gone FROM gf UNION ALL SELECT image_id, grid, 'all', value, value, NULL FROM gf UNION ALL SELECT image_id, grid, 'all_filled', value, filled, NULL FROM gf),
+gm AS (SELECT image_id, grid, map, subfield, CASE WHEN map = 'choroid_ratio' AND v <> -1 THEN v / 64 ELSE v END AS v, gone FROM part, (VALUES ('retina'), ('choroid_vessel'), ('choroid_ratio')) q(map))"""
 
 
-@query(f"""WITH {VOLUMES} SELECT image_id, grid, map, subfield, CASE WHEN map = 'retina' THEN CAST(trunc(avg(value)) AS DOUBLE) ELSE round_even(avg(value), 3) END AS mean, round(round_even(sum(value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6) AS volume, round_even(100 * avg(CASE WHEN value = -1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 2) AS missing_percent FROM gm GROUP BY 1, 2, 3, 4
-UNION ALL SELECT image_id, grid, map, 'all', CAST(trunc(avg(value)) AS DOUBLE), round(round_even(sum(value) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6), NULL FROM gm GROUP BY 1, 2, 3""")
+@query(f"""WITH {VOLUMES} SELECT image_id, grid, map, subfield, CASE WHEN map = 'choroid_ratio' THEN round_even(avg(v), 3) ELSE CAST(trunc(avg(v)) AS DOUBLE) END AS mean,
+ CASE map WHEN 'retina' THEN round(round_even(sum(v) * (CAST(110 AS DOUBLE) * 110 * 1e-9), 3), 6) WHEN 'choroid_vessel' THEN round(round_even(sum(v) * (CAST(110 AS DOUBLE) * 1e-9), 3), 6) END AS volume, round_even(100 * avg(gone), 2) AS missing_percent FROM gm GROUP BY 1, 2, 3, 4""")
 def map_volume(spark, sf):
-    """Two maps, one of them a ratio, on both grids."""
+    """A thickness, a vessel-area and a ratio map on both grids, filled: ratios to three decimals and without a volume, areas scaled once."""
     c = cells(spark, sf)
-    both = c.unionByName(c.withColumns({"map": F.lit("vessel_ratio"), "value": F.when(F.col("value") == -1, -1.0).otherwise(F.col("value") / 64)}))
-    return maps.volume_measure(both, grid_scan(spark, sf), 110.0, fill=False).select("image_id", "grid", "map", "subfield", "mean", *r6("volume"), "missing_percent")
+    vessel, ratio = c.withColumn("map", F.lit("choroid_vessel")), c.withColumns({"map": F.lit("choroid_ratio"), "value": F.when(F.col("value") == -1, -1.0).otherwise(F.col("value") / 64)})
+    return maps.volume_measure(c.unionByName(vessel).unionByName(ratio), grid_scan(spark, sf), 110.0).select("image_id", "grid", "map", "subfield", "mean", *r6("volume"), "missing_percent")
+
+
+NORMALS = f"""{FOOT}, foot AS (SELECT image_id, bscan, x FROM m GROUP BY 1, 2, 3 HAVING min(d) <= 2),
+px AS (SELECT w.image_id, w.bscan, w.x, CAST(trunc(wx) AS BIGINT) AS cx, wy FROM w SEMI JOIN foot ON w.image_id = foot.image_id AND w.bscan = foot.bscan AND w.x = foot.x),
+reg AS (SELECT s.image_id, s.bscan, s.x AS cx, s.y_top AS lo, b.fy - 1 AS hi FROM s JOIN b ON s.image_id = b.image_id AND s.bscan = b.bscan AND s.x = b.fx),
+hit AS (SELECT px.image_id, px.bscan, px.x, (wy BETWEEN lo AND hi) IS TRUE AS r, (wy BETWEEN lo AND hi) IS TRUE AND (cx * 7 + wy) % 3 = 0 AS v FROM px LEFT JOIN reg USING (image_id, bscan, cx)),
+density AS (SELECT image_id, bscan, x, count(*) FILTER (r) AS region_px, count(*) FILTER (v) AS vessel_px FROM hit GROUP BY 1, 2, 3)"""
+
+
+def normal_density(spark, sf):
+    upper = slab(spark, sf).filter("pair = 'ILM_RNFL'")
+    region = trace.fill_between(upper)
+    return trace.column_density(region, region.filter("(x * 7 + y) % 3 = 0"), how="perpendicular", slab=upper)
+
+
+@query(f"""WITH {NORMALS} SELECT image_id, bscan, x, region_px, vessel_px, round(vessel_px / nullif(region_px, 0), 6) AS density, round(vessel_px * (CAST(11.49 AS DOUBLE) * CAST(3.87 AS DOUBLE)), 6) AS vessel_area FROM density""")
+def trc_normal_density(spark, sf):
+    """Vessel pixels along the normals of the upper boundary."""
+    return normal_density(spark, sf).select("image_id", "bscan", "x", "region_px", "vessel_px", *r6("density", "vessel_area"))
+
+
+def vessel_map_sql(name: str, value: str) -> str:
+    """The SQL of `map_build` with a density in the place of the thickness."""
+    rows = f"SELECT image_id, bscan, CAST(l.x AS INT) AS x, coalesce({value}, -1) AS value FROM (SELECT image_id, bscan, unnest(range(64)) AS x FROM (SELECT DISTINCT image_id, bscan FROM density)) l LEFT JOIN density USING (image_id, bscan, x)"
+    rest = ORACLE_SQL["map_build"].split("\nmv AS", 1)[1]
+    return f"SELECT '{name}' AS map, * FROM (WITH density AS MATERIALIZED (WITH {NORMALS} SELECT * FROM density), th AS ({rows}),\nmv AS{rest})"
+
+
+@query(vessel_map_sql("choroid_vessel", "vessel_px * (CAST(11.49 AS DOUBLE) * CAST(3.87 AS DOUBLE))") + "\nUNION ALL " + vessel_map_sql("choroid_ratio", "vessel_px / nullif(region_px, 0)"))
+def map_build_vessel(spark, sf):
+    """The area map and the ratio map of the densities along normals."""
+    rows = normal_density(spark, sf)
+    ids = rows.select("image_id").distinct()
+    centre, pose = ids.selectExpr("image_id", "40 AS cx", "64 AS n_x"), ids.selectExpr("image_id", "90.0D AS angle", "39.5D AS cx", "39.5D AS cy")
+    return maps.build_vessel_maps(rows, 64, centre, pose, 1.5, 80, 80).select("map", "image_id", "x", "y", *r6("value"))
 
 
 # ---- circular profiles, vessels, result tables ------------------------------
@@ -297,15 +340,15 @@ def priced(spark, sf):
     return o.select(F.col("o_orderkey").alias("image_id"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 2 == 0, "macula").otherwise("disc").alias("location"))
 
 
-@query("SELECT o_orderkey AS image_id, round(o_totalprice / 500000, 6) AS p FROM orders")
+@query("SELECT o_orderkey AS image_id, o_totalprice / 500000 AS p FROM orders")
 def ops_score(spark, sf):
-    return batch.score(priced(spark, sf), by_price(500_000.0), SCORED).select("image_id", *r6("p"))
+    return batch.score(priced(spark, sf), by_price(500_000.0), SCORED)
 
 
-@query("SELECT o_orderkey AS image_id, round(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 500000 ELSE o_totalprice / 400000 END, 6) AS p FROM orders WHERE CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 500000 > 0.5 ELSE o_totalprice / 400000 > 0.25 END")
+@query("SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 500000 ELSE o_totalprice / 400000 END AS p FROM orders WHERE CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 500000 > 0.5 ELSE o_totalprice / 400000 > 0.25 END")
 def ops_route_scorer(spark, sf):
     models = {"macula": (by_price(500_000.0), 0.5), "disc": (by_price(400_000.0), 0.25)}
-    return batch.route_scorer(priced(spark, sf), models, SCORED).select("image_id", *r6("p"))
+    return batch.route_scorer(priced(spark, sf), models, SCORED)
 
 
 @query("SELECT event_id AS image_id, round(value * 2, 6) AS value FROM events")
@@ -318,3 +361,33 @@ def ops_ingest(spark, sf):
         events.filter(lot).write.mode("append").parquet(inbox)
         ingest.stream_ingest(spark, inbox, events.schema, measure, out, seen, files_per_trigger=2)
     return spark.read.parquet(out).select("image_id", *r6("value"))
+
+
+@query("SELECT event_id AS image_id, round(value * 2 + CASE WHEN event_id % 3 = 0 THEN event_id % 7 ELSE 0 END, 6) AS value FROM events")
+def ops_ingest_annotations(spark, sf):
+    """Half of the files, then annotations of every third image (some before their file), then the other files, then nothing new."""
+    events = views.table(spark, sf, "events").select(F.col("event_id").alias("image_id"), "value")
+    notes = events.filter("image_id % 3 = 0").selectExpr("image_id", "cast(image_id % 7 as double) AS shift")
+    inbox, marks, out, seen = (fresh_path(spark, name) for name in ("inbox", "notes", "remeasured", "offsets"))
+    notes.limit(0).write.parquet(marks)
+
+    def measure(images, of_theirs):
+        return images.join(of_theirs, "image_id", "left").select("image_id", (F.col("value") * 2 + F.coalesce("shift", F.lit(0.0))).alias("value"))
+
+    for files_of, notes_of in (("image_id % 2 = 0", "false"), ("false", "true"), ("image_id % 2 = 1", "false"), ("false", "false")):
+        events.filter(files_of).write.mode("append").parquet(inbox)
+        notes.filter(notes_of).write.mode("append").parquet(marks)
+        ingest.stream_remeasure(spark, inbox, events.schema, marks, notes.schema, measure, out, seen, files_per_trigger=4)
+    return ingest.latest(spark, out).select("image_id", *r6("value"))
+
+
+@query("""WITH p AS (SELECT vec_id // 4 AS image_id, (vec_id % 4) * 64 + x AS x, CASE WHEN (vec_id * 3 + x) % 11 >= 2 THEN floor(100 + 80 * CAST(e AS DOUBLE)) END AS value FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS x FROM embeddings)),
+s AS (SELECT *, CASE WHEN x < 32 OR x >= 224 THEN 'nasal' WHEN x < 64 THEN 'supero_nasal' WHEN x < 96 THEN 'supero_temporal' WHEN x < 160 THEN 'temporal' WHEN x < 192 THEN 'infero_temporal' ELSE 'infero_nasal' END AS sector FROM p),
+m AS (SELECT image_id, sector, CAST(trunc(round(avg(value), 9)) AS DOUBLE) AS value FROM (SELECT image_id, sector, value FROM s UNION ALL SELECT image_id, 'All', value FROM s UNION ALL SELECT image_id, 'PMB', value FROM s WHERE x BETWEEN 126 AND 155) GROUP BY 1, 2)
+SELECT image_id, sector, round(value, 6) AS value FROM m UNION ALL SELECT image_id, 'N/T', round(max(CASE WHEN sector = 'nasal' THEN value END) / nullif(max(CASE WHEN sector = 'temporal' THEN value END), 0), 6) FROM m GROUP BY 1""")
+def ppl_bundle_means(spark, sf):
+    """Profiles of 256 samples, so that the bundle's samples are there."""
+    e = views.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
+    value = F.when((F.col("vec_id") * 3 + F.col("x")) % 11 >= 2, F.floor(100 + 80 * F.col("e").cast("double")).cast("double"))
+    profiles = e.select(F.expr("vec_id div 4").alias("image_id"), ((F.col("vec_id") % 4) * 64 + F.col("x")).cast("int").alias("x"), value.alias("value"))
+    return disc.sector_means(profiles, 256).select("image_id", "sector", *r6("value"))

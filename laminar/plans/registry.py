@@ -140,14 +140,17 @@ def trc_curve_location(spark, sf):
     return out.select("image_id", "bscan", "layer", "ref", "distance", F.col("idx_left").cast("bigint").alias("idx_left"), F.col("idx_right").cast("bigint").alias("idx_right"))
 
 
-@query(f"""WITH {views.TRACE}, t AS (SELECT image_id, bscan, x, y AS y_top FROM trace WHERE layer = 'ILM' AND y IS NOT NULL), b AS (SELECT image_id, bscan, x AS fx, CAST(y AS BIGINT) AS fy FROM trace WHERE layer = 'RNFL' AND y IS NOT NULL),
+FOOT = f"""{views.TRACE}, t AS (SELECT image_id, bscan, x, y AS y_top FROM trace WHERE layer = 'ILM' AND y IS NOT NULL), b AS (SELECT image_id, bscan, x AS fx, CAST(y AS BIGINT) AS fy FROM trace WHERE layer = 'RNFL' AND y IS NOT NULL),
 s AS (SELECT t.image_id, t.bscan, t.x, CAST(t.y_top AS BIGINT) AS y_top FROM t JOIN b ON t.image_id = b.image_id AND t.bscan = b.bscan AND t.x = b.fx),
 low AS (SELECT b.* FROM b JOIN s ON b.image_id = s.image_id AND b.bscan = s.bscan AND b.fx = s.x),
 g AS (SELECT *, coalesce(lag(x, 15) OVER w, first(x) OVER q) AS bx, coalesce(lag(y_top, 15) OVER w, first(y_top) OVER q) AS by_, coalesce(lead(x, 15) OVER w, last(x) OVER q) AS ax, coalesce(lead(y_top, 15) OVER w, last(y_top) OVER q) AS ay
  FROM s WINDOW w AS (PARTITION BY image_id, bscan ORDER BY x), q AS (PARTITION BY image_id, bscan ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 deep AS (SELECT image_id, bscan, max(fy) AS deepest FROM low GROUP BY 1, 2),
 w AS (SELECT *, x - (ay - by_) / (ax - bx) * (wy - y_top) AS wx FROM (SELECT g.*, unnest(range(y_top, deepest + 1)) AS wy FROM g JOIN deep USING (image_id, bscan) WHERE ax <> bx)),
-m AS (SELECT w.image_id, w.bscan, w.x, w.y_top, wy, low.fx, low.fy, sqrt((wx - low.fx)**2 + (wy - low.fy)**2) AS d FROM w JOIN low ON w.image_id = low.image_id AND w.bscan = low.bscan AND CAST(trunc(wx) AS BIGINT) = low.fx)
+m AS (SELECT w.image_id, w.bscan, w.x, w.y_top, wy, low.fx, low.fy, sqrt((wx - low.fx)**2 + (wy - low.fy)**2) AS d FROM w JOIN low ON w.image_id = low.image_id AND w.bscan = low.bscan AND CAST(trunc(wx) AS BIGINT) = low.fx)"""
+
+
+@query(f"""WITH {FOOT}
 SELECT image_id, bscan, 'ILM_RNFL' AS pair, x, y_top, CAST(min_by(fx, (d, wy)) AS BIGINT) AS fx, min_by(fy, (d, wy)) AS fy, round(min(d), 6) AS miss FROM m GROUP BY 1, 2, 4, 5 HAVING min(d) <= 2""")
 def trc_perpendicular_foot(spark, sf):
     out = trace.perpendicular_foot(slab(spark, sf).filter("pair = 'ILM_RNFL'"))
@@ -419,7 +422,7 @@ def grid_scan(spark, sf) -> DataFrame:
     return s.select("image_id", F.when(F.col("image_id") % 2 == 0, "Right").otherwise("Left").alias("eye"), F.lit(32).alias("cx"), F.lit(31).alias("cy"), F.lit(110.0).alias("slo_scale"), F.lit(0.0).alias("angle"))
 
 
-CELLS = f"""{views.MAP_CELL}, cells AS (SELECT image_id, 'retina' AS map, CAST(l.x AS INT) AS x, CAST(l.y AS INT) AS y, coalesce(value, -1) AS value FROM (SELECT image_id, x, unnest(range(64)) AS y FROM (SELECT image_id, unnest(range(64)) AS x FROM (SELECT DISTINCT image_id FROM map_cell))) l LEFT JOIN map_cell USING (image_id, x, y))"""
+CELLS = f"""{views.MAP_CELL}, cells AS MATERIALIZED (SELECT image_id, 'retina' AS map, CAST(l.x AS INT) AS x, CAST(l.y AS INT) AS y, coalesce(value, -1) AS value FROM (SELECT image_id, x, unnest(range(64)) AS y FROM (SELECT image_id, unnest(range(64)) AS x FROM (SELECT DISTINCT image_id FROM map_cell))) l LEFT JOIN map_cell USING (image_id, x, y))"""
 ETDRS = f"""{CELLS}, pol AS (SELECT *, sqrt((x - 32)**2 + (y - 31)**2) AS d, CASE WHEN abs(y - 31) >= abs(x - 32) THEN CASE WHEN y <= 31 THEN 'superior' ELSE 'inferior' END WHEN (x > 32) = (image_id % 2 = 0) THEN 'nasal' ELSE 'temporal' END AS side FROM cells),
 sub AS (SELECT image_id, map, x, y, value, CASE WHEN d <= ceil(1000 / CAST(110 AS DOUBLE) / 2) THEN 'central' WHEN d <= ceil(3000 / CAST(110 AS DOUBLE) / 2) THEN 'inner_' || side WHEN d <= ceil(6000 / CAST(110 AS DOUBLE) / 2) THEN 'outer_' || side END AS subfield FROM pol)"""
 
@@ -429,7 +432,7 @@ def map_etdrs_subfields(spark, sf):
     return maps.etdrs_subfield(cells(spark, sf), grid_scan(spark, sf)).select("image_id", "map", "x", "y", "value", "subfield")
 
 
-NEAREST = f"""{ETDRS}, s AS (SELECT * FROM sub WHERE subfield IS NOT NULL), known AS (SELECT image_id, subfield, x, y FROM s WHERE value <> -1), open_ AS (SELECT image_id, subfield, x, y FROM s WHERE value = -1),
+NEAREST = f"""{ETDRS}, s AS (SELECT * FROM sub WHERE subfield IS NOT NULL), known AS MATERIALIZED (SELECT image_id, subfield, x, y FROM s WHERE value <> -1), open_ AS MATERIALIZED (SELECT image_id, subfield, x, y FROM s WHERE value = -1),
 best AS (SELECT a.image_id, a.x, a.y, min(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * 4096 + b.y * 64 + b.x) % 4096 AS k FROM open_ a JOIN known b ON a.image_id = b.image_id AND a.subfield = b.subfield GROUP BY 1, 2, 3),
 nf AS (SELECT s.image_id, s.map, s.subfield, s.x, s.y, coalesce(f.value, s.value) AS value FROM s LEFT JOIN best ON best.image_id = s.image_id AND best.x = s.x AND best.y = s.y LEFT JOIN cells f ON f.image_id = best.image_id AND f.x = best.k % 64 AND f.y = best.k // 64)"""
 

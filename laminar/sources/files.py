@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import discard, materialise
+
 RESULT = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("pattern", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("layer", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
@@ -32,10 +34,27 @@ def fresh_annotations(files: DataFrame, used: DataFrame) -> DataFrame:
     return files.join(used.select("image_id", "path"), ["image_id", "path"], "left_anti")
 
 
+def commit(df: DataFrame, root: str, run: str, parts: list[str]) -> None:
+    """Write df as the rows of one run, then note the run as finished. A run that is written again replaces itself, and one that breaks off
+    before the note is never read."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").partitionBy(*parts).parquet(f"{root}/data/run={run}")
+    note = spark.range(1).select(F.lit(run).alias("name"), F.current_timestamp().alias("finished"))
+    note.write.mode("overwrite").parquet(f"{root}/manifest/note={run}")
+
+
+def committed(spark: SparkSession, root: str, key: str = "image_id") -> DataFrame:
+    """Rows of finished runs; of a key that several runs have measured, those of the run finished last."""
+    notes = spark.read.parquet(f"{root}/manifest").select(F.col("name").alias("run"), F.struct("finished", "name").alias("at"))  # one row a run
+    rows = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data").withColumn("run", F.col("run").cast("string")).join(F.broadcast(notes), "run")
+    last = rows.groupBy(key).agg(F.max("at").alias("at"))
+    return rows.join(last, [key, "at"], "left_semi").drop("run", "at")
+
+
 def load_results(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
     """SRC-5. Stored results of the patterns; only their partitions are read. No store yet: an empty table."""
     try:
-        stored = spark.read.parquet(root)
+        stored = committed(spark, root)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -43,20 +62,38 @@ def load_results(spark: SparkSession, root: str, patterns: list[str]) -> DataFra
     return stored.filter(F.col("pattern").isin(*patterns))
 
 
-def write_results(results: DataFrame, root: str) -> None:
-    """SRC-7. One partition per pattern and kind that has rows."""
-    results.repartition("pattern", "kind", F.pmod(F.xxhash64("image_id"), F.lit(64))).write.mode("append").partitionBy("pattern", "kind").parquet(root)
+def write_results(results: DataFrame, root: str, run: str = "first") -> None:
+    """SRC-7. One partition per pattern and kind that has rows; writing a run again changes nothing."""
+    commit(results.repartition("pattern", "kind", F.pmod(F.xxhash64("image_id"), F.lit(64))), root, run, ["pattern", "kind"])
+
 
+def in_buckets(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int"))
 
-def write_per_image(df: DataFrame, root: str, buckets: int = 256) -> None:
-    """SRC-8. Results addressed by image: partitioned by a bucket of the id, never one file per image."""
-    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int"))
-    bucketed.repartition("bucket").sortWithinPartitions("bucket", "image_id").write.mode("append").partitionBy("bucket").parquet(root)
 
+def write_per_image(df: DataFrame, root: str, buckets: int = 256, run: str = "first") -> None:
+    """SRC-8. Results addressed by image: partitioned by a bucket of the id, never one file per image; writing a run again changes nothing."""
+    commit(in_buckets(df, buckets).repartition("bucket").sortWithinPartitions("bucket", "image_id"), root, run, ["bucket"])
 
-def replace_zone(df: DataFrame, root: str) -> None:
-    """SRC-9. Replace the zones that df has, keep the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("zone").parquet(root)
+
+def replace_zone(df: DataFrame, root: str, buckets: int = 64) -> None:
+    """SRC-9. Replace the zones that df has of its images; other zones and other images stay.
+
+    Only the (bucket, zone) partitions that df touches are read and written: their other rows and df's are put aside as a table,
+    which then takes the partitions' place.
+    """
+    spark, new = df.sparkSession, in_buckets(df, buckets)
+    try:
+        old = spark.read.parquet(root)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        old = spark.createDataFrame([], new.schema)
+    touched = old.join(new.select("bucket", "zone").distinct(), ["bucket", "zone"], "left_semi")
+    kept = touched.join(new.select("image_id", "zone").distinct(), ["image_id", "zone"], "left_anti")
+    aside = materialise(kept.unionByName(new, allowMissingColumns=True), "zones-aside")
+    aside.repartition("bucket", "zone").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "zone").parquet(root)
+    discard(aside)
 
 
 def collect_logs(log: DataFrame) -> DataFrame:

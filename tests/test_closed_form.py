@@ -370,12 +370,22 @@ def test_files_and_results(spark, tmp_path):
     res = spark.createDataFrame([(1, "Ppole", "ppole_etdrs", "retina", "mean", 1.0), (2, "H-line", "linescan", "retina", "mean", 2.0)], files.RESULT)
     files.write_results(res, root)
     assert values(files.load_results(spark, root, ["Ppole"]), "image_id") == [(1,)]
-    files.write_per_image(res, str(tmp_path / "per"))
-    assert spark.read.parquet(str(tmp_path / "per")).count() == 2
+    files.write_results(res, root)
+    assert values(files.load_results(spark, root, ["Ppole", "H-line"]), "image_id", "value") == [(1, 1.0), (2, 2.0)]
+    files.write_results(res.filter("image_id = 2").withColumn("value", F.lit(5.0)), root, "again")
+    res.withColumn("value", F.lit(7.0)).write.partitionBy("pattern", "kind").parquet(root + "/data/run=broken")  # without a note of its end
+    assert values(files.load_results(spark, root, ["Ppole", "H-line"]), "image_id", "value") == [(1, 1.0), (2, 5.0)]
+    for _ in range(2):
+        files.write_per_image(res, str(tmp_path / "per"))
+    assert files.committed(spark, str(tmp_path / "per")).count() == 2
     zone = lambda z, v: spark.createDataFrame([(1, z, v)], "image_id long, zone string, value double")
-    files.replace_zone(zone("B", 1.0).union(zone("C", 2.0)), str(tmp_path / "zones"))
-    files.replace_zone(zone("B", 9.0), str(tmp_path / "zones"))
-    assert values(spark.read.parquet(str(tmp_path / "zones")), "zone", "value") == [("B", 9.0), ("C", 2.0)]
+    files.replace_zone(zone("B", 1.0).union(zone("C", 2.0)), str(tmp_path / "zones"), 4)
+    other = spark.createDataFrame([(i, "B", 4.0) for i in range(2, 200)], "image_id long, zone string, value double")
+    files.replace_zone(other, str(tmp_path / "zones"), 4)
+    for _ in range(2):
+        files.replace_zone(zone("B", 9.0), str(tmp_path / "zones"), 4)
+    kept = spark.read.parquet(str(tmp_path / "zones"))
+    assert values(kept.filter("image_id = 1"), "zone", "value") == [("B", 9.0), ("C", 2.0)] and sorted(r["image_id"] for r in kept.filter("image_id > 1 AND value = 4").collect()) == list(range(2, 200)) and kept.count() == 200
     log = spark.createDataFrame([(2, 0, "INFO", "z"), (1, 1, "WARN", "y"), (1, 0, "INFO", "x")], "image_id long, seq int, level string, msg string")
     files.write_logs(log, str(tmp_path / "log"))
     assert [r["value"] for r in files.collect_logs(log).collect()] == ["1 [INFO] x", "1 [WARN] y", "2 [INFO] z"]
@@ -391,3 +401,64 @@ def test_ingest_resumes(spark, tmp_path):
     write([3])
     run()
     assert values(spark.read.parquet(at["out"]), "image_id", "w") == [(1, 2.0), (2, 4.0), (3, 6.0)]
+
+
+def test_totals_of_ratio_and_vessel_maps(spark):
+    flat = grid(spark, 7).withColumn("value", F.when((F.col("x") + F.col("y")) % 4 == 0, -1.0).otherwise(0.4))
+    both = flat.withColumn("map", F.lit("choroid_ratio")).unionByName(flat.withColumns({"map": F.lit("choroid_vessel"), "value": F.when(F.col("value") == -1, -1.0).otherwise(400.0)}))
+    got = {(r["map"], r["grid"], r["subfield"]): r for r in maps.volume_measure(both, pose(spark), 110.0).collect()}
+    for g in ("etdrs", "square"):
+        ratio, filled, area = (got[m, g, s] for m, s in (("choroid_ratio", "all"), ("choroid_ratio", "all_filled"), ("choroid_vessel", "all_filled")))
+        assert 0 < ratio["mean"] < 0.1 and ratio["volume"] is None and filled["mean"] == 0.4 and area["mean"] == 400
+    cells = maps.etdrs_subfield(flat, pose(spark)).filter("subfield is not null").count()
+    assert got["choroid_vessel", "etdrs", "all_filled"]["volume"] == round(cells * 400 * 110e-9, 3)
+    total = maps.grid_total(maps.etdrs_subfield(flat, pose(spark)), 110.0, ratio=True).collect()[0]
+    assert total["mean"] == got["choroid_ratio", "etdrs", "all"]["mean"] and total["volume"] is None
+
+
+def test_annotations_are_measured_again(spark, tmp_path):
+    at = {k: str(tmp_path / k) for k in ("in", "notes", "out", "check")}
+    images, kinds = (lambda ids: spark.createDataFrame([(i, float(i)) for i in ids], "image_id long, v double")), "image_id long, shift double"
+    note = lambda rows: spark.createDataFrame(rows, kinds).write.mode("append").parquet(at["notes"])
+    measure = lambda b, n: b.join(n.groupBy("image_id").agg(F.max("shift").alias("shift")), "image_id", "left").select("image_id", (F.col("v") + F.coalesce("shift", F.lit(0.0))).alias("w"))
+
+    def run():
+        ingest.stream_remeasure(spark, at["in"], images([]).schema, at["notes"], spark.createDataFrame([], kinds).schema, measure, at["out"], at["check"])
+        return values(ingest.latest(spark, at["out"]), "image_id", "w")
+
+    images([1, 2]).write.parquet(at["in"])
+    note([])
+    assert run() == [(1, 1.0), (2, 2.0)]
+    note([(2, 10.0), (3, 100.0)])  # image 3 hasn't come yet
+    assert run() == [(1, 1.0), (2, 12.0)]
+    images([3]).write.mode("append").parquet(at["in"])
+    assert run() == [(1, 1.0), (2, 12.0), (3, 103.0)]
+    assert run() == [(1, 1.0), (2, 12.0), (3, 103.0)]
+
+
+def test_density_along_normals(spark):
+    lines = spark.createDataFrame([(1, 0, "p", x, 10 + x, 40 + x) for x in range(60)], "image_id long, bscan int, pair string, x int, y_top long, y_bot long")
+    region = trace.fill_between(lines)
+    got = trace.column_density(region, region.filter("x % 2 = 0"), how="perpendicular", slab=lines).filter("x = 45").collect()[0]
+    # The normal of a slope of 1 leaves (45, 55) by (-1, 1); it meets the lower line 15 columns further on.
+    assert (got["region_px"], got["vessel_px"]) == (15, 7) and abs(got["density"] - 7 / 15) < 1e-9
+
+
+def test_labels_of_random_pictures(spark):
+    import random
+
+    rnd = random.Random(2)
+    for conn in (8, 4):
+        points = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(420)}
+        near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (conn == 8 or not dx or not dy)]
+        label = {}
+        for p in sorted(points, key=lambda q: (q[1], q[0])):
+            if p not in label:
+                n, todo = len(set(label.values())) + 1, [p]
+                while todo:
+                    q = todo.pop()
+                    if q in points and q not in label:
+                        label[q] = n
+                        todo += [(q[0] + dx, q[1] + dy) for dx, dy in near]
+        made = mask.components(pixels(spark, [*points, *list(points)[:5]]), conn)
+        assert {(r["x"], r["y"]): r["label"] for r in made.collect()} == label and made.count() == len(points)
