@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.dimensions import RINGS_UM, SQUARE_N, SQUARE_UM, SUMMARY, num, truncated
@@ -112,21 +113,43 @@ def acq_centre(acq: DataFrame) -> DataFrame:
     return q.select("image_id", part(px).alias("centre_x"), part(py).alias("centre_y"))
 
 
+def turned_grid(grid: np.ndarray, angle: float, cx: float, cy: float) -> np.ndarray:
+    """grid (NaN: unmeasured) read at the places turned by angle about (cx, cy): bilinear between measured cells, NaN where the nearest cell is none."""
+    height, width = grid.shape
+    a = np.radians(angle)
+    dx, dy = np.arange(width)[None, :] - cx, np.arange(height)[:, None] - cy
+    # Places are rounded so that turns by right angles fall on cells.
+    sx, sy = np.round(cx + dx * np.cos(a) - dy * np.sin(a), 9), np.round(cy + dx * np.sin(a) + dy * np.cos(a), 9)
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    frame = np.pad(grid, 1, constant_values=np.nan)
+    read = lambda y, x: frame[np.clip(y + 1, 0, height + 1), np.clip(x + 1, 0, width + 1)]
+    total, weight = np.zeros(grid.shape), np.zeros(grid.shape)
+    for j in (0, 1):
+        for i in (0, 1):
+            w = (sx - x0 if i else 1 - (sx - x0)) * (sy - y0 if j else 1 - (sy - y0))
+            v = read(y0 + j, x0 + i)
+            known = ~np.isnan(v)
+            total += np.where(known, v * w, 0)
+            weight += np.where(known, w, 0)
+    hit = ~np.isnan(read(np.floor(sy + 0.5).astype(int), np.floor(sx + 0.5).astype(int)))
+    return np.where(hit, total / np.where(hit, weight, 1), np.nan)
+
+
 def rotate_map(cells: DataFrame, pose: DataFrame, width: int, height: int) -> DataFrame:
     """MAP-9. Maps turned by -angle about (cx, cy) (pose: image_id, angle, cx, cy): each target cell is read at its
-    turned place, bilinear between measured cells; it is -1 where the nearest source cell is unmeasured or outside."""
-    lattice = cells.select(*MAP).distinct().join(pose, "image_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    a = F.radians("angle")
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    # Places are rounded so that turns by right angles fall on cells.
-    at = lattice.select(*MAP, "x", "y", F.round(F.col("cx") + dx * F.cos(a) - dy * F.sin(a), 9).alias("sx"), F.round(F.col("cy") + dx * F.sin(a) + dy * F.cos(a), 9).alias("sy"))
-    corner = [F.struct((F.floor("sx") + i).cast("int").alias("ux"), (F.floor("sy") + j).cast("int").alias("uy"), ((F.col("sx") - F.floor("sx") if i else 1 - (F.col("sx") - F.floor("sx"))) * (F.col("sy") - F.floor("sy") if j else 1 - (F.col("sy") - F.floor("sy")))).alias("w")) for j in (0, 1) for i in (0, 1)]
-    four = at.withColumn("c", F.explode(F.array(*corner))).filter("c.w > 0").select(*MAP, "x", "y", F.floor(F.col("sx") + 0.5).alias("nx"), F.floor(F.col("sy") + 0.5).alias("ny"), "c.ux", "c.uy", "c.w")
-    source = cells.filter("value <> -1").select(*MAP, F.col("x").alias("ux"), F.col("y").alias("uy"), "value")
-    met = four.join(source, [*MAP, "ux", "uy"], "left")
-    hit = F.bool_or((F.col("ux") == F.col("nx")) & (F.col("uy") == F.col("ny")) & F.col("value").isNotNull())
-    got = met.groupBy(*MAP, "x", "y").agg(hit.alias("hit"), (F.sum(F.col("value") * F.col("w")) / F.sum(F.when(F.col("value").isNotNull(), F.col("w")))).alias("v"))
-    return got.select(*MAP, "x", "y", F.when(F.col("hit"), F.col("v")).otherwise(-1.0).alias("value"))
+    turned place, bilinear between measured cells; it is -1 where the nearest source cell is unmeasured or outside. A map is one group."""
+    posed = cells.join(pose.select("image_id", F.col("angle").cast("double").alias("angle"), F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")), "image_id")
+    schema = T.StructType([*(cells.schema[c] for c in MAP), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+    def turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf[(pdf["value"] != -1) & pdf["value"].notna() & pdf["x"].between(0, width - 1) & pdf["y"].between(0, height - 1)]
+        grid = np.full((height, width), np.nan)
+        grid[some["y"], some["x"]] = some["value"]
+        made = turned_grid(grid, *(pdf[c].iloc[0] for c in ("angle", "cx", "cy")))
+        y, x = np.mgrid[:height, :width].astype(np.int32)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in MAP}, "x": x.ravel(), "y": y.ravel(), "value": np.nan_to_num(made.ravel(), nan=-1.0)})
+
+    return posed.groupBy(*MAP).applyInPandas(turn, schema)
 
 
 def build_map(thick: DataFrame, centre: DataFrame, pose: DataFrame, sigma: float, width: int, height: int) -> DataFrame:

@@ -20,9 +20,14 @@ PATH = ["image_id", "vessel_map", "path_id"]
 
 
 def box_count(mask: DataFrame, sizes: list[int]) -> DataFrame:
-    """VES-1. Boxes of each size that are neither empty nor full."""
-    sized = mask.select(*MASK, "x", "y").withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    boxes = sized.groupBy(*MASK, "size", F.expr("x div size").alias("bx"), F.expr("y div size").alias("by")).agg(F.count("*").alias("n"))
+    """VES-1. Boxes of each size that are neither empty nor full.
+
+    Pixels are shuffled once, by picture, and counted in boxes of the largest size that divides all others; larger boxes are sums of these.
+    """
+    least = int(np.gcd.reduce(sizes))
+    fine = mask.select(*MASK, "x", "y").repartition(*MASK).groupBy(*MASK, F.expr(f"x div {least}").alias("x"), F.expr(f"y div {least}").alias("y")).agg(F.count("*").alias("n"))
+    sized = fine.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    boxes = sized.groupBy(*MASK, "size", F.expr(f"x div (size div {least})").alias("bx"), F.expr(f"y div (size div {least})").alias("by")).agg(F.sum("n").alias("n"))
     return boxes.filter(F.col("n") < F.col("size") * F.col("size")).groupBy(*MASK, "size").agg(F.count("*").alias("boxes"))
 
 
@@ -43,33 +48,73 @@ def global_calibre(mask: DataFrame, skeleton: DataFrame, scale: float) -> DataFr
     return count(mask, "v").join(count(skeleton, "s"), MASK).select(*MASK, (F.col("v") / F.col("s") * num(scale)).alias("average_global_calibre"))
 
 
+class Remaining:
+    """The pixels of a component that no step has taken, filed by square, so that the nearest one is found ring by ring."""
+
+    def __init__(self, rows: list[int], cols: list[int], side: int = 16):
+        self.side, self.left = side, set(zip(rows, cols, strict=True))
+        self.squares: dict[tuple[int, int], set] = {}
+        for p in self.left:
+            self.squares.setdefault((p[0] // side, p[1] // side), set()).add(p)
+        at = list(self.squares)
+        self.rings = max(max(x[k] for x in at) - min(x[k] for x in at) for k in (0, 1)) + 1
+
+    def take(self, p: tuple[int, int]) -> None:
+        self.left.discard(p)
+        key = p[0] // self.side, p[1] // self.side
+        self.squares[key].discard(p)
+        if not self.squares[key]:
+            del self.squares[key]
+
+    def beside(self, p: tuple[int, int]) -> list[tuple[int, int]]:
+        r, c = p
+        return [q for q in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c), (r - 1, c - 1), (r - 1, c + 1), (r + 1, c - 1), (r + 1, c + 1)) if q in self.left]
+
+    def nearest(self, p: tuple[int, int]) -> tuple[int, int]:
+        """By distance, then row and column."""
+        far = lambda q: ((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2, q)
+        r, c, best = p[0] // self.side, p[1] // self.side, None
+        for ring in range(self.rings + 1):
+            if best and best[0] < ((ring - 1) * self.side + 1) ** 2:  # what lies in this ring or beyond is further away
+                break
+            if 8 * ring > len(self.squares):  # few squares are left: look at all of them
+                return min(map(far, self.left))[1]
+            edge = range(-ring, ring + 1)
+            for key in [(r + i, c + j) for i in edge for j in (edge if abs(i) == ring else {-ring, ring})]:
+                found = self.squares.get(key)
+                if found:
+                    near = min(map(far, found))
+                    best = near if best is None else min(best, near)
+        return best[1] if best else min(map(far, self.left))[1]
+
+
+def walk_pixels(rows: list[int], cols: list[int], origin: tuple[float, float] | None) -> list[tuple[int, int]]:
+    """Pixels in order: from the endpoint nearest the origin, to a neighbour where there is one, else to the nearest pixel left."""
+    rest = Remaining(rows, cols)
+    ends = sorted(p for p in rest.left if len(rest.beside(p)) <= 1) or [min(rest.left)]
+    at = ends[0] if origin is None else min(ends, key=lambda p: ((p[0] - origin[0]) ** 2 + (p[1] - origin[1]) ** 2, p))
+    order = [at]
+    rest.take(at)
+    while rest.left:
+        ahead = rest.beside(at)
+        at = ahead[0] if ahead else rest.nearest(at)  # a branch was left behind
+        order.append(at)
+        rest.take(at)
+    return order
+
+
 def order_paths(skeleton: DataFrame, origin: DataFrame) -> DataFrame:
     """VES-5. Pixels (image_id, vessel_map, path_id, row, col) of each linear component in order, as seq.
 
     Begins at the endpoint nearest the image's origin (row0, col0); without an origin, or in a loop, at
-    the first by row and column. A component is one task's small group: a thin line of one image.
+    the first by row and column. A component is one task's group: a thin line of one image.
     """
     started = skeleton.join(origin.select("image_id", "row0", "col0"), "image_id", "left")
     schema = T.StructType([*(skeleton.schema[c] for c in PATH), T.StructField("seq", T.IntegerType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {(int(r), int(c)) for r, c in zip(pdf["row"], pdf["col"], strict=True)}
-        near = lambda p: [(p[0] + dr, p[1] + dc) for dr, dc in ((-1, 0), (0, -1), (0, 1), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)) if (p[0] + dr, p[1] + dc) in left]
-        ends = sorted(p for p in left if len(near(p)) <= 1) or [min(left)]
         r0, c0 = pdf["row0"].iloc[0], pdf["col0"].iloc[0]
-        at = ends[0] if pd.isna(r0) else min(ends, key=lambda p: ((p[0] - r0) ** 2 + (p[1] - c0) ** 2, p))
-        order = []
-        while True:
-            order.append(at)
-            left.discard(at)
-            ahead = near(at)
-            if ahead:
-                at = ahead[0]
-            elif left:  # a branch was left behind: go on from the pixel nearest to here
-                at = min(left, key=lambda p: ((p[0] - at[0]) ** 2 + (p[1] - at[1]) ** 2, p))
-            else:
-                break
-        rows = np.array(order, np.int32)
+        rows = np.array(walk_pixels(pdf["row"].astype(int).tolist(), pdf["col"].astype(int).tolist(), None if pd.isna(r0) else (r0, c0)), np.int32)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in PATH}, "seq": np.arange(len(rows), dtype=np.int32), "row": rows[:, 0], "col": rows[:, 1]})
 
     return started.groupBy(*PATH).applyInPandas(walk, schema)
@@ -130,25 +175,38 @@ def smooth_path(path: DataFrame, window: int = 4) -> DataFrame:
     return path.withColumns({c: F.avg(c).over(back).cast("smallint") for c in ("row", "col")})
 
 
-def distance_map(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """VES-12. Exact Euclidean distance of each mask pixel to the nearest background pixel of the image.
+def distances(inside: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distance of each set cell to the nearest cell that isn't; without one, twice the sides' sum.
 
-    Along rows first, from the ends of each run; then each pixel looks up and down its
-    column no further than that row distance.
+    Along rows first, from the last and the next unset cell; then up and down the columns, step by step, until no cell
+    further away can be nearer.
     """
-    pixels = mask.select(*MASK, "x", "y").distinct()
-    island = F.col("x") - F.row_number().over(W.partitionBy(*MASK, "y").orderBy("x"))
-    run = W.partitionBy(*MASK, "y", "island")
-    side = pixels.withColumn("island", island).withColumns({"l": F.min("x").over(run), "r": F.max("x").over(run)})
-    far = 2 * (width + height)
-    left = F.when(F.col("l") > 0, F.col("x") - F.col("l") + 1).otherwise(far)
-    right = F.when(F.col("r") < width - 1, F.col("r") - F.col("x") + 1).otherwise(far)
-    rows = side.select(*MASK, "x", "y", F.least(left, right).alias("d"))
-    look = rows.withColumn("ly", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - F.col("d")), F.least(F.lit(height - 1), F.col("y") + F.col("d")))))
-    other = rows.select(*MASK, "x", F.col("y").alias("ly"), F.col("d").alias("od"))
-    met = look.join(other, [*MASK, "x", "ly"], "left")
-    d2 = (F.col("y") - F.col("ly")) ** 2 + F.coalesce("od", F.lit(0)) ** 2
-    return met.groupBy(*MASK, "x", "y").agg(F.sqrt(F.min(d2)).alias("distance"))
+    height, width = inside.shape
+    far, at = 2 * (width + height), np.arange(width)
+    left = at - np.maximum.accumulate(np.where(inside, -far, at), axis=1)
+    right = np.minimum.accumulate(np.where(inside, far + width, at)[:, ::-1], axis=1)[:, ::-1] - at
+    row = np.minimum(np.minimum(left, right), far).astype(np.int64) ** 2
+    best = row.copy()
+    for step in range(1, height):
+        if step * step >= best.max():
+            break
+        np.minimum(best[step:], row[:-step] + step * step, out=best[step:])
+        np.minimum(best[:-step], row[step:] + step * step, out=best[:-step])
+    return np.sqrt(best)
+
+
+def distance_map(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """VES-12. Exact Euclidean distance of each mask pixel to the nearest background pixel of the image. A picture is one group of one shuffle."""
+    pixels = mask.select(*MASK, "x", "y")
+    schema = T.StructType([*pixels.schema.fields, T.StructField("distance", T.DoubleType())])
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["x"].between(0, width - 1) & pdf["y"].between(0, height - 1)].drop_duplicates(["x", "y"])
+        grid = np.zeros((height, width), bool)
+        grid[pdf["y"], pdf["x"]] = True
+        return pdf.assign(distance=distances(grid)[pdf["y"], pdf["x"]])
+
+    return pixels.groupBy(*MASK).applyInPandas(measure, schema)
 
 
 def vessel_edges(path: DataFrame) -> DataFrame:

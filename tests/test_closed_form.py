@@ -157,7 +157,7 @@ def test_marginal_peak(spark):
 def test_constant_map(spark):
     placed = maps.etdrs_subfield(grid(spark, 7), pose(spark))
     got = maps.subfield_stats(placed, 110.0).collect()
-    assert {r["mean"] for r in got} == {7.0} and {r["missing_percent"] for r in got if r["subfield"] != "all"} == {0.0} and len(got) == 10
+    assert {r["mean"] for r in got} == {7.0} and {r["missing_percent"] for r in got if not r["subfield"].startswith("all")} == {0.0} and len(got) == 11
 
 
 def test_hole_in_map(spark):
@@ -462,3 +462,53 @@ def test_labels_of_random_pictures(spark):
                         todo += [(q[0] + dx, q[1] + dy) for dx, dy in near]
         made = mask.components(pixels(spark, [*points, *list(points)[:5]]), conn)
         assert {(r["x"], r["y"]): r["label"] for r in made.collect()} == label and made.count() == len(points)
+
+
+def test_footprints_distances_and_turns_of_random_pictures(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    for footprint in (mask.disk(3), mask.FOUR, [(0, 0), (2, -1), (4, 0), (5, 0)]):
+        points = {tuple(p) for p in rnd.integers(0, 20, (150, 2)).tolist()}
+        wide = {(x + dx, y + dy) for x, y in points for dx, dy in footprint}
+        full = {(x, y) for x in range(-9, 30) for y in range(-9, 30) if all((x + dx, y + dy) in wide for dx, dy in footprint)}
+        got = lambda df: {(r["x"], r["y"]) for r in df.collect()}
+        assert got(mask.dilate(pixels(spark, list(points)), footprint)) == wide
+        assert got(mask.close(pixels(spark, list(points)), footprint)) == full
+    grid = rnd.random((17, 23)) < 0.9
+    away = vessel.distances(grid)
+    holes = np.argwhere(~grid)
+    assert all(away[y, x] == np.sqrt(((holes - (y, x)) ** 2).sum(1).min()) for y, x in np.argwhere(grid))
+    assert (vessel.distances(np.ones((4, 5), bool)) == 18).all() and vessel.distances(np.ones((768, 768), bool)).shape == (768, 768)
+    cells = rnd.random((9, 9))
+    assert np.allclose(maps.turned_grid(cells, 90.0, 4, 4), np.rot90(cells)) or np.allclose(maps.turned_grid(cells, 90.0, 4, 4), np.rot90(cells, -1))
+
+
+def plain_walk(points, origin):
+    """Nearest pixel left by looking at all of them."""
+    left = set(points)
+    near = lambda p: [q for q in ((p[0] + dr, p[1] + dc) for dr, dc in ((-1, 0), (0, -1), (0, 1), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))) if q in left]
+    ends = sorted(p for p in left if len(near(p)) <= 1) or [min(left)]
+    at, order = min(ends, key=lambda p: ((p[0] - origin[0]) ** 2 + (p[1] - origin[1]) ** 2, p)), []
+    while True:
+        order.append(at)
+        left.discard(at)
+        if not left:
+            return order
+        ahead = near(at)
+        at = ahead[0] if ahead else min(left, key=lambda p: ((p[0] - at[0]) ** 2 + (p[1] - at[1]) ** 2, p))
+
+
+def test_walks_of_random_and_long_paths():
+    import random
+    import time
+
+    rnd = random.Random(3)
+    for _ in range(60):
+        side = rnd.choice([6, 40, 300])
+        points = list({(rnd.randrange(side), rnd.randrange(side)) for _ in range(rnd.randint(1, 150))})
+        rows, cols = map(list, zip(*points, strict=True))
+        assert vessel.walk_pixels(rows, cols, (0, 5)) == plain_walk(points, (0, 5))
+    comb = [(0, c) for c in range(50_000)] + [(r, c) for c in range(0, 50_000, 50) for r in range(1, 51)]
+    began = time.time()
+    assert len(vessel.walk_pixels(*map(list, zip(*comb, strict=True)), (0, 0))) == 100_000 and time.time() - began < 30
