@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from laminar.llm import mixing, simhash, warc
@@ -289,3 +290,21 @@ def test_pipeline(spark):
     tokens = p.STAGES[-1][1](spark, mixed, sf)
     assert tokens.count() > 0 and {r["doc_id"] for r in tokens.select("doc_id").collect()} == {r["doc_id"] for r in mixed.collect()}
     assert p.run(spark, sf).count() > 0
+
+
+#: Names that mixing and judging give to columns of their own.
+OWN_NAMES = ["target", "source_size", "edge", "budget", "epochs", "cut", "bin", "ahead", "before", "words", "__times", "__source", "__id", "__size", "__key", "__copy", "__weight", "c0", "n_words", "kept", "content_share", "base_failed"]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, docs, labels):
+    from laminar.llm import linecrf
+
+    extra = docs.withColumns({c: F.lit(f"{c}!") for c in OWN_NAMES})
+    model = linecrf.fit(docs, labels)
+    for keep in (mixing.resample, lambda d: linecrf.passing(d, model)):
+        plain, made = keep(docs), keep(extra)
+        assert made.columns == extra.columns
+        assert sorted(r["doc_id"] for r in made.collect()) == sorted(r["doc_id"] for r in plain.collect())
+        assert made.select(*OWN_NAMES).distinct().collect() == [tuple(f"{c}!" for c in OWN_NAMES)]
+    heavy = mixing.resample(extra, weight=F.length("text").cast("double"))
+    assert heavy.columns == extra.columns and heavy.count() > 0
