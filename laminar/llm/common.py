@@ -67,7 +67,7 @@ def append_in_arrow(df: DataFrame, text_col: str, keep: list[str], fields: list[
 
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns named by place, so that none is called like a column that an operator adds, and the new names by the old ones."""
-    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    names = {c: f"c{k}" for k, c in reversed(list(enumerate(df.columns)))}
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), names
 
 

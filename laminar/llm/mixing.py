@@ -128,7 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, weight: Column | None = None, seed: int = 42) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
-    kept = docs if weight is None else docs.withColumn("__weight", weight)
+    kept = docs if weight is None else docs.select("*", weight.alias("__weight"))
     rows, name = numbered(kept)
     cols = prepared(rows, name[id_col], name[text_col], name[source_col], None if weight is None else F.col(rows.columns[-1]), seed)
     sized = materialise(rows.select(*[c.alias(n) for n, c in cols.items()]), "sizes")
