@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.dimensions import SECTORS, truncated
@@ -90,14 +95,41 @@ def peripapillary_zone(cells: DataFrame, scan: DataFrame) -> DataFrame:
     return j.withColumn("zone", F.when(d <= F.floor(F.col("circle_radius") / 3), "centre").when(d <= F.col("circle_radius"), name)).drop("eye", "disc_x", "disc_y", "circle_radius")
 
 
-def peripapillary_measure(profiles: DataFrame, temporal: DataFrame, eye: DataFrame, n: int, window: int = 32) -> DataFrame:
-    """PPL-10. Sector means (image_id, layer, sector, value) of all layers' profiles; each layer is a profile of its own."""
-    keyed = profiles.select(F.struct("image_id", "layer").alias("image_id"), "x", "value")
-    spread = profiles.select("image_id", "layer").distinct()
-    key = F.struct("image_id", "layer").alias("image_id")
-    per = lambda df, c: spread.join(df, "image_id").select(key, c)
-    filled = circular_fill(keyed, n)
-    turned = circular_shift(filled, per(temporal, "temporal_index"), n, per(eye.select("image_id", "eye"), "eye"))
-    means = sector_means(circular_mean(turned, n, window), n)
-    return means.select("image_id.image_id", "image_id.layer", "sector", "value")
+def profile_means(value: np.ndarray, temporal: int, right: bool, window: int) -> dict[str, float]:
+    """Sector means of one profile (NaN: missing): gaps filled, turned, smoothed; as PPL-4 to PPL-8 do it with rows. NaN: no value."""
+    n, half, known = len(value), window // 2, ~np.isnan(value)
+    at = np.arange(n)
+    if known.any():
+        value = np.interp(at, at[known], value[known], period=n)
+    turned = np.empty(n)
+    turned[((at - temporal if right else temporal - at) + n // 2) % n] = value
+    ring = np.concatenate([[0], np.cumsum(np.concatenate([turned[n - half :], turned, turned[: window - half - 1]]))]) if half else np.concatenate([[0], np.cumsum(turned)])
+    smooth = (ring[window:] - ring[:-window])[:n] / window if half else turned
+    parts = {s: smooth[int(n * lo / 360) : int(n * hi / 360)] for s, lo, hi in SECTORS if s not in ("temporal", "nasal")}
+    for wanted in ("temporal", "nasal"):
+        parts[wanted] = np.concatenate([smooth[int(n * lo / 360) : int(n * hi / 360)] for s, lo, hi in SECTORS if s == wanted])
+    parts |= {"PMB": parts["temporal"][30:60], "All": smooth}
+    means = {s: float(np.trunc(np.round(x.mean(), 9))) for s, x in parts.items() if len(x)}
+    return means | {"N/T": means["nasal"] / means["temporal"] if means["temporal"] else np.nan}
 
+
+def peripapillary_measure(profiles: DataFrame, temporal: DataFrame, eye: DataFrame, n: int, window: int = 32) -> DataFrame:
+    """PPL-10. Sector means (image_id, layer, sector, value) of all layers' profiles; each layer is a profile of its own.
+
+    The one shuffle of samples gathers a profile into a row of n values; samples that have no row count as missing.
+    """
+    sample = [F.collect_list("x").alias("x"), F.collect_list(F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))).alias("value")]
+    rows = profiles.groupBy("image_id", "layer").agg(*sample).join(temporal.select("image_id", "temporal_index"), "image_id").join(eye.select("image_id", "eye"), "image_id")
+    schema = T.StructType([profiles.schema["image_id"], profiles.schema["layer"], T.StructField("sector", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for image, layer, x, value, index, side in zip(*(pdf[c] for c in ("image_id", "layer", "x", "value", "temporal_index", "eye")), strict=True):
+                whole = np.full(n, np.nan)
+                whole[x] = value
+                made += [(image, layer, s, v) for s, v in profile_means(whole, int(index), side == "Right", window).items()]
+            out = pd.DataFrame(made, columns=schema.names)
+            yield out.assign(value=out["value"].astype(float))
+
+    return rows.mapInPandas(measure, schema).withColumn("value", F.when(~F.isnan("value"), F.col("value")))

@@ -313,7 +313,7 @@ def clip_value(cells: DataFrame, exact: bool = True) -> DataFrame:
 def stats_by_kind(cells: DataFrame, scale: float, fill: bool, kind: Column) -> DataFrame:
     """Mean, volume and missing share by subfield, `all` and, when filling, `all_filled`, for maps of the kind thickness, vessel or ratio.
 
-    Cells are shuffled once: sums by subfield lie where the map's cells do, and so do the sums over its subfields.
+    Cells are shuffled once; behind that only sums by subfield are.
     """
     rows = with_fill(cells) if fill else inside(cells).withColumn("raw", F.col("value"))
     sums = rows.groupBy(*MAP, "subfield").agg(F.sum("value").alias("filled"), F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("n"), share_missing("raw"))

@@ -111,9 +111,9 @@ def footprint_hits(grid: np.ndarray, footprint: list[tuple[int, int]], every: bo
     return out
 
 
-def by_footprint(mask: DataFrame, footprint: list[tuple[int, int]], every: bool) -> DataFrame:
-    """A picture is one group; chained steps keep its partitioning, so they shuffle once."""
-    reach = max([0, *(max(abs(dx), abs(dy)) for dx, dy in footprint)])
+def by_footprint(mask: DataFrame, *steps: tuple[list[tuple[int, int]], bool]) -> DataFrame:
+    """Steps (footprint, every) one after another. A picture is one group of one shuffle, whatever the number of steps."""
+    reach = sum(max([0, *(max(abs(dx), abs(dy)) for dx, dy in footprint)]) for footprint, _ in steps)
     pixels = mask.select(*MASK, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,25 +121,31 @@ def by_footprint(mask: DataFrame, footprint: list[tuple[int, int]], every: bool)
         x0, y0 = int(x.min()) - reach, int(y.min()) - reach
         grid = np.zeros((int(y.max()) - y0 + reach + 1, int(x.max()) - x0 + reach + 1), bool)
         grid[y - y0, x - x0] = True
-        row, column = np.nonzero(footprint_hits(grid, footprint, every))
+        for footprint, every in steps:
+            grid = footprint_hits(grid, footprint, every)
+        row, column = np.nonzero(grid)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in MASK}, "x": (column + x0).astype(np.int32), "y": (row + y0).astype(np.int32)})
 
     return pixels.groupBy(*MASK).applyInPandas(run, pixels.schema)
 
 
+def mirrored(footprint: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(-dx, -dy) for dx, dy in footprint]
+
+
 def dilate(mask: DataFrame, footprint: list[tuple[int, int]]) -> DataFrame:
     """MSK-4."""
-    return by_footprint(mask, footprint, False)
+    return by_footprint(mask, (footprint, False))
 
 
 def erode(mask: DataFrame, footprint: list[tuple[int, int]]) -> DataFrame:
     """MSK-4. A pixel stays if the whole footprint about it is set."""
-    return by_footprint(mask, [(-dx, -dy) for dx, dy in footprint], True)
+    return by_footprint(mask, (mirrored(footprint), True))
 
 
 def close(mask: DataFrame, footprint: list[tuple[int, int]]) -> DataFrame:
     """MSK-4. Dilation, then erosion."""
-    return erode(dilate(mask, footprint), footprint)
+    return by_footprint(mask, (footprint, False), (mirrored(footprint), True))
 
 
 def bridge_gaps(mask: DataFrame, radius: int = 3, least: int = 10, eccentricity: float = 0.95, minor: float = 5) -> DataFrame:
