@@ -9,8 +9,9 @@ words and it passes the base rules (20 words; at most 30 % of words in repeated
 The field is trained here by gradient ascent on the likelihood of line sequences of
 labelled documents: lines of good documents count as content, lines of bad ones as
 boilerplate. The sample is at most `SAMPLE` ids of each label, with all lines of their
-texts; sequences of more than `STRETCH` lines are learnt from as stretches of so many. That
-bound holds for training only. As the sample has
+texts; sequences of more than `STRETCH` lines are learnt from as stretches of so many, at most
+`STRETCHES` of them. The features are computed where the texts are, and they alone reach the driver: no more than 25 MB.
+These bounds hold for training only. As the sample has
 both labels alike, a text's first line starts with the log odds of the labels.
 
 Contract: null and empty texts have no word, fail the base rules and aren't kept.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import append_in_arrow, field, numbered
 
-SAMPLE, STRETCH = 400, 48
+SAMPLE, STRETCH, STRETCHES = 400, 48, 8000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Largest transition weight: lines of a document may differ, though the sample's documents have one label each.
@@ -150,19 +151,17 @@ def viterbi(scores: list[float], moves: np.ndarray) -> list[int]:
     return labels[::-1]
 
 
-def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions that make the labels of the sample's lines likely (forward-backward, gradient ascent)."""
+def train(stretches: list[np.ndarray], bad: list[int], steps: int = 300, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions that make the labels of the sample's lines likely (forward-backward, gradient ascent); a stretch holds a line's features in each row."""
     weights, moves = START.copy(), START_MOVES.copy()
     if not 0 < sum(bad) < len(bad):
         return weights, moves
-    got = Lines(texts)
-    stretches = [(a, min(a + STRETCH, end), label) for end, n, label in zip(got.last.tolist(), got.lines_in.tolist(), bad, strict=True) for a in range(end - n, end, STRETCH)]
-    docs, most = len(stretches), max(b - a for a, b, _ in stretches)
+    docs, most = len(stretches), max(map(len, stretches))
     x = np.zeros((docs, most, len(FEATURES)))
     live = np.zeros((docs, most), bool)
-    for k, (a, b, _) in enumerate(stretches):
-        x[k, : b - a], live[k, : b - a] = got.features[a:b], True
-    y = np.array([label for _, _, label in stretches])
+    for k, lines in enumerate(stretches):
+        x[k, : len(lines)], live[k, : len(lines)] = lines, True
+    y = np.array(bad)
     weight = np.where(y == 1, docs / (2 * y.sum()), docs / (2 * (docs - y.sum())))[:, None] / live.sum()
     pairs = live[:, 1:]
     size, size_moves = np.full(len(FEATURES), 1e-12), np.full((2, 2), 1e-12)  # squared gradients so far: each step is scaled by their root
@@ -191,8 +190,8 @@ def train(texts: list[bytes], bad: list[int], steps: int = 300, rate: float = 1.
     return weights, moves
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int, keep=None) -> list[tuple[bytes, int]]:
-    """(text, label) of at most `each` ids of each label, by hash of the id: ids with one label only, one text of each."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int, keep=None) -> DataFrame:
+    """__id (as text), __label and __text of at most `each` ids of each label, by hash of the id: ids with one label only, one text of each."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if keep is not None:
         known = known.filter(keep)
@@ -202,8 +201,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         of = known.filter(F.col("__label") == value).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(each)
         picked = of if picked is None else picked.union(of)
     rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(picked), id_col)  # at most 2 * each ids
-    one = rows.groupBy(id_col, "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
-    return [(r["__text"].encode(), r["__label"]) for r in sorted(one.collect(), key=lambda r: (str(r[id_col]), r["__label"]))]
+    return rows.groupBy(F.col(id_col).cast("string").alias("__id"), "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+
+
+def labelled_stretches(sample: DataFrame, most: int = STRETCHES) -> tuple[list[np.ndarray], list[int]]:
+    """Line features of the sample's texts, cut into stretches, and 1 for those of bad ones; beyond `most` stretches those that a hash picks."""
+
+    def compute(texts: list[bytes]) -> list:
+        got = Lines(texts)
+        return [[[got.features[a : min(a + STRETCH, end)].ravel().tolist() for a in range(end - n, end, STRETCH)] for end, n in zip(got.last.tolist(), got.lines_in.tolist(), strict=True)]]
+
+    made = append_in_arrow(sample, "__text", ["__id", "__label"], [field("__lines", T.ArrayType(T.ArrayType(T.DoubleType())))], compute)
+    cut = made.select("__id", "__label", F.posexplode("__lines").alias("at", "x"))
+    rows = cut.orderBy(F.xxhash64("__id", "at"), "__id", "at").limit(most).collect()  # at most `most` rows of STRETCH lines
+    rows.sort(key=lambda r: (r["__id"], r["__label"], r["at"]))
+    return [np.array(r["x"]).reshape(-1, len(FEATURES)) for r in rows], [1 - r["__label"] for r in rows]
 
 
 def label_counts(labels: DataFrame, label_col: str) -> tuple[int, int]:
@@ -217,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(id_col, label_col)
     known = known if keep is None else known.filter(keep)
     sample = labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE)
-    weights, moves = train([t for t, _ in sample], [1 - y for _, y in sample])
+    weights, moves = train(*labelled_stretches(sample))
     good, bad = label_counts(known, label_col)
     return weights, moves, -math.log((good + 1) / (bad + 1))
 

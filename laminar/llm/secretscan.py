@@ -5,7 +5,8 @@ long tokens: the encoding is inferred from the alphabet, and
 three tests ask whether the token looks uniformly random in it - chi-squared on
 symbol groups, a runs test about the alphabet's middle, and lag-one serial
 correlation. Fisher's sum of their p-values is the token's score: small for random
-strings, large for text.
+strings, large for text. A token that mixes marks of both base64 alphabets is judged in the
+alphabet of all characters that a token may have.
 
 False discoveries are controlled against the corpus itself: what a text holds besides base
 spans and long tokens is joined over its letters, digits and marks of the alphabets, and cut for each length
@@ -30,6 +31,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -59,6 +61,7 @@ ENCODINGS = {
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "coded": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 SETS = [(n, frozenset(a), {c: k for k, c in enumerate(a)}) for n, a in ENCODINGS.items()]
 LENGTHS = (20, 28, 40, 64, 128)  # lower ends of the length bands
@@ -68,11 +71,16 @@ RATE, LARGEST = 0.05, 22.458
 #: Windows below which a band's own distribution isn't relied on.
 FEW = 200
 #: Characters of the encodings, the encodings that hold each (a bit each), and each encoding's index of it.
-CODED = re.compile(r"[^A-Za-z0-9+/_-]+")
-MEMBER = np.array([sum(1 << e for e, (_, alphabet, _) in enumerate(SETS) if chr(c) in alphabet) for c in range(128)], np.uint8)
+UNCODED = bytes(c for c in range(256) if chr(c) not in ENCODINGS["coded"])
+MEMBER = np.array([sum(1 << e for e, (_, alphabet, _) in enumerate(SETS) if chr(c) in alphabet) for c in range(128)], np.uint16)
 INDEX = np.array([[index.get(chr(c), 0) for c in range(128)] for _, _, index in SETS], np.uint8)
 #: Windows are scored in blocks of about so many characters.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
+#: Places of a window's sums within one 64-bit number: of symbols, of their squares, symbols of the upper half, digits, capitals.
+#: A window has at most 128 symbols of at most 66, so that no sum reaches the next one's place.
+SUM, SQUARES, HIGH, DIGITS, CAPITALS = 0, 14, 34, 42, 50
+#: Place of the changes between halves in the sums over neighbours; their products come before it.
+CHANGES = 20
 
 
 def upper_gamma_half(k2: int, x: float) -> float:
@@ -94,15 +102,11 @@ def upper_gamma_half(k2: int, x: float) -> float:
     return min(1.0, total)
 
 
-def score(token: str) -> float | None:
-    """Fisher's sum over the battery, in the best-fitting encoding; None if no encoding has all its characters."""
+def score(token: str) -> float:
+    """Fisher's sum over the battery, in the narrowest encoding that has all of a token's characters."""
     body = token.rstrip("=")
     chars = frozenset(body)
-    for _, alphabet, index in SETS:
-        if chars <= alphabet:
-            break
-    else:
-        return None
+    index = next(index for _, alphabet, index in SETS if chars <= alphabet)
     v = np.array([index[c] for c in body])
     n, k = len(v), len(index)
     # Chi-squared: symbol groups of equal width, so few that each expects several symbols.
@@ -111,7 +115,7 @@ def score(token: str) -> float | None:
     seen = np.bincount(v * groups // k, minlength=groups)
     uniform = upper_gamma_half(groups - 1, float((((seen - n * share) ** 2) / (n * share)).sum()))
     # Chi-squared: upper, lower, digits and marks in the alphabet's proportions.
-    kinds = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 1 for c in index])
+    kinds = symbol_kinds(index)
     want = np.bincount(kinds, minlength=3) / k
     got, used = np.bincount(kinds[v], minlength=3), want > 0
     if used.sum() > 1:
@@ -135,6 +139,11 @@ def score(token: str) -> float | None:
     return -2 * sum(math.log(max(p, 1e-300)) for p in (uniform, run_p, serial_p))
 
 
+def symbol_kinds(alphabet) -> np.ndarray:
+    """0 for digits, 1 for capitals and marks, 2 for small letters."""
+    return np.array([0 if c.isdigit() else 2 if c.islower() else 1 for c in alphabet])
+
+
 def band_of(length: int) -> int:
     return max(k for k, least in enumerate(LENGTHS) if length >= least)
 
@@ -165,47 +174,100 @@ def meets(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
     return overlaps
 
 
-def each_value(make, values: np.ndarray) -> np.ndarray:
-    """make of each value, called once for each different one."""
-    different, at = np.unique(values, return_inverse=True)
-    return np.array([make(x) for x in different.tolist()], float)[at]
+def upper_gammas(k2: int, x: np.ndarray) -> np.ndarray:
+    """`upper_gamma_half` of many values."""
+    h = np.maximum(x, 0) / 2
+    if k2 % 2 == 0:
+        term = total = np.exp(-h)
+        for i in range(1, k2 // 2):
+            term = term * h / i
+            total = total + term
+    else:
+        total = erfcs(np.sqrt(h))
+        term = np.sqrt(4 * h / math.pi) * np.exp(-h)
+        for i in range(1, (k2 + 1) // 2):
+            total = total + term
+            term = term * h / (i + 0.5)
+    return np.minimum(1.0, total)
+
+
+def erfcs(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, x.tolist()), float, len(x))
+
+
+@cache
+def symbol_sums(encoding: int) -> np.ndarray:
+    """What each symbol adds to a window's sums."""
+    k = len(SETS[encoding][2])
+    v, kinds = np.arange(k), symbol_kinds(SETS[encoding][2])
+    return (v << SUM | v * v << SQUARES | (v >= k / 2).astype(int) << HIGH | (kinds == 0).astype(int) << DIGITS | (kinds == 1).astype(int) << CAPITALS).astype(np.uint64)
+
+
+@cache
+def group_sums(encoding: int, groups: int) -> np.ndarray:
+    """What each symbol adds to the counts of the symbol groups, a byte each."""
+    k = len(SETS[encoding][2])
+    return np.uint64(1) << (np.arange(k) * groups // k * 8).astype(np.uint64)
+
+
+@cache
+def table(test: str, n: int, encoding: int) -> np.ndarray:
+    """p-values by two counts of up to n, as far as they are known."""
+    return np.full((n + 1) * (n + 1), np.nan)
+
+
+def by_counts(known: np.ndarray, make: Callable[[int, int], float], n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """make(a, b) of each pair of counts, called once for each pair ever met."""
+    codes = a * (n + 1) + b
+    for code in np.flatnonzero(np.bincount(codes[np.isnan(known[codes])])).tolist():
+        known[code] = make(*divmod(code, n + 1))
+    return known[codes]
 
 
 def window_scores(v: np.ndarray, encoding: int) -> np.ndarray:
-    """`score` of many windows of one length in one encoding: v holds a window's symbols in each column."""
+    """`score` of many windows of one length in one encoding: v holds a window's symbols in each column.
+
+    All that the tests need of a window are sums over its symbols, which are taken together as the parts of a number.
+    """
     n, k = v.shape[0], len(SETS[encoding][2])
+    sums = symbol_sums(encoding).take(v).sum(0)
+
+    def part(at: int, bits: int) -> np.ndarray:
+        return (sums >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
     groups = max(2, min(8, n // 5))
     share = np.bincount(np.arange(k) * groups // k, minlength=groups) / k
-    of = (np.arange(k) * groups // k).astype(np.uint8)[v]
-    statistic = sum(((of == g).sum(0, dtype=np.uint8).astype(float) - n * share[g]) ** 2 / (n * share[g]) for g in range(groups))
-    uniform = each_value(lambda x: upper_gamma_half(groups - 1, x), statistic)
-    kinds = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 1 for c in SETS[encoding][2]], np.uint8)
-    want = np.bincount(kinds, minlength=3) / k
+    seen = group_sums(encoding, groups).take(v).sum(0).view(np.uint8).reshape(-1, 8)[:, :groups].astype(float)
+    uniform = upper_gammas(groups - 1, seen**2 @ (1 / (n * share)) - n)
+    want = np.bincount(symbol_kinds(SETS[encoding][2]), minlength=3) / k
     used = np.flatnonzero(want)
+
+    def classes_p(digits: int, capitals: int) -> float:
+        got = np.array([digits, capitals, n - digits - capitals])
+        return upper_gamma_half(len(used) - 1, float((((got - n * want) ** 2)[used] / (n * want[used])).sum()))
+
     if len(used) > 1:
-        of = kinds[v]
-        statistic = sum(((of == g).sum(0, dtype=np.uint8).astype(float) - n * want[g]) ** 2 / (n * want[g]) for g in used.tolist())
-        uniform = np.minimum(1.0, 2 * np.minimum(uniform, each_value(lambda x: upper_gamma_half(len(used) - 1, x), statistic)))
+        classes = by_counts(table("classes", n, encoding), classes_p, n, part(DIGITS, 8), part(CAPITALS, 8))
+        uniform = np.minimum(1.0, 2 * np.minimum(uniform, classes))
 
-    def runs_p(code: int) -> float:
-        above, runs = divmod(code, 1 << 10)
+    def runs_p(above: int, changes: int) -> float:
         below = n - above
         if not above or not below:
             return 2.0 ** (1 - n)
         mean = 1 + 2 * above * below / n
         var = (mean - 1) * (mean - 2) / (n - 1)
-        return math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
+        return math.erfc(abs(1 + changes - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
 
     high = v >= k / 2
-    runs = 1 + (high[1:] != high[:-1]).sum(0, dtype=np.uint8).astype(np.int64)
-    run_p = each_value(runs_p, (high.sum(0, dtype=np.uint8).astype(np.int64) << 10) + runs)
-    wide = v.astype(np.uint16)
-    total, squares = wide.sum(0, dtype=np.int64), (wide * wide).sum(0, dtype=np.int64)
+    pairs = v[1:].astype(np.uint16) * v[:-1] + ((high[1:] != high[:-1]).astype(np.uint32) << CHANGES)
+    pairs = pairs.sum(0, dtype=np.uint32).astype(np.int64)
+    run_p = by_counts(table("runs", n, encoding), runs_p, n, part(HIGH, 8), pairs >> CHANGES)
+    total, squares = part(SUM, 14), part(SQUARES, 20)
     mean = total / n
     power = np.where(n * squares == total * total, 0.0, squares - n * mean**2)  # exactly zero for one symbol
-    product = (wide[1:] * wide[:-1]).sum(0, dtype=np.int64) - mean * (2 * total - wide[0] - wide[-1]) + (n - 1) * mean**2
+    product = (pairs & ((1 << CHANGES) - 1)) - mean * (2 * total - v[0] - v[-1]) + (n - 1) * mean**2
     r = np.divide(product, power, out=np.ones(len(power)), where=power > 0)
-    serial_p = np.array(list(map(math.erfc, (np.abs(r + 1 / n) * math.sqrt(n / 2)).tolist())))
+    serial_p = erfcs(np.abs(r + 1 / n) * math.sqrt(n / 2))
     return -2 * sum(np.log(np.maximum(p, 1e-300)) for p in (uniform, run_p, serial_p))
 
 
@@ -221,11 +283,11 @@ def text_windows(texts: list[str]) -> list[tuple[int, int]]:
         rows = max(1, BLOCK // n)
         for first in range(0, len(windows), rows):
             block = np.ascontiguousarray(windows[first : first + rows].T)
-            fits = np.bitwise_and.reduce(MEMBER[block], axis=0)
+            fits = np.bitwise_and.reduce(MEMBER.take(block), axis=0)
             for encoding in range(len(SETS)):  # the narrowest that fits
                 mine = np.flatnonzero((fits & ((2 << encoding) - 1)) == 1 << encoding)
                 if len(mine):
-                    bins = np.minimum(BINS - 1, (window_scores(INDEX[encoding][block[:, mine]], encoding) * 2).astype(np.int64))
+                    bins = np.minimum(BINS - 1, (window_scores(INDEX[encoding].take(block.take(mine, axis=1)), encoding) * 2).astype(np.int64))
                     counts[band * BINS : (band + 1) * BINS] += np.bincount(bins, minlength=BINS)
     return [(int(c), int(counts[c])) for c in np.flatnonzero(counts)]
 
@@ -236,7 +298,7 @@ def ordinary(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in sorted(spans):
         parts.append(text[done : max(done, a)])
         done = max(done, b)
-    return CODED.sub("", "".join([*parts, text[done:]]))
+    return "".join([*parts, text[done:]]).encode("utf-8", "replace").translate(None, UNCODED).decode()
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -257,8 +319,8 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
                 for m in TOKEN.finditer(text):
                     a, b = m.span()
                     long_tokens.append((a, b))
-                    if not base(a, b) and (s := score(m[0])) is not None:
-                        tokens.append((a, b, band_of(b - a), bin_of(s)))
+                    if not base(a, b):
+                        tokens.append((a, b, band_of(b - a), bin_of(score(m[0]))))
             names = [s[0] for s in spans]
             row = [names.count("assign"), names.count("access"), names.count("hex"), span_digest(spans), [(a, KINDS.index(n), b) for n, a, b in spans], tokens, []]
             plain.append(ordinary(text, [*((s[1], s[2]) for s in spans), *long_tokens]))
@@ -330,7 +392,7 @@ def redacted(text: str, kinds: set[str], limit: list[int], mark: str) -> str:
         base = meets(spans.copy())
         for m in TOKEN.finditer(text):
             a, b = m.span()
-            if not base(a, b) and (s := score(m[0])) is not None and bin_of(s) < limit[band_of(b - a)]:
+            if not base(a, b) and bin_of(score(m[0])) < limit[band_of(b - a)]:
                 spans.append((a, b))
     out, done = [], 0
     for a, b in sorted(spans):

@@ -13,8 +13,8 @@ segments all stay within their proportional share of BITS.
 Keys of more than HOT members aren't met in one task: the bits that such a key leaves
 free are cut into SEGMENTS segments again, and its members are filed anew under each
 choice of SEGMENTS - BITS of these, for the same reason. What agrees then is 46 bits or
-more, so a key has at most 2^18 different members, however many documents there are. The
-work within a key is by blocks of pairs. Each key emits at most one edge per member,
+more; keys that are hot still are cut up the same way once more, to 55 bits, which leaves a key
+512 different members, however many documents there are. The work within a key is by blocks of pairs. Each key emits at most one edge per member,
 from it to the smallest fingerprint it reaches inside the key, so no group is ever
 expanded into pairs. Components of the edges come from min-label propagation with pointer
 jumping over checkpointed tables.
@@ -37,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,20 +109,31 @@ def finer_masks(mask: int) -> list[int]:
     return [mask | mask_of([b for s in choice for b in free[cuts[s] : cuts[s + 1]]]) for choice in CHOICES]
 
 
-def keys_by(masks: dict[int, int]) -> Column:
-    """(k, part) for each mask: part is the fingerprint's bits under the mask."""
-    signed = {k: m - (1 << 64) if m >> 63 else m for k, m in masks.items()}
-    return F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in signed.items()])
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def cut_up(hot: DataFrame, masks: list[int]) -> DataFrame:
+    """(k, part, fp): the members (k, fp) of keys under the finer choices of their key."""
+    finer = [(signed(m), [signed(x) for x in finer_masks(m)]) for m in masks]
+    table = hot.sparkSession.createDataFrame(finer, "k long, finer array<long>")  # 20 masks, or 400
+    return hot.join(F.broadcast(table), "k").select(F.explode("finer").alias("k"), "fp").withColumn("part", F.col("fp").bitwiseAND(F.col("k"))).select("k", "part", "fp")
 
 
 def keyed(prints: DataFrame) -> DataFrame:
-    """(k, part, fp): every fingerprint under each choice of segments; members of a hot key under its finer choices."""
-    masks = dict(enumerate(key_masks()))
-    filed = prints.select("fp", F.explode(keys_by(masks)).alias("key")).select("key.k", "key.part", "fp")
-    hot = materialise(filed.groupBy("k", "part").count().filter(F.col("count") > HOT).select("k", "part"), "hot-keys")
-    finer = F.array(*[keys_by({100 * (k + 1) + j: m for j, m in enumerate(finer_masks(masks[k]))}) for k in masks])
-    cut = filed.join(hot, ["k", "part"]).select("fp", F.explode(F.element_at(finer, F.col("k") + 1)).alias("key")).select("key.k", "key.part", "fp")
-    return filed.join(hot, ["k", "part"], "left_anti").union(cut)
+    """(k, part, fp): every fingerprint under each choice of segments, k its mask; members of a hot key under its finer choices."""
+    masks = key_masks()
+    filed = prints.select(F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("k"), "fp").withColumn("part", F.col("fp").bitwiseAND(F.col("k"))).select("k", "part", "fp")
+    kept = None
+    while True:
+        final = masks[0].bit_count() > 50  # cut up twice: 512 members at most
+        hot = None if final else materialise(filed.groupBy("k", "part").count().filter(F.col("count") > HOT).select("k", "part"), "hot-keys")
+        cool = filed if final or hot.isEmpty() else filed.join(hot, ["k", "part"], "left_anti")
+        kept = cool if kept is None else kept.union(cool)
+        if cool is filed:
+            return kept
+        filed = materialise(cut_up(filed.join(hot, ["k", "part"], "left_semi").select("k", "fp"), masks).distinct(), "finer-keys")
+        masks = sorted({finer for m in masks for finer in finer_masks(m)})
 
 
 def segment_differences(x: np.ndarray) -> list[np.ndarray]:
@@ -181,7 +192,7 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (fp, to) of each key; rows come sorted by key."""
-    rest: list[np.ndarray] = [np.empty(0, np.int16), np.empty(0, np.int64), np.empty(0, np.int64)]
+    rest: list[np.ndarray] = [np.empty(0, np.int64)] * 3
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, part, fp = cols
@@ -217,7 +228,7 @@ def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(prints: DataFrame) -> DataFrame:
     """(fp, label) of all fingerprints that have a link."""
-    filed = keyed(prints.select("fp").distinct()).repartition("k", "part").sortWithinPartitions("k", "part")
+    filed = keyed(materialise(prints.select("fp").distinct(), "distinct-fingerprints")).repartition("k", "part").sortWithinPartitions("k", "part")
     schema = T.StructType([field("fp", T.LongType()), field("to", T.LongType())])
     return components(filed.mapInArrow(key_edges, schema), "fp", "to").withColumnRenamed("node", "fp")
 

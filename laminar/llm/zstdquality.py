@@ -8,7 +8,9 @@ probability; the share of good labels among all training labels sets the probabi
 
 Labels come from the training rows only; language, source and id are never inputs. The
 sample for training is at most SAMPLE ids of each label, with their whole texts; half of it
-builds the dictionaries, half fits the calibration. Scoring reads whole texts, in blocks of
+builds the dictionaries, half fits the calibration. Texts stay with the executors: the driver gets at most PIECES
+pieces of PIECE bytes of each label (about a hundred times a dictionary's size) to build the dictionaries from, and the
+size differences, a number each, to calibrate. Scoring reads whole texts, in blocks of
 BLOCK bytes, so that a long text meets the dictionaries as a short one does.
 
 Contract: null and empty texts get the share of good labels, for want of evidence. Without training rows of
@@ -22,14 +24,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_in_arrow, field
+from .common import append_in_arrow, field, materialise
 from .linecrf import label_counts, labelled_sample
 
 SAMPLE, DICTIONARY, BLOCK = 1500, 96_000, 1024
+PIECE, PIECES = 2000, 5000
 LEVEL = 3
 
 
@@ -75,37 +78,66 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return mean, scale, w
 
 
-def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
+def dictionary(pieces: list[bytes], size: int) -> bytes:
+    """A trained dictionary, or the pieces themselves where there are too few to train on."""
     import zstandard
 
     try:
-        pieces = [t[k : k + 2000] for t in texts for k in range(0, len(t), 2000)]
         return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(texts)[:size] or b"\n" * 8
+        return b"\n".join(pieces)[:size] or b"\n" * 8
+
+
+def pieces_of(texts: DataFrame, most: int = PIECES) -> list[bytes]:
+    """The texts (rank, __text) in pieces of PIECE bytes, by rank; beyond `most` pieces those that a hash picks."""
+    raw = F.col("__text").cast("binary")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("__text") - 1) / PIECE).cast("int")), lambda k: F.substring(raw, k * PIECE + 1, F.lit(PIECE)))
+    pieces = texts.filter(F.octet_length("__text") > 0).select("rank", F.posexplode(cut).alias("at", "piece"))
+    rows = pieces.orderBy(F.xxhash64("rank", "at"), "rank", "at").limit(most).collect()  # at most `most` pieces
+    return [bytes(r["piece"]) for r in sorted(rows, key=lambda r: (r["rank"], r["at"]))]
+
+
+_sizes: dict[int, Sizes] = {}
+
+
+def sizes_with(good: bytes, bad: bytes) -> Sizes:
+    """The compressors of two dictionaries, made once by worker."""
+    key = hash((good, bad))
+    if key not in _sizes:
+        _sizes.clear()
+        _sizes[key] = Sizes(good, bad)
+    return _sizes[key]
+
+
+def differences(texts: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """__label, rank and the size difference of each text (rank, __label, __text)."""
+    sent = texts.sparkSession.sparkContext.broadcast((good, bad))  # two dictionaries of at most DICTIONARY bytes
+
+    def compute(texts: list[bytes]) -> list:
+        sizes = sizes_with(*sent.value)
+        return [[sizes.difference(t) for t in texts]]
+
+    return append_in_arrow(texts, "__text", ["__label", "rank"], [field("difference", T.DoubleType())], compute)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
     """(good dictionary, bad dictionary, calibration, share of good labels), or None without rows of both labels."""
     known = labels.select(id_col, label_col)
-    sample = labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE, ~held_out(id_col))
-    by = {y: [t for t, label in sample if label == y] for y in (0, 1)}
-    if min(map(len, by.values())) < 2:
+    sample = materialise(labelled_sample(docs, known, id_col, text_col, label_col, SAMPLE, ~held_out(id_col)), "labelled")
+    ranks = sample.select("__id", "__label", F.row_number().over(Window.partitionBy("__label").orderBy("__id")).alias("rank"))
+    sizes = {r["__label"]: r["n"] for r in ranks.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if min(sizes.get(y, 0) for y in (0, 1)) < 2:
         return None
-    good, bad = (dictionary(by[y][::2], DICTIONARY) for y in (1, 0))
-    sizes = Sizes(good, bad)
-    rest = [(t, y) for y in (0, 1) for t in by[y][1::2]]
-    x = np.array([[sizes.difference(t)] for t, _ in rest])
-    mean, scale, w = logistic(x, np.array([y for _, y in rest]))
+    ranked = sample.join(F.broadcast(ranks), ["__id", "__label"])  # at most 2 * SAMPLE ids
+    good, bad = (dictionary(pieces_of(ranked.filter(f"__label = {y} AND rank % 2 = 1")), DICTIONARY) for y in (1, 0))
+    rest = sorted(differences(ranked.filter("rank % 2 = 0"), good, bad).collect())  # a number for each of at most SAMPLE ids
+    mean, scale, w = logistic(np.array([[d] for _, _, d in rest]), np.array([y for y, _, _ in rest]))
     good_n, bad_n = label_counts(known.filter(~held_out(id_col)), label_col)
     w[0] += math.log(good_n / bad_n)  # the fit weighs both labels alike
     level = good_n / (good_n + bad_n)
     return good, bad, (mean, scale, w), level
 
 
-_sizes: dict[int, Sizes] = {}
-
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (the id), score and predicted of every row."""
@@ -115,11 +147,8 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
         if sent.value is None:
             return [[0.5] * len(texts), [1] * len(texts)]
         good, bad, (mean, scale, w), level = sent.value
-        key = hash((good, bad))
-        if key not in _sizes:
-            _sizes.clear()
-            _sizes[key] = Sizes(good, bad)
-        x = np.array([[_sizes[key].difference(t)] for t in texts])
+        sizes = sizes_with(good, bad)
+        x = np.array([[sizes.difference(t)] for t in texts])
         p = 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / scale) @ w[1:], -30, 30)))
         p = np.where([len(t) > 0 for t in texts], p, level)
         return [p, (p >= 0.5).astype(np.int32)]

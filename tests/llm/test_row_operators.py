@@ -1,6 +1,7 @@
 """Operators on single texts against plain Python versions."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -406,10 +407,28 @@ def test_classifier(spark):
 def test_sample_takes_whole_texts_and_ids_with_one_label(spark):
     docs = spark.createDataFrame([(1, "a" * 50_000), (1, "b"), (2, "two"), (3, None), (4, "four"), (None, "none"), (5, "five")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
-    got = linecrf.labelled_sample(docs, labels, "doc_id", "text", "quality", 10)
+    sample = lambda rows: sorted(((r["__text"].encode(), r["__label"]) for r in linecrf.labelled_sample(rows, labels, "doc_id", "text", "quality", 10).collect()), key=lambda r: -r[1])
+    got = sample(docs)
     assert len(got) == 2 and got[1] == (b"four", 0) and got[0] in ((b"a" * 50_000, 1), (b"b", 1))
     hot = docs.crossJoin(spark.range(500)).select("doc_id", "text")
-    assert linecrf.labelled_sample(hot, labels, "doc_id", "text", "quality", 10) == got
+    assert sample(hot) == got
+
+
+def test_training_gathers_bounded_pieces_of_whole_texts(spark):
+    """Stretches and pieces are those of the whole texts; beyond the bound, as many as it allows."""
+    rnd = random.Random(3)
+    texts = ["\n".join("x" * rnd.randint(1, 40) for _ in range(rnd.choice([1, 48, 49, 500]))) for _ in range(12)] + [""]
+    rows = [(f"{k:02}", k % 2, t) for k, t in enumerate(texts)]
+    sample = spark.createDataFrame(rows, "__id string, __label int, __text string").repartition(3)
+    got, bad = linecrf.labelled_stretches(sample)
+    cut = [(t.split("\n")[a : a + 48], 1 - y) for _, y, t in rows for a in range(0, t.count("\n") + 1, 48)]
+    assert bad == [y for _, y in cut] and list(map(len, got)) == [len(lines) for lines, _ in cut]
+    whole = linecrf.Lines([t.encode() for t in texts]).features
+    assert [line for x in got for line in x.tolist()] == whole.tolist()
+    assert len(linecrf.labelled_stretches(sample, 5)[0]) == 5
+    ranked = sample.selectExpr("CAST(__id AS int) AS rank", "__text")
+    assert b"".join(zstdquality.pieces_of(ranked)) == "".join(texts).encode()
+    assert len(zstdquality.pieces_of(ranked, 3)) == 3 and set(zstdquality.pieces_of(ranked, 3)) <= set(zstdquality.pieces_of(ranked))
 
 
 def test_classifier_on_odd_rows(odd_docs, labels):

@@ -43,6 +43,15 @@ def test_tokens_with_few_digits(spark, docs):
     assert not any("random" in s for s in got.values())
 
 
+def test_tokens_with_marks_of_both_alphabets(spark, docs):
+    rnd = random.Random(17)
+    codes = ["".join(rnd.choices(secretscan.ENCODINGS["coded"], k=38)) + "+-" for _ in range(40)]
+    got = found(spark, docs, [f"look at x{c} now" for c in codes])
+    assert sum("random:8:49" in got[k] for k in range(40)) >= 28
+    got = found(spark, docs, [f"look at {w} now" for w in ("one-two/three_four-five+six-seven", "src/main-part/some_file_name-with/many_words")])
+    assert not any("random" in s for s in got.values())
+
+
 def test_redaction_of_tokens_behind_equals(spark, docs):
     rnd = random.Random(14)
     codes = ["".join(rnd.choices(secretscan.ENCODINGS["base62"], k=40)) for _ in range(30)]

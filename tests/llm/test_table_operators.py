@@ -110,6 +110,19 @@ def test_hot_keys_are_cut_up(spark, monkeypatch):
     check_components(simhash.with_components(df, simhash.linked(df), "doc_id").collect())
 
 
+def test_hot_keys_are_cut_up_until_they_are_small(spark, monkeypatch):
+    """Members that agree in all but twenty bits: keys of the second choice are hot as well."""
+    rnd = random.Random(11)
+    base = rnd.getrandbits(64)
+    members = sorted({base ^ rnd.getrandbits(10) << 40 ^ rnd.getrandbits(10) for _ in range(2500)})
+    monkeypatch.setattr(simhash, "HOT", 40)
+    df = spark.createDataFrame(list(enumerate(np.array(members, np.uint64).view(np.int64).tolist())), "doc_id long, fp long")
+    keys = simhash.keyed(df.select("fp")).groupBy("k", "part").count().collect()
+    bits = [((r["k"] & (1 << 64) - 1).bit_count(), r["count"]) for r in keys]
+    assert all(n <= 40 or b >= 55 and n <= 512 for b, n in bits) and any(b >= 55 for b, _ in bits)
+    check_components(simhash.with_components(df, simhash.linked(df), "doc_id").collect())
+
+
 def test_finer_masks_meet_all_pairs():
     rnd = random.Random(14)
     for mask in simhash.key_masks():
