@@ -220,21 +220,27 @@ def square_subfield(cells: DataFrame, scan: DataFrame, n: int = SQUARE_N, side_u
 
     Edges are evenly spaced from the centre minus half the side, truncated. Left eyes are mirrored.
     """
-    j = cells.join(scan.select("image_id", "eye", "cx", "cy", "slo_scale", "angle"), "image_id")
     half = num(side_um) / F.col("slo_scale") / 2
+
+    def edges(centre: str) -> Column:
+        return F.array(*[truncated(F.col(centre) - half + 2 * half * F.lit(k) / n) for k in range(n + 1)])
+
+    # Edges are made once an image; a cell is compared with them, its rounded place being one expression.
+    frame = scan.select("image_id", "eye", "cx", "cy", "angle", edges("cx").alias("edges_x"), edges("cy").alias("edges_y"))
     u, v = turned(F.col("angle"))
+    place_x, place_y = F.round(u + F.col("cx"), 9), F.round(v + F.col("cy"), 9)
 
-    def bucket(at: Column, centre: str) -> Column:
-        edges = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: truncated(F.col(centre) - half + 2 * half * k / n))
-        place = F.round(at + F.col(centre), 9)
-        k = F.size(F.filter(edges, lambda e: e <= place))
-        return F.when(k.between(1, n), k)
+    def bucket(place: Column, edges: Column) -> Column:
+        return sum(((edges[k] <= place).cast("int") for k in range(1, n)), F.lit(1))
 
-    col = bucket(u, "cx")
+    def within(place: Column, edges: Column) -> Column:
+        return (edges[0] <= place) & (place < edges[n])
+
+    ex, ey = F.col("edges_x"), F.col("edges_y")
+    col = bucket(place_x, ex)
     mirrored = F.when(F.col("eye") == "Right", col).otherwise(n + 1 - col)
-    row = bucket(v, "cy")
-    name = F.when(row.isNotNull() & col.isNotNull(), F.concat_ws(".", row, mirrored))
-    return j.withColumn("subfield", name).drop("eye", "cx", "cy", "slo_scale", "angle")
+    name = F.when(within(place_x, ex) & within(place_y, ey), F.concat_ws(".", bucket(place_y, ey), mirrored))
+    return cells.join(frame, "image_id").withColumn("subfield", name).drop("eye", "cx", "cy", "angle", "edges_x", "edges_y")
 
 
 def grid_fits(scan: DataFrame, size: int, side_um: float = SQUARE_UM) -> DataFrame:
