@@ -1,8 +1,12 @@
 """What a step holds doesn't grow with the table: plans without broadcasts or whole sorts, and the same results as plain Python."""
 
+import re
+
 import numpy as np
+import pytest
 
-from laminar.functions.nearest import nearest_point, nearest_targets
+from laminar.functions.nearest import fill_grid, fill_groups, nearest_point, nearest_targets
+from laminar.plans.registry import QUERIES
 
 
 def plan(df):
@@ -25,3 +29,31 @@ def test_nearest_point_broadcasts_nothing(spark):
     got = nearest_point(points, targets, ["image_id"])
     assert "Broadcast" not in plan(got)
     assert [tuple(r) for r in got.collect()] == [(1, 0.0, 0.0, 4, 3, 5.0)]
+
+
+def test_fill_compares_few_or_sweeps_many(monkeypatch):
+    r = np.random.default_rng(3)
+    y, x = (c.ravel() for c in np.mgrid[-4:20, 3:25])
+    value = np.where(r.random(len(x)) < 0.2, r.integers(0, 50, len(x)), np.nan)
+    few = fill_grid(x, y, value)
+    monkeypatch.setattr("laminar.functions.nearest.FEW_PAIRS", 0)
+    many = fill_grid(x, y, value)
+    group = r.permutation(np.arange(len(x)) % 7)
+    together = fill_groups(group, x, y, value)
+    monkeypatch.setattr("laminar.functions.nearest.FEW_PAIRS", 1 << 17)
+    assert list(fill_groups(group, x, y, value)) == list(together)
+    for g in range(7):
+        assert list(together[group == g]) == list(fill_grid(x[group == g], y[group == g], value[group == g]))
+    known = np.flatnonzero(~np.isnan(value))
+    want = [value[min(known, key=lambda k: ((x[k] - x[i]) ** 2 + (y[k] - y[i]) ** 2, y[k], x[k]))] for i in range(len(x))]
+    assert list(few) == want == list(many)
+
+
+@pytest.mark.parametrize("name", ["map_etdrs_subfields", "map_square_subfields", "ppl_zones", "map_rotate", "map_gaussian", "map_volume", "map_filled_stats", "map_nearest_fill", "msk_trim_map", "map_subfield_stats"])
+def test_cells_are_dealt_once(spark, name):
+    """Every shuffle is of table rows or images, dealt by image in a number that follows the table; cells are neither shuffled nor sorted for a join."""
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" not in text and "BroadcastExchange" not in text
+    shuffles = [line for line in text.splitlines() if " Exchange " in line]
+    assert any("REPARTITION_BY_NUM" in line for line in shuffles)
+    assert all(re.search(r"hashpartitioning\((image_id|l_suppkey)#\d+L, (map#\d+, grid#\d+, )?\d+\)", line) for line in shuffles), shuffles
