@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.dimensions import KNUDTSON, VESSEL_FEATURES, VESSEL_MAPS, WHOLE_ONLY, ZONES, num
-from ..functions.nearest import nearest_point
+from ..functions.nearest import nearest_point, nearest_targets
 from ..sources.shared import materialise
 from .mask import MASK, boundary
 
@@ -136,7 +136,11 @@ def chord_length(path: DataFrame) -> DataFrame:
 
 def tortuosity_distance(path: DataFrame) -> DataFrame:
     """VES-8. Mean over the paths of length by chord; closed paths, which have no chord, don't count."""
-    ratio = path_length(path).join(chord_length(path), PATH).select(*PATH, F.try_divide("length", "chord").alias("r"))
+    order, at = W.partitionBy(*PATH).orderBy("seq"), F.struct("row", "col")
+    stepped = path.withColumn("step", F.hypot(F.col("row") - F.lag("row").over(order), F.col("col") - F.lag("col").over(order)))
+    ends = stepped.groupBy(*PATH).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"))  # one pass: no join of two sums
+    chord = F.hypot(F.col("b.row") - F.col("a.row"), F.col("b.col") - F.col("a.col"))
+    ratio = ends.select(*PATH, F.try_divide("length", chord).alias("r"))
     return ratio.groupBy("image_id", "vessel_map").agg(F.avg("r").alias("tortuosity_distance"))
 
 
@@ -229,12 +233,21 @@ def snap(edges: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ("image_id",
 
 
 def vessel_width(edges: DataFrame, mask: DataFrame, scale: float = 1.0, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """VES-15. Mean distance between the snapped edge points, for each path."""
-    ends = [F.struct(F.col(f"col{k}").alias("px"), F.col(f"row{k}").alias("py")) for k in (1, 2)]
-    at = materialise(snap(edges.select(*keys, F.explode(F.array(*ends)).alias("p")).select(*keys, "p.px", "p.py"), mask, keys).drop("distance"), "snapped")
-    side = lambda k: at.select(*keys, F.col("px").alias(f"col{k}"), F.col("py").alias(f"row{k}"), F.col("tx").alias(f"x{k}"), F.col("ty").alias(f"y{k}"))
-    both = edges.join(side(1), [*keys, "col1", "row1"]).join(side(2), [*keys, "col2", "row2"])
-    return both.groupBy(*PATH).agg((F.avg(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))) * num(scale)).alias("width"))
+    """VES-15. Mean distance between the snapped edge points, for each path. Edges and boundary of a picture are one group; its paths' means leave it."""
+    ends = ["row1", "col1", "row2", "col2"]
+    some = edges.select(*PATH, *ends).dropna()
+    to = boundary(mask).withColumnRenamed("mask", "vessel_map").select(*keys, "x", "y")
+    schema = T.StructType([*(edges.schema[c] for c in PATH), T.StructField("width", T.DoubleType())])
+
+    def measure(at: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
+        if not len(at) or not len(to):
+            return at.iloc[:0].assign(width=0.0)[schema.names]
+        x, y = to["x"].to_numpy(float), to["y"].to_numpy(float)
+        (x1, y1, _), (x2, y2, _) = (nearest_targets(at[f"col{k}"].to_numpy(float), at[f"row{k}"].to_numpy(float), x, y) for k in (1, 2))
+        means = at.assign(width=np.hypot(x1 - x2, y1 - y2)).groupby(PATH, sort=False, as_index=False)["width"].mean()
+        return means.assign(width=means["width"] * scale)[schema.names]
+
+    return some.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInPandas(measure, schema)
 
 
 def zones(points: DataFrame, scan: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -301,8 +314,8 @@ def zonal_widths(zoned: DataFrame, zone_mask: DataFrame, side: int) -> DataFrame
     """Width in pixels of each path (its kind and zone as vessel_map): edges along the smoothed path's normals, two pixels
     beyond its distance to the background of the kind's mask in the zone, snapped to that mask's boundary."""
     distance = distance_map(zone_mask, side, side).select("image_id", F.col("mask").alias("vessel_map"), F.col("x").alias("col"), F.col("y").alias("row"), "distance")
-    smooth = smooth_path(zoned).join(distance, ["image_id", "vessel_map", "row", "col"], "left")
-    edges = materialise(vessel_edges(smooth.withColumn("distance", F.coalesce("distance", num(0)) + 2)), "edges")
+    smooth = smooth_path(zoned).join(distance.hint("merge"), ["image_id", "vessel_map", "row", "col"], "left")  # compressed tables look small enough to be broadcast
+    edges = vessel_edges(smooth.withColumn("distance", F.coalesce("distance", num(0)) + 2))
     return vessel_width(edges, zone_mask, 1.0, ("image_id", "vessel_map"))
 
 
@@ -330,6 +343,6 @@ def vessel_measure(path: DataFrame, mask: DataFrame, skeleton: DataFrame, scan:
     measured = reduce(DataFrame.unionByName, rows).filter("value is not null")
     kinds = path.select("image_id", "vessel_map").union(mask.select("image_id", "mask")).distinct()
     asked = kinds.select("image_id", "vessel_map", F.explode(F.array(*[F.lit(z) for z in ZONES])).alias("zone")).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in VESSEL_FEATURES])))
-    full = asked.join(measured, ["image_id", "vessel_map", "zone", "feature"], "left").withColumn("value", F.when(F.col("feature").endswith("_Knudtson"), F.coalesce("value", num(-1))).otherwise(F.col("value")))
-    ratio = kinds.select("image_id").distinct().withColumn("zone", F.explode(F.array(*[F.lit(z) for z in ZONES]))).join(avr(own), ["image_id", "zone"], "left").withColumn("AVR", F.coalesce("AVR", num(-1)))
+    full = asked.join(measured.hint("merge"), ["image_id", "vessel_map", "zone", "feature"], "left").withColumn("value", F.when(F.col("feature").endswith("_Knudtson"), F.coalesce("value", num(-1))).otherwise(F.col("value")))
+    ratio = kinds.select("image_id").distinct().withColumn("zone", F.explode(F.array(*[F.lit(z) for z in ZONES]))).join(avr(own).hint("merge"), ["image_id", "zone"], "left").withColumn("AVR", F.coalesce("AVR", num(-1)))
     return append_avr(null_zone_features(full), ratio, list(VESSEL_FEATURES))

@@ -57,3 +57,11 @@ def test_cells_are_dealt_once(spark, name):
     shuffles = [line for line in text.splitlines() if " Exchange " in line]
     assert any("REPARTITION_BY_NUM" in line for line in shuffles)
     assert all(re.search(r"hashpartitioning\((image_id|l_suppkey)#\d+L, (map#\d+, grid#\d+, )?\d+\)", line) for line in shuffles), shuffles
+
+
+@pytest.mark.parametrize("name", ["ves_snap", "ves_widths", "ves_tortuosity_distance"])
+def test_paths_and_masks_arent_broadcast(spark, name):
+    """A written table's size is that of its compressed file: joined to it, the driver would hold many times as much."""
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"BroadcastExchange HashedRelationBroadcastMode\(List\(input\[0, bigint, \w+\], input", text)
+    assert name != "ves_tortuosity_distance" or "Join" not in text
