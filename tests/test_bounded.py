@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from laminar.functions.nearest import fill_grid, fill_groups, nearest_point, nearest_targets
+from laminar.operators import mask
 from laminar.plans.registry import QUERIES
 
 
@@ -65,3 +66,10 @@ def test_paths_and_masks_arent_broadcast(spark, name):
     text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert not re.search(r"BroadcastExchange HashedRelationBroadcastMode\(List\(input\[0, bigint, \w+\], input", text)
     assert name != "ves_tortuosity_distance" or "Join" not in text
+
+
+def test_marginal_peaks_tie_to_nine_decimals(spark):
+    """0.3 and 0.1 + 0.2 are one score; the first position has it."""
+    rows = [(30, 30, 0.3), (65, 60, 0.1), (65, 90, 0.2), (99, 99, 1e-6)]
+    m = spark.createDataFrame([(1, "m", *r) for r in rows], "image_id long, mask string, x int, y int, p double")
+    assert mask.marginal_peak(m, least=0.001).first()["x"] == 30
