@@ -195,7 +195,8 @@ def feet(x: np.ndarray, bottom: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> t
     column = np.trunc(wx) - first
     inside = (column >= 0) & (column < len(low))
     column = np.where(inside, column, 0).astype(int)
-    d = np.where(inside, np.hypot(wx - (column + first), wy - low[column]), np.inf)
+    # The root of the squares' sum, as SQL has it: hypot may break a tie, or miss the tolerance, by its last digit.
+    d = np.where(inside, np.sqrt((wx - (column + first)) ** 2 + (wy - low[column]) ** 2), np.inf)
     d[np.isnan(d)] = np.inf
     best, rows = d.argmin(1), np.arange(len(d))
     at = column[rows, best]

@@ -2,12 +2,17 @@
 
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from laminar.functions.nearest import fill_grid, fill_groups, nearest_point, nearest_targets
 from laminar.operators import mask
-from laminar.plans.registry import QUERIES
+from laminar.plans.registry import ORACLE_SQL, QUERIES
+
+from .oracle import compare
 
 
 def plan(df):
@@ -73,3 +78,19 @@ def test_marginal_peaks_tie_to_nine_decimals(spark):
     rows = [(30, 30, 0.3), (65, 60, 0.1), (65, 90, 0.2), (99, 99, 1e-6)]
     m = spark.createDataFrame([(1, "m", *r) for r in rows], "image_id long, mask string, x int, y int, p double")
     assert mask.marginal_peak(m, least=0.001).first()["x"] == 30
+
+
+def test_feet_break_ties_as_sql_does(spark, tmp_path):
+    """One of these normals has two places as far from their points but for the last digit."""
+    x = [x for x in range(64) if x not in (7, 13, 19, 33, 34, 46, 50, 53, 56, 59)]
+    top = [98, 92, 100, 92, 93, 76, 111, 86, 106, 95, 104, 92, 97, 100, 97, 109, 85, 99, 95, 109, 112, 99, 88, 100, 88, 103, 103, 92, 98, 112, 92, 103, 107, 101, 110, 89, 120, 99, 85, 89, 102, 98, 113, 90, 123, 110, 104, 98, 124, 103, 98, 90, 94, 103]
+    bottom = [127, 115, 134, 145, 132, 121, 128, 116, 123, 127, 126, 135, 128, 150, 122, 127, 123, 108, 132, 129, 114, 128, 127, 153, 149, 138, 134, 111, 130, 123, 137, 129, 139, 130, 124, 134, 140, 148, 151, 130, 117, 146, 138, 137, 127, 125, 130, 125, 126, 122, 119, 138, 115, 130]
+    rows = []
+    for vec, (ys, base) in enumerate(((top, 100), (bottom, 200)), 40):
+        at = dict(zip(x, ys, strict=True))
+        rows.append({"vec_id": vec, "embedding": [(at[k] + 0.5 - base) / 80 if k in at else None for k in range(64)]})
+    path = f"{tmp_path}/embeddings.parquet"
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])), path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    assert compare(QUERIES["trc_perpendicular_foot"](spark, str(tmp_path)), con, ORACLE_SQL["trc_perpendicular_foot"]) is None
