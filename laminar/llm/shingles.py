@@ -1,10 +1,12 @@
 """Near copies by shingle similarity: candidates, the pigeonring filter, then the whole shingle sets.
 
 A text is the set of its word shingles (five words; A-Z lower-cased; a shorter text is one
-shingle). Two texts are linked at a Jaccard similarity of `SIMILARITY` or more. Their
-fingerprints then differ in about 10 of 64 bits, more than any choice of segments can select by, so
-candidates come from MinHash: BANDS keys of ROWS minima each are taken from a set; a pair at 0.8
-shares a key with probability 1 - (1 - 0.8^6)^32 = 0.99994, and more above it. A candidate pair
+shingle). Two texts are linked at a Jaccard similarity of `SIMILARITY` or more. The first candidates
+are those of `simhash`: the sets' fingerprints filed under choices of segments, hot keys cut up, and in a key the
+pairs that pass the pigeonring filter and the Hamming check at `simhash.BITS` (`segment_pairs`). At the threshold
+fingerprints differ in about 10 of 64 bits, more than any choice of segments can select by, so
+further candidates come from MinHash: BANDS keys of ROWS minima each are taken from a set; a pair at 0.8
+shares a key with probability 1 - (1 - 0.8^6)^32 = 0.99994, and more above it. Every candidate pair
 then has to pass
 
 * the pigeonring filter and the Hamming check of its sets' SimHash fingerprints with a budget of
@@ -12,7 +14,7 @@ then has to pass
 * the share of equal minima, of BANDS * ROWS, being LIKELY at least (four deviations below 0.8);
 * the comparison of the whole shingle sets, which alone makes a link.
 
-First each member of a key is paired with the key's first member, whatever the key's size, and the links found so give
+Beside the pairs of segments, each member of a MinHash key is paired with the key's first member, whatever the key's size, and the links found so give
 labels. Keys that then still hold several labels are looked at whole, without sampling and without pairs leaving a task: labels with the same smallest label
 beside them are one field, a field's sets are dealt into blocks of a bounded weight (a large label fills blocks of its
 own), and each two blocks that meet in such a key, other than blocks of one and the same label, make a tile. A tile has the whole shingle sets of its
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..functions.graph import components
 from .common import append_in_arrow, field, materialise, numbered
-from .simhash import majority, near, roots, shingle_hashes
+from .simhash import majority, near, near_pairs, roots, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -125,6 +127,14 @@ def filed(sets: DataFrame) -> DataFrame:
     return rows.repartition("band", "key").sortWithinPartitions("band", "key", F.xxhash64("__set", "band"))
 
 
+def segment_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints the segments bring together, by the smallest set of a fingerprint, and this with the others of its fingerprint."""
+    hubs = materialise(sets.groupBy(F.col("__fp").alias("fp")).agg(F.min("__set").alias("hub")), "fingerprint-sets")
+    far = near_pairs(hubs).join(hubs.withColumnRenamed("hub", "a"), "fp").select("a", F.col("to").alias("fp")).join(hubs.withColumnRenamed("hub", "b"), "fp")
+    same = sets.select(F.col("__fp").alias("fp"), F.col("__set").alias("b")).join(hubs.withColumnRenamed("hub", "a"), "fp").filter("a <> b")
+    return far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same.select("a", "b"))
+
+
 def members(pairs: DataFrame) -> DataFrame:
     """The sets of the pairs, each once; either side is made distinct before it is dealt out."""
     return pairs.select(F.col("a").alias("__set")).distinct().union(pairs.select("b").distinct()).distinct()
@@ -255,7 +265,8 @@ def crossing_links(rows: DataFrame, tagged: DataFrame, sets: DataFrame, text_col
 
 def labelled(tagged: DataFrame, sets: DataFrame, text_col: str, words_per_shingle: int, similarity: float) -> DataFrame:
     """(set, label) of all sets that have a link."""
-    star = materialise(filed(sets).mapInArrow(star_pairs, PAIR).distinct(), "star")
+    star = filed(sets).mapInArrow(star_pairs, PAIR)
+    star = materialise(segment_pairs(sets).union(star).distinct(), "candidates")
     links = confirmed(plausible(star, sets), tagged, sets, text_col, words_per_shingle, similarity)
     labels = components(links, "a", "b").withColumnRenamed("node", "__set")
     met = members(star)

@@ -20,8 +20,8 @@ expanded into pairs. Components of the edges come from min-label propagation wit
 jumping over checkpointed tables.
 
 `representatives` keeps one document of each group of near copies at a shingle similarity
-(see `shingles`), where no choice of segments selects; it uses the fingerprints and
-the pigeonring filter with a larger budget.
+(see `shingles`): its first candidates are the pairs that the segments give (`near_pairs`); pairs whose fingerprints
+differ in more than BITS, where no choice of segments selects, are added to these and pass the pigeonring filter with a larger budget.
 
 Contract: null and empty texts have no word and fingerprint zero, and are linked
 like any other. Equal fingerprints are filed once, however many rows share them.
@@ -32,7 +32,8 @@ is null. Extra columns are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -190,8 +191,37 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (fp, to) of each key; rows come sorted by key."""
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of edges that connect what all edges (left, right) between n indices connect, at most n - 1: each component takes its first edge to another one."""
+    label, kept, live = np.arange(n), [np.empty(0, np.int64)], np.arange(len(left))
+    while True:
+        live = live[label[left[live]] != label[right[live]]]
+        if not len(live):
+            return np.unique(np.concatenate(kept))
+        first = np.full(n, len(left))
+        for side in (left, right):
+            np.minimum.at(first, label[side[live]], live)
+        kept.append(first[first < len(left)])
+        every = np.concatenate(kept)
+        label = roots(n, left[every], right[every])
+
+
+def to_roots(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a key with the smallest one that it reaches."""
+    to = roots(len(members), *links_of(members))
+    moved = np.flatnonzero(to != np.arange(len(members)))
+    return moved, to[moved]
+
+
+def spanning(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of members of a key that connect all that are linked."""
+    left, right = links_of(members)
+    kept = forest(len(members), left, right)
+    return left[kept], right[kept]
+
+
+def key_edges(batches: Iterator[pa.RecordBatch], found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] = to_roots) -> Iterator[pa.RecordBatch]:
+    """Edges (fp, to) of each key, between the places of its members that `found` gives; rows come sorted by key."""
     rest: list[np.ndarray] = [np.empty(0, np.int64)] * 3
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +234,9 @@ def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
         for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             members = np.unique(fp[a : a + n]).view(np.uint64)
-            to = roots(len(members), *links_of(members))
-            moved = np.flatnonzero(to != np.arange(len(members)))
-            out_a.append(members[moved].view(np.int64))
-            out_b.append(members[to[moved]].view(np.int64))
+            one, other = found(members)
+            out_a.append(members[one].view(np.int64))
+            out_b.append(members[other].view(np.int64))
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["fp", "to"])
 
@@ -226,11 +255,21 @@ def key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done([np.concatenate(x) for x in zip(rest, *pending, strict=True)])
 
 
-def linked(prints: DataFrame) -> DataFrame:
-    """(fp, label) of all fingerprints that have a link."""
+def edges(prints: DataFrame, found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(fp, to): the edges of all keys."""
     filed = keyed(materialise(prints.select("fp").distinct(), "distinct-fingerprints")).repartition("k", "part").sortWithinPartitions("k", "part")
     schema = T.StructType([field("fp", T.LongType()), field("to", T.LongType())])
-    return components(filed.mapInArrow(key_edges, schema), "fp", "to").withColumnRenamed("node", "fp")
+    return filed.mapInArrow(partial(key_edges, found=found), schema)
+
+
+def linked(prints: DataFrame) -> DataFrame:
+    """(fp, label) of all fingerprints that have a link."""
+    return components(edges(prints, to_roots), "fp", "to").withColumnRenamed("node", "fp")
+
+
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """(fp, to): pairs of fingerprints at BITS or fewer differing bits that connect all such fingerprints, at most one a member of a key."""
+    return edges(prints, spanning).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-from laminar.llm import shingles
+import numpy as np
+
+from laminar.llm import shingles, simhash
 
 
 def plain_set(text):
@@ -139,3 +141,28 @@ def test_null_and_repeated_ids_cost_no_other_row(spark):
     got = sorted(((r["doc_id"], r["text"].lower()) for r in shingles.representatives(docs).collect()), key=repr)
     assert got == sorted([(3, a), (None, b), (None, c), (7, d), (9, e)], key=repr)
     assert shingles.representatives(docs.limit(0)).count() == 0
+
+
+def test_segments_give_the_first_candidates(spark, monkeypatch):
+    """Without any MinHash key, near copies whose fingerprints differ in few bits are found by their segments."""
+    rnd = random.Random(14)
+    texts = []
+    for _ in range(40):
+        words = random_words(rnd, 400)
+        texts += [" ".join(words), " ".join(edited(rnd, words, 1))]
+    prints = [simhash.majority(shingles.shingle_set(t.encode())) for t in texts]
+    close = [(prints[k] ^ prints[k + 1]).bit_count() <= simhash.BITS for k in range(0, len(texts), 2)]
+    assert 10 < sum(close) < 40
+    filed = shingles.filed
+    monkeypatch.setattr(shingles, "filed", lambda sets: filed(sets.limit(0)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [k for k in range(len(texts)) if k % 2 == 0 or not close[k // 2]]
+    assert sorted(r["doc_id"] for r in shingles.representatives(docs).collect()) == want
+
+
+def test_a_forest_connects_what_all_edges_do():
+    r = np.random.default_rng(15)
+    for n in range(1, 60):
+        left, right = (r.integers(0, n, 2 * n) for _ in "ab")
+        kept = simhash.forest(n, left, right)
+        assert list(simhash.roots(n, left[kept], right[kept])) == list(simhash.roots(n, left, right)) and len(kept) < n
