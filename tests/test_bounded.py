@@ -94,3 +94,28 @@ def test_feet_break_ties_as_sql_does(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
     assert compare(QUERIES["trc_perpendicular_foot"](spark, str(tmp_path)), con, ORACLE_SQL["trc_perpendicular_foot"]) is None
+
+
+@pytest.mark.parametrize(("name", "joins", "scans"), [("msk_drop_short", 0, 1)])
+def test_parts_are_made_in_one_pass(spark, name, joins, scans):
+    """One pass over the cells: nothing is made again to be joined to itself."""
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert [len(re.findall(kind, text)) for kind in ("Join", "FileScan", "Window")] == [joins, scans, 0]
+
+
+def test_short_regions_go_and_labels_have_no_gaps(spark):
+    """A pixel given twice counts once; labels follow the regions that stay."""
+    rows = [(0, 0), (0, 0), (0, 0), (5, 0), (6, 0), (5, 1), (9, 9), (0, 3), (1, 3), (1, 4)]
+    m = spark.createDataFrame([(1, "m", *r) for r in rows], "image_id long, mask string, x int, y int")
+    got = sorted((r["x"], r["y"], r["label"]) for r in mask.drop_short(m, 3).collect())
+    assert got == [(0, 3, 2), (1, 3, 2), (1, 4, 2), (5, 0, 1), (5, 1, 1), (6, 0, 1)]
+
+
+def test_blocks_of_pairs_give_the_same_fill(monkeypatch):
+    r = np.random.default_rng(6)
+    y, x = (c.ravel() for c in np.mgrid[-7:25, -3:29])
+    value = np.where(r.random(len(x)) < 0.2, r.integers(0, 50, len(x)), np.nan)
+    group = r.integers(0, 5, len(x))
+    whole = fill_groups(group, x, y, value)
+    monkeypatch.setattr("laminar.functions.nearest.BLOCK_PAIRS", 100)
+    assert list(fill_groups(group, x, y, value)) == list(whole)
