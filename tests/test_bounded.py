@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from laminar.functions.nearest import fill_grid, fill_groups, nearest_point, nearest_targets
-from laminar.operators import mask
+from laminar.operators import maps, mask
 from laminar.plans.registry import ORACLE_SQL, QUERIES
 
 from .oracle import compare
@@ -119,3 +119,19 @@ def test_blocks_of_pairs_give_the_same_fill(monkeypatch):
     whole = fill_groups(group, x, y, value)
     monkeypatch.setattr("laminar.functions.nearest.BLOCK_PAIRS", 100)
     assert list(fill_groups(group, x, y, value)) == list(whole)
+
+
+@pytest.mark.parametrize("name", ["map_rotate", "map_rotate_bilinear"])
+def test_turned_maps_are_one_row_each(spark, name):
+    """Unmeasured cells aren't made, sorted or sent to be turned."""
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in text and re.search(r"Sort [^\n]*\n[^\n]*Project [^\n]*some#", text)
+
+
+def test_turned_maps_without_a_measured_cell(spark):
+    """Such a map stays, whole and unmeasured; nulls, NaN, -1 and cells off the frame count as unmeasured."""
+    rows = [(1, 0, 0, -1.0), (1, 1, 1, None), (1, 1, 0, float("nan")), (1, 9, 0, 5.0), (2, 0, 1, 7.0), (2, 2, 1, 0.0)]
+    cells = spark.createDataFrame([(i, "m", *r) for i, *r in rows], "image_id long, map string, x int, y int, value double")
+    pose = spark.createDataFrame([(1, 0, 1, 1), (2, 180, 1, 1)], "image_id long, angle int, cx int, cy int")
+    got = {(r["image_id"], r["x"], r["y"]): r["value"] for r in maps.rotate_map(cells, pose, 3, 3).collect()}
+    assert len(got) == 18 and {k: v for k, v in got.items() if v != -1} == {(2, 2, 1): 7.0, (2, 0, 1): 0.0}
