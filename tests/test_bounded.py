@@ -135,3 +135,20 @@ def test_turned_maps_without_a_measured_cell(spark):
     pose = spark.createDataFrame([(1, 0, 1, 1), (2, 180, 1, 1)], "image_id long, angle int, cx int, cy int")
     got = {(r["image_id"], r["x"], r["y"]): r["value"] for r in maps.rotate_map(cells, pose, 3, 3).collect()}
     assert len(got) == 18 and {k: v for k, v in got.items() if v != -1} == {(2, 2, 1): 7.0, (2, 0, 1): 0.0}
+
+
+def test_subfield_parts_are_made_in_one_pass(spark):
+    """Cells are made once for all three figures, and a cell's subfield isn't worked out within the join."""
+    text = plan(QUERIES["map_subfield_parts"](spark, "/root/testdata/sf0.001"))
+    assert [len(re.findall(kind, text)) for kind in ("Join", "FileScan")] == [1, 2]
+    assert not re.search(r"Join [^\n]*CASE WHEN", text)
+
+
+def test_subfield_parts_are_those_of_the_single_steps(spark):
+    rows = [(k % 3, "m", k % 5, k // 5, None if k % 11 == 0 else -1.0 if k % 4 == 0 else k / 7, f"s{k % 2}" if k % 6 else None) for k in range(60)]
+    cells = spark.createDataFrame(rows, "image_id long, map string, x int, y int, value double, subfield string")
+    keys = [*maps.MAP, "subfield"]
+    for ratio, vessel in ((True, True), (False, False)):
+        want = maps.missing_share(cells).join(maps.subfield_mean(cells, ratio), keys).join(maps.subfield_volume(cells, 1100.0, vessel), keys)
+        got = maps.subfield_parts(cells, 1100.0, ratio, vessel)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
