@@ -152,3 +152,9 @@ def test_subfield_parts_are_those_of_the_single_steps(spark):
         want = maps.missing_share(cells).join(maps.subfield_mean(cells, ratio), keys).join(maps.subfield_volume(cells, 1100.0, vessel), keys)
         got = maps.subfield_parts(cells, 1100.0, ratio, vessel)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_subfields_are_worked_out_once_a_cell(spark):
+    """The angle's sine and cosine are those of an image; a cell's distance from the centre is taken once, whatever is asked of the subfield."""
+    text = plan(QUERIES["shp_wide_grid"](spark, "/root/testdata/sf0.001"))
+    assert text.count("HYPOT(") == 1 and not re.search(r"(COS|SIN)\([^\n]*HYPOT|HYPOT[^\n]*(COS|SIN)\(", text)
