@@ -158,3 +158,31 @@ def test_subfields_are_worked_out_once_a_cell(spark):
     """The angle's sine and cosine are those of an image; a cell's distance from the centre is taken once, whatever is asked of the subfield."""
     text = plan(QUERIES["shp_wide_grid"](spark, "/root/testdata/sf0.001"))
     assert text.count("HYPOT(") == 1 and not re.search(r"(COS|SIN)\([^\n]*HYPOT|HYPOT[^\n]*(COS|SIN)\(", text)
+
+
+def test_maps_are_built_in_one_group(spark):
+    """As by the single steps: B-scans missing or without a value, nulls, columns off the frame, a left-out image."""
+    r = np.random.default_rng(8)
+    rows = [(i, m, b, x, None if r.random() < 0.05 else -1.0 if r.random() < 0.2 or (i, b) == (1, 2) else float(r.integers(0, 300))) for i in (1, 2, 3) for m in "ab" for b in (0, 1, 2, 4, 5) if i != 2 or b != 4 for x in range(12)]
+    thick = spark.createDataFrame(rows, "image_id long, map string, bscan int, x int, value double")
+    centre = spark.createDataFrame([(1, 7, 12), (2, 1, 12)], "image_id long, cx int, n_x int")
+    pose = spark.createDataFrame([(1, 20.0, 5.0, 6.0), (2, 90.0, 5.5, 5.5)], "image_id long, angle double, cx double, cy double")
+    placed = maps.place_rows(thick, centre, 12)
+    near = maps.resample_rows(placed.select(*maps.MAP, "bscan", "x", "value"), 12, "nearest").withColumnRenamed("value", "m")
+    both = maps.resample_rows(placed.select(*maps.MAP, "bscan", "x", placed["edge"].alias("value")), 12).join(near, [*maps.MAP, "x", "y"])
+    cells = both.selectExpr("image_id", "map", "x", "y", "CASE WHEN m = -1 OR value IS NULL THEN -1D ELSE value END AS value")
+    want = maps.rotate_map(maps.place_on_localiser(maps.gaussian(cells, 0.8, 12, 12), 0, 12), pose, 12, 12)
+    table = lambda df: {tuple(v[:4]): v[4] for v in df.collect()}
+    built = maps.build_map(thick, centre, pose, 0.8, 12, 12)
+    text = plan(built)
+    got, want = table(built), table(want)
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == 4 * 144 and len(set(got.values())) > 100
+    assert "Window" not in text and len(re.findall("FlatMapGroups", text)) == 1
+
+
+def test_density_rows_are_completed_in_place(spark):
+    density = spark.createDataFrame([(1, 0, 1, 5.0, None), (1, 0, 7, 2.0, 0.5), (1, 3, 9, 1.0, 0.1)], "image_id long, bscan int, x int, vessel_area double, density double")
+    got = maps.density_rows(density, 3)
+    assert "Join" not in plan(got)
+    made = {(r["map"], r["bscan"], r["x"]): r["value"] for r in got.collect()}
+    assert made == {(m, b, x): -1.0 for m in ("choroid_vessel", "choroid_ratio") for b in (0, 3) for x in range(3)} | {("choroid_vessel", 0, 1): 5.0}
