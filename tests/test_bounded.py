@@ -12,7 +12,7 @@ from laminar.functions.nearest import fill_grid, fill_groups, nearest_point, nea
 from laminar.operators import maps, mask
 from laminar.plans.registry import ORACLE_SQL, QUERIES
 
-from .oracle import compare
+from .oracle import compare, connect
 
 
 def plan(df):
@@ -65,6 +65,20 @@ def test_cells_are_dealt_once(spark, name):
     assert all(re.search(r"hashpartitioning\((image_id|l_suppkey)#\d+L, (map#\d+, grid#\d+, )?\d+\)", line) for line in shuffles), shuffles
 
 
+def test_parts_of_a_wide_grid_follow_the_table(spark, monkeypatch):
+    """All up to the subfields' sums is one stage of as many tasks as the table asks for, whatever shuffle partitions are set; behind it only figures of subfields are shuffled."""
+    monkeypatch.setattr("laminar.sources.views.PART_ROWS", 200)
+    con = connect("/root/testdata/sf0.001")
+    parts = -(-con.execute("SELECT count(*) FROM lineitem").fetchone()[0] // 200)
+    df = QUERIES["shp_wide_grid"](spark, "/root/testdata/sf0.001")
+    text = plan(df)
+    assert re.search(rf"hashpartitioning\(image_id#\d+L, {parts}\), REPARTITION_BY_NUM", text) and not re.search("SortMergeJoin|Broadcast", text)
+    # Nothing is shuffled between the cells' dealing and the sums of subfields.
+    above = text[: text.index("ShuffledHashJoin")]
+    assert "Exchange" not in above[above.index("partial_collect_list") :]
+    assert compare(df, con, ORACLE_SQL["shp_wide_grid"]) is None
+
+
 @pytest.mark.parametrize("name", ["ves_snap", "ves_widths", "ves_tortuosity_distance"])
 def test_paths_and_masks_arent_broadcast(spark, name):
     """A written table's size is that of its compressed file: joined to it, the driver would hold many times as much."""
