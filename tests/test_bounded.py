@@ -9,8 +9,10 @@ import pyarrow.parquet as pq
 import pytest
 
 from laminar.functions.nearest import fill_grid, fill_groups, nearest_point, nearest_targets
-from laminar.operators import maps, mask
+from laminar.operators import maps, mask, shape
+from laminar.plans import coverage
 from laminar.plans.registry import ORACLE_SQL, QUERIES
+from laminar.sources import files
 
 from .oracle import compare, connect
 
@@ -200,3 +202,43 @@ def test_density_rows_are_completed_in_place(spark):
     assert "Join" not in plan(got)
     made = {(r["map"], r["bscan"], r["x"]): r["value"] for r in got.collect()}
     assert made == {(m, b, x): -1.0 for m in ("choroid_vessel", "choroid_ratio") for b in (0, 3) for x in range(3)} | {("choroid_vessel", 0, 1): 5.0}
+
+
+def test_results_are_made_once_and_stored_where_they_are(spark, monkeypatch):
+    """All kinds are one pass over the table, dealt once; what the store's runs write is read from that pass and not shuffled again."""
+    sf, written, commit = "/root/testdata/sf0.001", [], files.commit
+    made = plan(coverage.collated(spark, sf))
+    assert made.count("lineitem.parquet") == made.count("orders.parquet") == made.count("Join") == 1
+    assert len([line for line in made.splitlines() if " Exchange " in line and "REPARTITION_BY_NUM" in line]) == 1 and "Union" not in made
+    monkeypatch.setattr(files, "commit", lambda df, *a: (written.append(plan(df)), commit(df, *a)))
+    df = QUERIES["src_result_store"](spark, sf)
+    assert len(written) == 3 and not any("Exchange" in text or "lineitem" in text or "Join" in text for text in written)
+    assert compare(df, connect(sf), ORACLE_SQL["src_result_store"]) is None
+
+
+def test_stored_rows_are_sent_by_image_alone(spark, tmp_path):
+    """Once each for the rows and for their images; the last run to finish counts, whatever its name and the pattern that it found."""
+    root = str(tmp_path)
+    rows = [(1, "Radial", "radial", "retina", "mean", 1.0), (2, "Radial", "radial", "retina", "mean", 2.0), (3, "Radial", "radial", "retina", "mean", None), (None, "Radial", "radial", "retina", "mean", 4.0)]
+    res = spark.createDataFrame(rows, files.RESULT)
+    files.write_results(res, root, "b")
+    files.write_results(spark.createDataFrame([(1, "Ppole", "ppole_etdrs", "retina", "mean", 9.0), (2, "Radial", "radial", "retina", "mean", 5.0)], files.RESULT), root, "a")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many images
+    try:
+        got = files.load_results(spark, root, ["Radial"])
+        shuffles = [line for line in plan(got).splitlines() if " Exchange hashpartitioning" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(shuffles) == 2 and all(re.search(r"hashpartitioning\(image_id#\d+L, \d+\)", line) for line in shuffles), shuffles
+    assert sorted((r["image_id"], r["value"]) for r in got.collect()) == [(2, 5.0), (3, None)]
+    files.write_results(res, root, "b")  # finished last now
+    assert sorted((r["image_id"], r["value"]) for r in files.load_results(spark, root, ["Radial", "Ppole"]).collect()) == [(1, 1.0), (2, 2.0), (3, None)]
+
+
+def test_failed_groups_go_without_a_join(spark):
+    """Nulls are neither failed nor measured; rows without a key go."""
+    rows = [(1, "a", -1.0), (1, "a", -1.0), (1, "b", -1.0), (1, "b", 2.0), (1, "c", None), (1, "c", -1.0), (2, "a", None), (2, "b", float("nan")), (2, "b", None), (None, "a", 3.0), (3, None, 4.0)]
+    m = spark.createDataFrame(rows, "image_id long, layer string, value double")
+    got = shape.drop_all_sentinel(m, ["image_id", "layer"])
+    assert "Join" not in plan(got)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, "b", -1.0), (1, "b", 2.0), (2, "b", float("nan")), (2, "b", None)]))
